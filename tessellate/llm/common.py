@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,13 +19,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder, so that a lost executor costs no recomputation of what is above.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; one is set here only where there is none, as in tests."""
+    context = spark.sparkContext
+    if not (folder := context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")):
+        context.setCheckpointDir(folder := tempfile.mkdtemp(prefix="tessellate-"))
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    The folder is the session's; one is set here only where there is none, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not (context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessellate-"))
+    atexit.register(remove)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written once to the shared checkpoint folder, so that a lost executor costs no recomputation of what is above."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

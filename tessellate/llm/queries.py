@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding, url_filter
-from .common import read
+from . import decontaminate, packing, quality_rules, sharding, token_files, url_filter
+from .common import read, scratch
 
 #: The listed rules (host, path, verdict).
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -28,7 +39,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(name)[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op6_hash_tree_sharding, op7_quality_rules)}
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    token_files.write(read(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"))
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = decontaminate.matched(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    s = F.col(name)
+    return out.select("doc_id", s["n_words"].alias("n_words"), s["n_hit"].alias("n_hit"), F.size(s["items"]).cast("long").alias("n_items"), decontaminate.items_sha256(s).alias("items_sha256"), decontaminate.contaminated(s).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_two_fit_packing, op2_url_filter, op6_hash_tree_sharding, op7_quality_rules, op8_token_files, op10_suffix_array_decontamination)}
 
 
 def _op2_sql() -> str:
@@ -72,4 +95,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
-ORACLE = {"op2_url_filter": _op2_sql(), "op7_quality_rules": _op7_sql()}
+_OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+dw AS (SELECT rid, doc_id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM d),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+bw AS (
+  SELECT DISTINCT item, least(len(w), 13) AS k, array_to_string(w[p:p + least(len(w), 13) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 11, 2))) AS p FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM bw),
+win AS (
+  SELECT rid, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM dw, ks WHERE len(w) >= k)),
+found AS (SELECT rid, item, p, win.k FROM win JOIN bw ON win.k = bw.k AND win.g = bw.g),
+hits AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM found) GROUP BY rid),
+its AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY rid),
+r AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256 FROM dw LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid))
+SELECT *, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM r"""
+
+ORACLE = {"op10_suffix_array_decontamination": _OP10_SQL, "op2_url_filter": _op2_sql(), "op7_quality_rules": _op7_sql()}
