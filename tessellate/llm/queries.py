@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, sharding, token_files, url_filter
+from . import decontaminate, line_dedup, packing, pseudonyms, quality_knn, quality_rules, sharding, token_files, url_filter
 from .common import read, scratch
 
 #: The listed rules (host, path, verdict).
@@ -23,11 +23,28 @@ def op1_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+#: Production takes its own secret; queries have a fixed one, so that their results can be compared.
+PSEUDONYM_KEY = "tessellate"
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = pseudonyms.pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    s = F.col(name)
+    count = lambda kind: F.size(F.filter(s["values"], lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", s["text"].alias("text"), *map(count, ("email", "date", "ip", "phone", "ssn", "card")))
+
+
+def op5_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = line_dedup.cleaned(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    s = F.col(name)
+    return out.select("doc_id", s["n_lines"].cast("long").alias("n_lines"), s["n_removed"].cast("long").alias("n_removed"), s["text"].alias("text"))
+
+
 def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
@@ -45,13 +62,20 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").filter(~quality_knn.held_out(F.col("doc_id")))
+    out, name = quality_knn.scored(docs, quality_knn.fit(docs, labels, "doc_id", "text", "quality"))
+    return out.select("doc_id", quality_knn.held_out(F.col("doc_id")).alias("held_out"), F.col(name).alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, name = decontaminate.matched(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     s = F.col(name)
     return out.select("doc_id", s["n_words"].alias("n_words"), s["n_hit"].alias("n_hit"), F.size(s["items"]).cast("long").alias("n_items"), decontaminate.items_sha256(s).alias("items_sha256"), decontaminate.contaminated(s).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_two_fit_packing, op2_url_filter, op6_hash_tree_sharding, op7_quality_rules, op8_token_files, op10_suffix_array_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_two_fit_packing, op2_url_filter, op4_feistel_pseudonyms, op5_line_window_dedup, op6_hash_tree_sharding, op7_quality_rules, op8_token_files, op9_quality_knn, op10_suffix_array_decontamination)}
 
 
 def _op2_sql() -> str:
@@ -95,6 +119,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
+_OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, rid, p, ls[p] || chr(10) || ls[p + 1] || chr(10) || ls[p + 2] AS g FROM (SELECT doc_id, rid, ls, unnest(range(1, len(ls) - 1)) AS p FROM d)),
+later AS (SELECT rid, p FROM (SELECT rid, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, p + o AS q FROM later, (VALUES (0), (1), (2)) AS off(o)),
+rest AS (SELECT d.rid, string_agg(x, chr(10) ORDER BY q) AS kept FROM (SELECT rid, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS q FROM d) AS d ANTI JOIN gone ON d.rid = gone.rid AND d.q = gone.q GROUP BY d.rid),
+n AS (SELECT rid, count(*) AS c FROM gone GROUP BY rid)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(c, 0)::BIGINT AS n_removed, CASE WHEN c > 0 THEN coalesce(kept, '') ELSE text END AS text
+FROM d LEFT JOIN n USING (rid) LEFT JOIN rest USING (rid)"""
+
 _OP10_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 dw AS (SELECT rid, doc_id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM d),
@@ -112,4 +146,4 @@ its AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, '
 r AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256 FROM dw LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid))
 SELECT *, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM r"""
 
-ORACLE = {"op10_suffix_array_decontamination": _OP10_SQL, "op2_url_filter": _op2_sql(), "op7_quality_rules": _op7_sql()}
+ORACLE = {"op5_line_window_dedup": _OP5_SQL, "op10_suffix_array_decontamination": _OP10_SQL, "op2_url_filter": _op2_sql(), "op7_quality_rules": _op7_sql()}
