@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, pseudonyms, quality_knn, quality_rules, sharding, token_files, url_filter
+from . import decontaminate, jaccard_join, line_dedup, packing, pseudonyms, quality_knn, quality_rules, sharding, token_files, url_filter
 from .common import read, scratch
 
 #: The listed rules (host, path, verdict).
@@ -32,6 +32,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op3_partenum_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents")).drop("set_key")
+
+
 def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, name = pseudonyms.pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
     s = F.col(name)
@@ -75,7 +79,7 @@ def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return out.select("doc_id", s["n_words"].alias("n_words"), s["n_hit"].alias("n_hit"), F.size(s["items"]).cast("long").alias("n_items"), decontaminate.items_sha256(s).alias("items_sha256"), decontaminate.contaminated(s).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_two_fit_packing, op2_url_filter, op4_feistel_pseudonyms, op5_line_window_dedup, op6_hash_tree_sharding, op7_quality_rules, op8_token_files, op9_quality_knn, op10_suffix_array_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_two_fit_packing, op2_url_filter, op3_partenum_jaccard_join, op4_feistel_pseudonyms, op5_line_window_dedup, op6_hash_tree_sharding, op7_quality_rules, op8_token_files, op9_quality_knn, op10_suffix_array_decontamination)}
 
 
 def _op2_sql() -> str:
