@@ -219,7 +219,7 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def documents(docs: DataFrame, size: int) -> DataFrame:
-    """docs: id, text. Per row: id, n (size of the set), key (0 if empty), bits (the bitmap)."""
+    """docs: id, text, text_hash. Per row: id, text_hash, n (size of the set), key (0 if empty), bits (the bitmap)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", STEP_BYTES):
@@ -227,9 +227,9 @@ def documents(docs: DataFrame, size: int) -> DataFrame:
             n = np.diff(begin)
             keys = np.where(n > 0, set_keys(made, begin), 0).astype(np.uint64)
             maps = [bitmap(made[a:b]) if b > a else b"" for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(keys.view(np.int64)), binary(maps)], ["id", "n", "key", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(n), pa.array(keys.view(np.int64)), binary(maps)], ["id", "text_hash", "n", "key", "bits"])
 
-    return docs.mapInArrow(found, f"id {docs.schema['id'].dataType.simpleString()}, n long, key long, bits binary")
+    return docs.mapInArrow(found, f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, n long, key long, bits binary")
 
 
 def meetings(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -359,9 +359,10 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """Per row of docs: id_col, n_shingles, component_id (the least id that its links reach, its own included), set_key (equal for equal sets)."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    known = cut(documents(rows, size))
+    """Per row of docs: id_col, n_shingles, component_id (the least id that its links reach, its own included), set_key (equal for equal sets), text_hash."""
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+    known = cut(documents(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash")), size))
     classes = cut(known.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     found = cut(meetings(rows, size, percent))
     pairs = found.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -387,13 +388,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     named = classes.select("key", "id").join(labels, "key", "left").withColumn("c", F.coalesce("component", "key"))
     least = named.groupBy("c").agg(F.min("id").alias("component_id"))
     by_key = named.join(least, "c").select("key", "component_id")
-    out = known.select("id", "n", "key").join(by_key, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("key").alias("set_key"))
+    out = known.select("id", "text_hash", "n", "key").join(by_key, "key", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("key").alias("set_key"), "text_hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """docs, with its columns: of each group of linked documents the one with the least id (of equal rows: one). Documents without words stay."""
-    marks = join(docs, id_col, text_col, size, percent)
-    lost = marks.filter((F.col("n_shingles") > 0) & ~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__lost")).distinct()
-    kept = docs.join(lost, F.col(f"`{id_col}`").eqNullSafe(F.col("__lost")), "left_anti")
+    marks = cut(join(docs, id_col, text_col, size, percent).filter("n_shingles > 0").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__text"), "component_id"))
+    lost = marks.filter(~F.col("__id").eqNullSafe(F.col("component_id"))).select("__id", "__text").distinct()
+    again = marks.groupBy("__id", "__text").count().filter("count > 1")
+    of_row = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__text"))
+    kept = docs.join(lost, of_row, "left_anti")
+    if again.limit(1).count():  # equal rows: all but one go
+        twice = kept.join(again.select("__id", "__text"), of_row, "left_semi").dropDuplicates([id_col, text_col])
+        kept = kept.join(again.select("__id", "__text"), of_row, "left_anti").unionByName(twice)
     return kept

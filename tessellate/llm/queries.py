@@ -33,7 +33,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_partenum_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(read(spark, sf_dir, "documents")).drop("set_key")
+    return jaccard_join.join(read(spark, sf_dir, "documents")).drop("set_key", "text_hash")
 
 
 def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
