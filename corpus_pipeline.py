@@ -1,10 +1,15 @@
-"""The corpus pipeline: documents through a list of stages, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: documents through a list of stages, each written as Parquet and read again as the next one's input.
+
+Every stage works on all that its predecessor kept, and all but the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessellate.llm import quality_rules
+from tessellate.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
+from tessellate.llm.common import read, scratch
+from tessellate.llm.queries import tokenizer
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,12 +17,40 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", good_quality)]
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: later occurrences of three-line windows go; n_chars follows the text."""
+    return line_dedup.dedupe(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: one document of each group of linked ones stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: contaminated documents go."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: what is left, as sequences of at most 1024 tokens."""
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", good_quality),
+    ("line_dedup", without_repeated_lines),
+    ("ngram_jaccard_join", without_near_duplicates),
+    ("benchmark_decontamination", without_benchmark),
+    ("best_fit_packing", packed),
+]
+#: Approximate in no stage, but tokenizing and best-two-fit packing are not SQL: tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(path := scratch(spark, f"pipeline-{name}"))
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
