@@ -1,15 +1,16 @@
 """Token ids of whole texts, by a tokenizer of the tokenizers library, a batch of Arrow texts at a time.
 
-A text is cut where a white-space character follows another character; neither of the two public tokenizers joins characters over
-such a place, so a text's ids are its pieces' ids one after the other. Each different piece of a batch is encoded once, and the ids of
-frequent pieces are kept in a table of bounded size. Texts with unusual white space or with the string of a special token are encoded in one piece.
+A text is cut where white space follows another character, and where ASCII punctuation other than an apostrophe follows a Latin letter; neither
+of the two public tokenizers joins characters over such a place, so a text's ids are its pieces' ids one after the other. Each different piece of a
+batch is encoded once, and the ids of frequent pieces are kept in a table of bounded size. Texts with unusual white space or with the
+string of a special token are encoded in one piece.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import os
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,15 @@ import pyarrow.compute as pc
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
+ASCII_LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
+MARK[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+#: Second bytes of Latin-1 letters, whose first byte is 0xC3 (0x97 and 0xB7 are signs).
+LATIN = np.zeros(256, bool)
+LATIN[0x80:0xC0] = True
+LATIN[[0x97, 0xB7]] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: In one piece: white space beyond ASCII's usual six, and what may be a special token.
 WHOLE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|"
 #: Texts of one step have so many bytes together, or are one text.
@@ -48,27 +58,51 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 class Encoder:
     """encode() gives the ids of texts. kept: so many different pieces' ids are kept at most."""
 
-    def __init__(self, path: str, kept: int = 300_000):
+    def __init__(self, path: str, kept: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.type, self.table = np.dtype("<u4" if self.wide else "<u2"), {}
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
+        self.type = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
+        self.table: dict[str, bytes] = {}
+        self.lower = "Lowercase" in str(self.tokenizer.normalizer)
+        one = {c: self.tokenizer.encode(f" {c}", add_special_tokens=False).ids for c in "\u00a7\u00b6\u2020\u00a9\u00ae\u2122\u2022"}
+        self.mark, self.mark_id = next(((c, ids[0]) for c, ids in one.items() if len(ids) == 1), (None, None))
+
+    def one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = [e.ids for at in range(0, len(pieces), 10_000) for e in self.tokenizer.encode_batch_fast(pieces[at : at + 10_000], add_special_tokens=False)]
+        length = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(itertools.chain.from_iterable(out), self.type, int(length.sum())), length
+
+    def in_rows(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that begin with white space and hold no mark: many at a time, told apart by the mark between them."""
+        rows = [f" {self.mark}".join(pieces[at : at + 50]) + f" {self.mark}" for at in range(0, len(pieces), 50)]
+        ids = np.concatenate([np.array(e.ids, self.type) for at in range(0, len(rows), 200) for e in self.tokenizer.encode_batch_fast(rows[at : at + 200], add_special_tokens=False)])
+        mark = ids == self.mark_id
+        ends = np.flatnonzero(mark) - np.arange(len(pieces))
+        return ids[~mark], np.diff(ends, prepend=0)
+
+    def pieces(self, pieces: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each piece: where its ids begin, and how many they are; all ids. often: the pieces worth keeping."""
         found = list(map(self.table.get, pieces))
-        if new := [i for i, x in enumerate(found) if x is None]:
-            if len(self.table) > self.kept:
-                self.table.clear()
-            code = "I" if self.wide else "H"
-            for at in range(0, len(new), 10_000):
-                some = new[at : at + 10_000]
-                for i, e in zip(some, self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False), strict=True):
-                    found[i] = array(code, e.ids).tobytes()
-                    if len(pieces[i]) < 40 and len(self.table) <= self.kept:
-                        self.table[pieces[i]] = found[i]
-        return found
+        new = [i for i, x in enumerate(found) if x is None]
+        plain = [i for i in new if pieces[i][0] in " \n" and self.mark and self.mark not in pieces[i] and len(pieces[i]) < 200]
+        plain_set = set(plain)
+        rest = [i for i in new if i not in plain_set]
+        old = [i for i, x in enumerate(found) if x is not None]
+        known = b"".join(filter(None, found))
+        parts = [(np.frombuffer(known, self.type), np.fromiter((len(found[i]) for i in old), np.int64, len(old)) // self.type.itemsize)]
+        parts += [f([pieces[i] for i in some]) if some else (np.zeros(0, self.type), np.zeros(0, np.int64)) for f, some in ((self.in_rows, plain), (self.one_by_one, rest))]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.array(old + plain + rest, np.int64)
+        length, begin = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        length[order], begin[order] = sizes, np.cumsum(sizes) - sizes
+        if len(self.table) > self.kept:
+            self.table.clear()
+        for i in plain:
+            if often[i]:
+                self.table[pieces[i]] = ids[begin[i] : begin[i] + length[i]].tobytes()
+        return begin, length, ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's begin (and the end)."""
@@ -76,20 +110,22 @@ class Encoder:
         if not len(data):
             return np.zeros(0, self.type), np.zeros(len(texts) + 1, np.int64)
         white = WHITE[data]
+        letter = ASCII_LETTER[data]
+        letter[1:] |= LATIN[data[1:]] & (data[:-1] == 0xC3)
         first = np.zeros(len(data), bool)
-        first[1:] = white[1:] & ~white[:-1]
+        first[1:] = (white[1:] & ~white[:-1]) | (MARK[data[1:]] & letter[:-1])
+        if self.lower:
+            data = LOWER[data]
         for i in np.flatnonzero(pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False)):
             first[offsets[i] : offsets[i + 1]] = False
         first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         at = np.flatnonzero(first)
         chunks = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)).dictionary_encode()
-        ids = self.pieces(chunks.dictionary.to_pylist())
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // self.type.itemsize
-        begin = np.cumsum(length) - length
         of = chunks.indices.to_numpy()
+        begin, length, ids = self.pieces(chunks.dictionary.to_pylist(), np.bincount(of) > 1)
         n = length[of]
         end = np.cumsum(n)
-        out = np.frombuffer(b"".join(ids), self.type)[np.arange(end[-1] if len(end) else 0) - np.repeat(end - n - begin[of], n)]
+        out = ids[np.arange(end[-1] if len(end) else 0) - np.repeat(end - n - begin[of], n)]
         return out, np.append(0, end)[np.searchsorted(at, offsets)]
 
 
