@@ -1,7 +1,7 @@
 """Token-id files with a shared zstandard dictionary.
 
-The dictionary is trained on the serialized id arrays of a bounded, documented sample (the `sample` documents with the least hash of their
-id, at most `sample_chars` characters of each); it changes only the size of the files. Every document is compressed by itself, whole.
+The dictionary is trained on the serialized id arrays of a bounded, documented sample (about `sample` documents by the hash of their
+id, 2 * sample at most, and at most `sample_chars` characters of each); it changes only the size of the files. Every document is compressed by itself, whole.
 Documents are laid out in ascending id order: a file is a Parquet container of segments, each with its dictionary's hash, an index of
 (id, tokens, place in the payload) and the payload of frames, so that one short document is read by its index entry alone. Cases:
 
@@ -37,7 +37,9 @@ SEGMENTS = "shard int, segment int, n_docs int, n_tokens long, id_width int, dic
 def train(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int, sample: int = 2000, sample_chars: int = 4000, size: int = 64_000) -> bytes:
     """The dictionary, from a bounded sample; empty if there is too little to learn from."""
     ident, text = F.col(f"`{id_col}`"), F.substring(F.col(f"`{text_col}`").cast("string"), 1, sample_chars)
-    rows = docs.select(F.xxhash64(ident.cast("string")).alias("h"), text.alias("t")).filter("t is not null").orderBy("h", "t").limit(sample).collect()
+    part = sample / max(docs.count(), 1)
+    drawn = F.pmod(F.xxhash64(ident.cast("string")), F.lit(1 << 30)) < F.lit(int(min(1.0, part) * (1 << 30)))
+    rows = docs.filter(drawn).select(text.alias("t")).filter("t is not null").limit(2 * sample).collect()
     enc = encoder(tokenizer_path)
     ids, begin = enc.encode(pa.array([r["t"] for r in rows], pa.string()))
     end = np.array([end_id], enc.type).tobytes()
