@@ -46,6 +46,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table in the shared folder: for what is joined again in loops, where a checkpoint would carry on the plan's size
+    estimates, which multiply in every join until their digits fill the driver."""
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value evaluated once for a row, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

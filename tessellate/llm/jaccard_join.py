@@ -9,9 +9,11 @@ most d = min(|A|, |B|) * (1 - t) / t features, and each of these spoils one sign
   features (the prefix of its set that any partner must meet) besides.
 * signatures that no other set has are dropped. A set keeps all but its g - 1 most frequent shared signatures; if fewer than g are
   shared it has no partner. By the same argument two partners still meet in the rarest signature that they share.
-* sets that meet become pairs: all in a group of at most `SMALL`; in a larger group, every member with a few pivots, and
-  the groups that are not then within one component go on with more pivots, until each is settled. So a family of very many near copies
-  costs a number of pairs in proportion to its size, and no pair that could join two components is left out.
+* sets that meet become pairs: all in a group of at most `SMALL`; in a larger group, every member with the few that share most. So a family of
+  very many near copies costs a number of pairs in proportion to its size.
+* the members of groups that are then not within one component (a passage that many documents share) are joined again with finer parts and
+  far more signatures, of which far more of the frequent ones may be left out. In groups that are not settled then either, the members outside
+  the largest component are held against all members, by bitmaps in blocks: no pair that could join two components is left out.
 * pairs are held against each other by exact bounds (sizes; parity bitmaps, whose Hamming distance never exceeds that of the sets), then by the
   whole sets.
 
@@ -31,22 +33,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, kept_table
 from .components import components
 from .hashing import LOWER, NOT_SPACE, STEP_BYTES, grams, mix, words
 from .packing import binary
 from .tokens import flat, steps
 
-#: A band's sizes go from WIDTH ** i to WIDTH ** (i + 1) - 1; at its top a part has FILL features on average.
-WIDTH, FILL = 8, 1.8
-#: The share of a set's size by which more signatures are emitted than its differences can spoil.
-SPARE = 0.04
-#: Groups of up to so many sets give all their pairs; larger ones start with PIVOTS, and go on with MORE times as many each round.
-SMALL, PIVOTS, MORE = 8, 2, 16
+#: A band's sizes go from WIDTH ** i to WIDTH ** (i + 1) - 1.
+WIDTH = 8
+#: At a band's top a part has so many features on average; by such a share of a set's size more signatures are emitted than its differences
+#: can spoil. COARSE is for all sets; FINE for those that COARSE leaves in unsettled groups.
+COARSE, FINE = (1.8, 0.04), (0.05, 0.6)
+#: Groups of up to SMALL sets give all their pairs; in larger ones every member meets PIVOTS of them.
+SMALL, PIVOTS = 8, 2
+#: Unsettled groups are searched by blocks of about so many sets outside the largest component and so many members.
+OUTSIDE, MEMBERS = 1000, 20_000
 #: The sets to be verified are fetched by a broadcast of their ids up to so many, else by a shuffle of the texts.
 BROADCAST_ROWS = 1_000_000
 #: Records held by a task before it sends them on.
@@ -54,7 +59,7 @@ HELD = 1_500_000
 
 SIGNATURE = np.dtype([("t", "<u4"), ("e", "<u8"), ("g", "u1")])
 SHARED = np.dtype([("e", "<u8"), ("t", "<u4"), ("p", "<u4"), ("f", "<u4"), ("g", "u1")])
-KEPT = np.dtype([("t", "<u4"), ("e", "<u8")])
+KEPT = np.dtype([("t", "<u4"), ("e", "<u8"), ("c", "<u4")])
 #: g is sent as the largest of these that is not above it.
 STEPS = np.floor(1.15 ** np.arange(200.0)).astype(np.int64)
 
@@ -105,15 +110,14 @@ def most_different(a: int, b: int, percent: int) -> int:
 class Signer:
     """Signatures of sets at a similarity of percent / 100."""
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, percent: int, fineness: tuple[float, float]):
+        self.percent, (self.fill, self.share) = percent, fineness
 
     def spoiled(self, size: np.ndarray) -> np.ndarray:
         return size * (100 - self.percent) // self.percent
 
-    @staticmethod
-    def spare(size: np.ndarray) -> np.ndarray:
-        return 1 + np.floor(SPARE * size).astype(np.int64)
+    def spare(self, size: np.ndarray) -> np.ndarray:
+        return 1 + np.floor(self.share * size).astype(np.int64)
 
     def sign(self, made: np.ndarray, begin: np.ndarray, keys: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The signatures of the sets numbered by keep: signature, entity (key and kind), g."""
@@ -138,11 +142,10 @@ class Signer:
             out.append((sig[first], keys[keep[mine]][of[first]] | np.uint64(2), np.ones(first.sum(), np.int64)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    @staticmethod
-    def _parts(made: np.ndarray, start: np.ndarray, size: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _parts(self, made: np.ndarray, start: np.ndarray, size: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One signature for each filled part of each set; the set it is of; filled parts of each set."""
         at, of = _ranges(start, size)
-        parts = np.maximum(64, np.ceil(WIDTH ** (level + 1.0) / FILL)).astype(np.uint64)
+        parts = np.maximum(64, np.ceil(WIDTH ** (level + 1.0) / self.fill)).astype(np.uint64)
         h = made[at]
         part = (h >> np.uint64(20)) % parts[of]
         order = np.lexsort((part, of))
@@ -232,10 +235,10 @@ def documents(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(found, f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, n long, key long, bits binary")
 
 
-def meetings(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def meetings(docs: DataFrame, size: int, percent: int, fineness: tuple[float, float]) -> DataFrame:
     """docs: id, text. Rows (kind, x, y): kind 0: a pair of keys x < y; kind 1: key y belongs to the large group x."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts, signer = 4 * partitions, Signer(percent)
+    parts, signer = 4 * partitions, Signer(percent, fineness)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, mail = set(), Mail(parts)
@@ -280,17 +283,20 @@ def meetings(docs: DataFrame, size: int, percent: int) -> DataFrame:
             rank = np.arange(len(e)) - np.repeat(new, n)
             kept = order[rank < np.repeat(n, n) - STEPS[g[order]] + 1]
             out = np.empty(len(kept), KEPT)
-            out["t"], out["e"] = t[kept], r["e"][kept] & ~np.uint64(3)
+            central = np.minimum(np.add.reduceat(f[order].astype(np.int64), new), 0xFFFFFFFF)
+            out["t"], out["e"], out["c"] = t[kept], r["e"][kept] & ~np.uint64(3), np.repeat(central, n)[rank < np.repeat(n, n) - STEPS[g[order]] + 1]
             yield from mail.add(p[kept].astype(np.int64), out)
         yield from mail.send()
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, r in _by_part(batches, KEPT):
-            t, e = np.ascontiguousarray(r["t"]), np.ascontiguousarray(r["e"])
-            order = np.lexsort((e, t))
-            t, e = t[order], e[order]
+            t, e, c = (np.ascontiguousarray(r[n]) for n in "tec")
+            order = np.lexsort((~c, e, t))  # an entity of either kind may be there: the more central counts
+            t, e, c = t[order], e[order], c[order]
             one = _runs(t, e)
-            t, e = t[one], e[one]
+            t, e, c = t[one], e[one], c[one]
+            order = np.lexsort((e, ~c, t))  # the most central first
+            t, e = t[order], e[order]
             new = _runs(t)
             n = np.diff(np.append(new, len(t)))
             rank = np.arange(len(t)) - np.repeat(new, n)
@@ -301,6 +307,7 @@ def meetings(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 at, of = _ranges(np.flatnonzero(use) + 1, left[use])
                 pairs.append(np.stack([e[use][of], e[at]]))
             x, y = np.concatenate(pairs, 1)
+            x, y = np.minimum(x, y), np.maximum(x, y)
             order = np.lexsort((y, x))
             x, y = x[order], y[order]
             one = _runs(x, y)
@@ -317,8 +324,30 @@ def meetings(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return kept.mapInArrow(met, "kind byte, x long, y long").distinct()
 
 
-def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are linked. classes: key, n, bits, id (of one document); docs: id, text."""
+def texts_of(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, id, text of one document for each key (of more where an id is repeated)."""
+    wanted = kept_table(keys.distinct().join(classes.select("key", F.col("id").alias("of")), "key"))
+    return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, F.col("id").eqNullSafe(F.col("of"))).select("key", "id", "text")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (key, component) with further links: only the components that they join are looked at again."""
+    names = lambda x: labels.select(F.col("key").alias(x), F.col("component").alias(f"c{x}"))
+    between = kept_table(links.join(names("a"), "a", "left").join(names("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b"))
+    joined = components(between).select(F.col("key").alias("component"), F.col("component").alias("to"))
+    alone = between.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(labels, "key", "left_anti").select("key", F.col("key").alias("component"))
+    return kept_table(labels.unionByName(alone).join(joined, "component", "left").select("key", F.coalesce("to", "component").alias("component")))
+
+
+def unsettled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """The groups (g, key) with members in more than one component: the member's component c, and the group's largest (most)."""
+    now = kept_table(groups.join(labels, "key", "left").select("g", "key", F.coalesce("component", "key").alias("c")))
+    parts = now.groupBy("g", "c").count().groupBy("g").agg(F.max_by("c", F.struct("count", "c")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").select("g", "most")
+    return kept_table(now.join(parts, "g"))
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of keys that sizes and bitmaps do not rule out. classes: key, n, bits."""
 
     def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,6 +361,58 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
                 keep.append(bool(fits))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(may_link, "a long, b long")
+
+
+def in_blocks(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The likely pairs (a, b) of each family, the unsettled groups with one largest component: all sets outside it, with all members.
+
+    A stated set against all rows, in blocks: each task holds a bounded block of either side, and no pair is made that a bound rules out."""
+    family = mixed.groupBy("most", "key").agg(F.first("c").alias("c"))
+    outside = F.col("c") != F.col("most")
+    sizes = family.groupBy("most").agg(F.ceil(F.count_if(outside) / OUTSIDE).cast("int").alias("outs"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("ins"))
+    rows = kept_table(family.join(sizes, "most").join(classes.select("key", "n", "bits"), "key"))
+    block = lambda of, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    one = rows.filter(outside).withColumn("i", block("outs", 1)).withColumn("j", every("ins")).withColumn("out", F.lit(True))
+    all_ = rows.withColumn("i", every("outs")).withColumn("j", block("ins", 2)).withColumn("out", F.lit(False))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        out = t["out"].to_numpy()
+        key, c, n = (t[x].to_numpy() for x in ("key", "c", "n"))
+        width = pc.binary_length(t["bits"]).to_numpy()
+        maps = {w: np.frombuffer(b"".join(t["bits"].filter(pa.array(width == w)).to_pylist()), np.uint64).reshape(-1, w // 8) for w in np.unique(width)}
+        place = np.zeros(len(key), np.int64)
+        for w in maps:
+            place[width == w] = np.arange((width == w).sum())
+        outsiders = set(key[out].tolist())
+        also_out = np.array([k in outsiders for k in key.tolist()], bool)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        inside = {w: np.flatnonzero(~out & (width == w)) for w in maps}
+        for i in np.flatnonzero(out).tolist():
+            for w, rows_in in inside.items():
+                low = min(w, int(width[i]))
+                at = rows_in[(100 * np.minimum(n[rows_in], n[i]) >= percent * np.maximum(n[rows_in], n[i])) & (c[rows_in] != c[i]) & (~also_out[rows_in] | (key[rows_in] > key[i]))]
+                if len(at):
+                    x = folded(maps[int(width[i])][place[i]], low // 8)
+                    y = maps[w][place[at]]
+                    while y.shape[1] > low // 8:
+                        y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                    both = n[at] + n[i]
+                    most = both - 2 * -(-percent * both // (100 + percent))
+                    at = at[np.bitwise_count(y ^ x).sum(1) <= most]
+                    a.append(np.full(len(at), key[i]))
+                    b.append(key[at])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return one.unionByName(all_).groupBy("most", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of keys whose whole sets are linked. classes: key, id (of one document); docs: id, text."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", STEP_BYTES):
             made, begin = shingles(batch.column("text"), size)
@@ -348,14 +429,11 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    likely = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(may_link, "a long, b long"))
-    needed = cut(likely.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "id"), "key"))
-    wanted = needed.select(F.col("id").alias("of"), "key")
-    texts = docs.join(F.broadcast(wanted) if needed.count() <= BROADCAST_ROWS else wanted, F.col("id").eqNullSafe(F.col("of")))
+    pairs = kept_table(pairs)
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")), classes, docs)
     features = cut(texts.select("key", "text").mapInArrow(sets, "key long, features binary"))
     side = lambda x: features.select(F.col("key").alias(x), F.col("features").alias(f"set_{x}"))
-    return likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(do_link, "a long, b long").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(do_link, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -364,27 +442,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     known = cut(documents(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash")), size))
     classes = cut(known.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    found = cut(meetings(rows, size, percent))
-    pairs = found.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    waiting = found.filter("kind = 1").select(F.col("x").alias("g"), F.col("y").alias("key"))
-    links = cut(linked(pairs, classes, rows, size, percent))
-    labels = components(links)
-    done, pivots = PIVOTS, PIVOTS
-    ranked = None
-    while True:
-        if ranked is None:
-            ranked = cut(waiting.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("key"))))
-        now = ranked.join(labels, "key", "left").select("g", "key", "rank", F.coalesce("component", "key").alias("c"))
-        mixed = now.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("rank").alias("n")).filter((F.col("low") != F.col("high")) & (F.col("n") > done)).select("g")
-        open_groups = cut(now.join(mixed, "g"))
-        if open_groups.limit(1).count() == 0:
-            break
-        pivots *= MORE
-        pivot = open_groups.filter((F.col("rank") > done) & (F.col("rank") <= done + pivots)).select("g", F.col("key").alias("a"), F.col("rank").alias("r"), F.col("c").alias("ca"))
-        more = open_groups.filter(F.col("rank") > done).join(pivot, "g").filter((F.col("rank") > F.col("r")) & (F.col("c") != F.col("ca"))).select("a", F.col("key").alias("b")).distinct()
-        links = cut(links.union(linked(more, classes, rows, size, percent)))
-        labels = components(links)
-        ranked, done = open_groups.select("g", "key", "rank"), done + pivots
+    pairs_of = lambda found: found.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    groups_of = lambda found: found.filter("kind = 1").select(F.col("x").alias("g"), F.col("y").alias("key"))
+    found = cut(meetings(rows, size, percent, COARSE))
+    labels = components(verified(likely(pairs_of(found), classes, percent), classes, rows, size, percent))
+    mixed = unsettled(groups_of(found), labels)
+    if mixed.limit(1).count():
+        again = texts_of(mixed.select("key"), classes, rows).select("id", "text")
+        found = cut(meetings(again, size, percent, FINE))
+        labels = merged(labels, verified(likely(pairs_of(found), classes, percent), classes, rows, size, percent))
+        mixed = unsettled(groups_of(found), labels)
+        labels = merged(labels, verified(in_blocks(mixed, classes, percent), classes, rows, size, percent))
     named = classes.select("key", "id").join(labels, "key", "left").withColumn("c", F.coalesce("component", "key"))
     least = named.groupBy("c").agg(F.min("id").alias("component_id"))
     by_key = named.join(least, "c").select("key", "component_id")
