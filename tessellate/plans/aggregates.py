@@ -227,11 +227,11 @@ def marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupingSets([[a], [b]], a, b).agg(F.round(F.sum(F.col("l_quantity") * F.col("l_discount")) / F.sum("l_quantity"), 6).alias("effect"))
 
 
-@query("A26_two_level_report", "SELECT p_brand, p_size % 5 AS beds, grouping(p_size % 5)::BIGINT AS is_total, count(*) AS n, round(avg(p_retailprice), 2) AS mean FROM part GROUP BY GROUPING SETS ((p_brand), (p_brand, p_size % 5))")
+@query("A26_two_level_report", "SELECT p_brand, p_size % 5 AS beds, grouping(p_size % 5)::BIGINT AS is_total, count(*) AS n, round(sum(p_retailprice), 2) AS total FROM part GROUP BY GROUPING SETS ((p_brand), (p_brand, p_size % 5))")
 def two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").withColumn("beds", F.col("p_size") % 5)
     a, b = F.col("p_brand"), F.col("beds")
-    return p.groupingSets([[a], [a, b]], a, b).agg(F.grouping("beds").cast("long").alias("is_total"), F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 2).alias("mean"))
+    return p.groupingSets([[a], [a, b]], a, b).agg(F.grouping("beds").cast("long").alias("is_total"), F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
 
 
 @query("A27_inverse_error_weights", SERIES_SQL.rstrip() + """,
