@@ -134,12 +134,12 @@ def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("M12_scenario_mixture", SIM_SQL.rstrip() + """,
 w AS (SELECT med AS v, CASE sc WHEN 'mid' THEN 0.5 ELSE 0.25 END / 10 AS w FROM dr),
 r AS (SELECT v, sum(w) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER () AS tot FROM (SELECT v, sum(w) AS w FROM w GROUP BY v))
-SELECT round(min(v) FILTER (run >= tot * 0.3), 6) AS p30, round(min(v) FILTER (run >= tot * 0.52), 6) AS p52, round(min(v) FILTER (run >= tot * 0.87), 6) AS p87 FROM r""")
+SELECT round(min(v) FILTER (run >= tot * 0.31), 6) AS p31, round(min(v) FILTER (run >= tot * 0.52), 6) AS p52, round(min(v) FILTER (run >= tot * 0.87), 6) AS p87 FROM r""")
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scenarios' draws pooled with their prior weights; quantiles between the steps of the weights, where rounding cannot matter."""
     d = draws(spark, sf_dir).select("med", (F.col("weight") / 10).alias("w"))
-    p = [weighted_percentile(d, "med", "w", q, [], f"p{q}") for q in (30, 52, 87)]
-    return p[0].crossJoin(p[1]).crossJoin(p[2]).select(*[F.round(f"p{q}", 6).alias(f"p{q}") for q in (30, 52, 87)])
+    p = [weighted_percentile(d, "med", "w", q, [], f"p{q}") for q in (31, 52, 87)]
+    return p[0].crossJoin(p[1]).crossJoin(p[2]).select(*[F.round(f"p{q}", 6).alias(f"p{q}") for q in (31, 52, 87)])
 
 
 RULES_SQL = SERIES_SQL.rstrip() + """,
