@@ -13,7 +13,7 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 def weighted_percentile(df: DataFrame, value: str, weight: str, p: float, by: list[str], name: str = "percentile") -> DataFrame:
     """The left-continuous inverse of the weighted distribution: the first value at which the running weight reaches p percent of the whole.
 
-    Rows without weight take no part. Negative weights, NaN, and p outside 0..100 raise an error; a group without mass has no row. Equal
+    Rows without weight take no part. Negative weights, NaN, and p outside 0..100 raise an error; a group without mass has no row (null where there are no groups). Equal
     values are summed first, so that the running sum has one row for each value."""
     if not 0 <= p <= 100:
         raise ValueError("p must be within 0..100")
