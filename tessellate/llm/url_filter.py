@@ -91,7 +91,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         exact = maybe.join(F.broadcast(listed), F.col("c_key") == F.col("key"))
     else:  # a hot key's candidates are dealt over 16 copies of its rules
         dealt = maybe.withColumn("salt", F.pmod(F.xxhash64("u_host", "u_path"), F.lit(16)))
-        copies = listed.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long"))
+        copies = listed.withColumn("r_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
         exact = dealt.join(copies, (F.col("c_key") == F.col("key")) & (F.col("salt") == F.col("r_salt")))
     fits = exact.filter(F.expr("startswith(u_path, r_path)"))
     text = F.concat("r_host", "r_path")
