@@ -61,9 +61,9 @@ def two_periods(frame: DataFrame, keys: list[str], values: list[str], year: str
     return frame.join(before, [year, *keys])
 
 
-@query("J04_two_periods", CELLS_SQL + "SELECT c.y, c.brand, c.beds, c.n, p.n AS n_prev, round(c.mean, 2) AS mean, round(p.mean, 2) AS mean_prev FROM cell c JOIN cell p ON c.brand = p.brand AND c.beds = p.beds AND c.y = p.y + 1")
+@query("J04_two_periods", CELLS_SQL + "SELECT c.y, c.brand, c.beds, c.n, p.n AS n_prev, round(c.mean, 6) AS mean, round(p.mean, 6) AS mean_prev FROM cell c JOIN cell p ON c.brand = p.brand AND c.beds = p.beds AND c.y = p.y + 1")
 def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return two_periods(cells(spark, sf_dir), ["brand", "beds"], ["n", "mean"]).select("y", "brand", "beds", "n", "n_prev", F.round("mean", 2).alias("mean"), F.round("mean_prev", 2).alias("mean_prev"))
+    return two_periods(cells(spark, sf_dir), ["brand", "beds"], ["n", "mean"]).select("y", "brand", "beds", "n", "n_prev", F.round("mean", 6).alias("mean"), F.round("mean_prev", 6).alias("mean_prev"))
 
 
 ASOF_SQL = """

@@ -23,7 +23,7 @@ def duck(sf_dir):
 
 def rows(p: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         if hasattr(v, "item"):
             v = v.item()
