@@ -14,6 +14,7 @@ from ..operators.regress import least_squares, repeat_index, spline_basis
 from ..operators.simulate import poisson_weight
 from ..operators.weighted import uniform
 from ..registry import query, table
+from ..session import scratch
 from .aggregates import HASH, scored
 from .projections import PAIRS_SQL, pairs
 
@@ -148,6 +149,24 @@ def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", (n % 5).cast("long").alias("fold"))
 
 
+@query("M27_weight_interval")
+def weight_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range of each logistic weight over refits on hash-weighted rows."""
+    f = features(spark, sf_dir).cache()
+    rows = [(seed, i, float(w)) for seed in range(3) for i, w in enumerate(_fit(f.withColumn("w", poisson_weight(uniform("m27", seed, F.col("id"))).cast("double")), "w")[0].coefficients)]
+    return spark.createDataFrame(rows, "seed int, term int, w double").groupBy("term").agg(F.round(F.min("w"), 3).alias("low"), F.round(F.max("w"), 3).alias("high"))
+
+
+@query("K08_model_as_json", """
+WITH d AS (SELECT l_quantity - avg(l_quantity) OVER (PARTITION BY l_partkey) AS x, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_partkey) AS y FROM lineitem)
+SELECT round(sum(x * y) / sum(x * x), 2) AS slope FROM d""")
+def as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model is its coefficients in a document: written, read with its schema, and the same."""
+    path = scratch(spark, "model")
+    fixed_effects(spark, sf_dir).write.json(path)
+    return spark.read.schema("slope double").json(path)
+
+
 @query("M28_pareto_sweep", """
 WITH g AS (SELECT c_custkey AS id, c_nationkey % 2 AS grp, c_acctbal AS merit, c_custkey % 100 * 100.0 AS proxy, l / 4.0 AS lam, b / 10.0 AS budget FROM customer, (SELECT unnest([0, 2, 4]) AS l), (SELECT unnest([3, 4]) AS b)),
 r AS (SELECT *, (row_number() OVER (PARTITION BY lam, budget ORDER BY lam * merit + (1 - lam) * proxy DESC, id) <= round_even(budget * count(*) OVER (PARTITION BY lam, budget), 0))::INT AS pick, (row_number() OVER (PARTITION BY lam, budget ORDER BY merit DESC, id) <= round_even(budget * count(*) OVER (PARTITION BY lam, budget), 0))::INT AS ref FROM g)

@@ -103,6 +103,14 @@ def length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callouts.find_bars(table(spark, sf_dir, "part").select("p_partkey", line.alias("line")), "line").select("p_partkey", F.col("bar.length").cast("long").alias("length"))
 
 
+@query("F13_ocr_repair", f"SELECT p_partkey, {PART_LINE} AS text FROM part WHERE p_size % 3 < 2")
+def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callouts with confused characters, put right."""
+    noisy = F.when(F.col("p_size") % 3 == 0, "IS").otherwise("2O")
+    line = F.concat((F.col("p_size") % 12 + 1).cast("string"), F.when(F.col("p_size") % 3 == 0, "-").otherwise("–"), noisy, F.lit("Me"), (F.col("p_size") * 5 + 100).cast("string"))
+    return table(spark, sf_dir, "part").filter("p_size % 3 < 2").select("p_partkey", callouts.repaired(line).alias("text"))
+
+
 @query("F14_role_keyword", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'sup' WHEN 1 THEN 'inf' ELSE 'ligature' END AS role FROM part")
 def role(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.when(F.col("p_size") % 3 == 0, "HAUT").when(F.col("p_size") % 3 == 1, "BAS TOP").otherwise("ÉTRIERS")
