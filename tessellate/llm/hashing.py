@@ -16,7 +16,7 @@ ALPHANUMERIC[0x30:0x3A] = ALPHANUMERIC[0x61:0x7B] = ALPHANUMERIC[0x80:] = True
 _VALUES = np.random.Generator(np.random.PCG64(20240601)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Texts of one step have so many bytes together; the arrays over them take about 60 times as much.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -51,11 +51,11 @@ COARSE, FINE = (1.8, 0.04), (0.05, 0.6)
 #: Groups of up to SMALL sets give all their pairs; in larger ones every member meets PIVOTS of them.
 SMALL, PIVOTS = 8, 2
 #: Unsettled groups are searched by blocks of about so many sets outside the largest component and so many members.
-OUTSIDE, MEMBERS = 1000, 20_000
+OUTSIDE, MEMBERS = 500, 2000
 #: The sets to be verified are fetched by a broadcast of their ids up to so many, else by a shuffle of the texts.
 BROADCAST_ROWS = 1_000_000
 #: Records held by a task before it sends them on.
-HELD = 1_500_000
+HELD = 400_000
 
 SIGNATURE = np.dtype([("t", "<u4"), ("e", "<u8"), ("g", "u1")])
 SHARED = np.dtype([("e", "<u8"), ("t", "<u4"), ("p", "<u4"), ("f", "<u4"), ("g", "u1")])
@@ -195,7 +195,7 @@ class Mail:
 
 
 def _by_part(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[int, np.ndarray]]:
-    """The records of each part; rows come sorted by part."""
+    """The records of each part; a partition holds one part."""
     now, blobs = None, []
     for batch in batches:
         for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
@@ -209,7 +209,8 @@ def _by_part(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tupl
 
 
 def _dealt(df: DataFrame, partitions: int) -> DataFrame:
-    return df.repartition(partitions, "part").sortWithinPartitions("part")
+    """Each part in a partition of its own."""
+    return df.repartitionById(partitions, "part")
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -238,7 +239,7 @@ def documents(docs: DataFrame, size: int) -> DataFrame:
 def meetings(docs: DataFrame, size: int, percent: int, fineness: tuple[float, float]) -> DataFrame:
     """docs: id, text. Rows (kind, x, y): kind 0: a pair of keys x < y; kind 1: key y belongs to the large group x."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts, signer = 4 * partitions, Signer(percent, fineness)
+    parts, signer = partitions, Signer(percent, fineness)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, mail = set(), Mail(parts)
