@@ -106,15 +106,18 @@ def verdict(s: Column, thresholds: tuple[Threshold, ...] = THRESHOLDS) -> Column
     return ok
 
 
+def judgement(text: Column, thresholds: tuple[Threshold, ...] = THRESHOLDS) -> Column:
+    """A struct of the counts, base_failed and kept: one expression that counts once, wherever it stands and whatever of it is used."""
+    fields = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_upper_words")
+    return let(statistics(text), lambda s: F.struct(*[s[f].alias(f) for f in fields], base_failed(s).alias("base_failed"), verdict(s, thresholds).alias("kept")))
+
+
 def judged(docs: DataFrame, text_col: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS) -> tuple[DataFrame, str]:
-    """docs with one struct column more (its name comes second): the statistics, base_failed and kept."""
-    stats, name = free_name(docs, "rule_counts"), free_name(docs, "rules")
-    with_stats = docs.withColumn(stats, statistics(F.col(f"`{text_col}`")))
-    s = F.col(stats)
-    return with_stats.withColumn(name, s.withField("base_failed", base_failed(s)).withField("kept", verdict(s, thresholds))).drop(stats), name
+    """docs with one struct column more (its name comes second): the counts, base_failed and kept."""
+    name = free_name(docs, "rules")
+    return docs.withColumn(name, judgement(F.col(f"`{text_col}`"), thresholds)), name
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
     """The rows of docs, with its columns, that pass."""
-    out, name = judged(docs, text_col, thresholds)
-    return out.filter(F.col(name)["kept"]).drop(name)
+    return docs.filter(judgement(F.col(f"`{text_col}`"), thresholds)["kept"])
