@@ -8,6 +8,8 @@ string of a special token are encoded in one piece.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import itertools
 import os
@@ -31,7 +33,14 @@ LOWER[65:91] += 32
 #: In one piece: white space beyond ASCII's usual six, and what may be a special token.
 WHOLE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|"
 #: Texts of one step have so many bytes together, or are one text.
-STEP_BYTES = 16_000_000
+STEP_BYTES = 4_000_000
+
+
+def trim() -> None:
+    """What this worker's allocators keep for later goes back to the system: the worker lives on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def steps(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -43,6 +52,7 @@ def steps(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = STEP_BY
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
+    trim()
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -58,7 +68,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 class Encoder:
     """encode() gives the ids of texts. kept: so many different pieces' ids are kept at most."""
 
-    def __init__(self, path: str, kept: int = 200_000):
+    def __init__(self, path: str, kept: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
