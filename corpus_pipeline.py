@@ -44,7 +44,7 @@ STAGES = [
     ("benchmark_decontamination", without_benchmark),
     ("best_fit_packing", packed),
 ]
-#: Approximate in no stage, but tokenizing and best-two-fit packing are not SQL: tested against a brute-force version.
+#: Tokenizing and best-two-fit packing are not SQL: tested against a brute-force version.
 ORACLE_SQL = None
 
 
