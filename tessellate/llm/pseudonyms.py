@@ -1,7 +1,10 @@
 """Format-preserving pseudonyms: validated numbers and dates are permuted within their format by a keyed Feistel network.
 
 Found are e-mail addresses, ISO and day-month-year dates, IPv4 addresses, phone numbers, social security numbers and card numbers
-(13 to 19 digits, in one piece or in groups of four). A value that passes its check (calendar, octets, Luhn sum) is replaced by another that
+(13 to 19 digits, in one piece, in groups of four or as 4-6-5 and 4-6-4). Phone numbers have 8 to 15 digits: after a country code (+ or 00, then
+groups of any size), with an area code in brackets, as 3-3-4, or national with groups (French 0x xx xx xx xx, also in one piece; German area code
+and number; Spanish 9 digits). National numbers in one piece without a leading zero are not told from other numbers and stay, as do runs of 16 and
+more digits. A value that passes its check (calendar, octets, Luhn sum) is replaced by another that
 passes it, with the same layout of digits and separators; equal values get equal pseudonyms everywhere, and different ones of a format differ. The key
 is a parameter; the same key gives the same permutation. All of it is built-in expressions: a text is split at its values, the
 values are replaced, and the parts are joined again. Cases:
@@ -22,10 +25,28 @@ EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 DAY_DATE = r"(?<![\d./])\d{2}[/.]\d{2}[/.]\d{4}(?![\d/])"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
-PHONE = r"(?<![\w+])\+?\d{1,3}[ -]?\(\d{3}\)[ -]?\d{3}-\d{4}(?!\d)"
+#: Known by their marks: area code in brackets, French and Spanish numbers after their country codes, any number after a country code.
+MARKED = (
+    r"(?:\+?\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}",
+    r"(?:\+|00)33[ .-]?(?:\(0\)[ .-]?)?\d(?:[ .-]?\d{2}){4}",
+    r"(?:\+|00)34[ .-]?\d{3}(?:(?:[ .-]?\d{3}){2}|(?:[ .-]?\d{2}){3})",
+    r"\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}",
+    r"(?:\+|00(?=[1-9]))\d(?:[ ./-]{0,2}\(?\d\)?){7,14}",
+    r"\(0\d{1,4}\)[ ./-]?\d{2,8}(?:[ .-]\d{2,5}){0,4}",
+)
+#: Known by their groups: 3-3-4; French, German and Spanish national numbers.
+GROUPED = (
+    r"(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}",
+    r"0\d(?:[ .-]?\d{2}){4}",
+    r"0\d{2,4}(?:[ /-]| / )\d{3,8}(?:[ -]\d{2,4}){0,2}",
+    r"[6-9]\d{2}(?:[ .-]\d{3}){2}",
+    r"[6-9]\d{2}(?:[ .-]\d{2}){3}",
+)
+PHONE = r"(?<![\w+])(?=(?:[^\w\r\n]{0,3}\d){8})(?:(?:" + "|".join(MARKED) + r")(?!\d)|(?<!\d[.,/-])(?:" + "|".join(GROUPED) + r")(?!\d|[./-]\d))"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7})(?!\w)"
-ANY = "|".join((EMAIL, ISO_DATE, DAY_DATE, IPV4, PHONE, SSN, CARD))
+CARD_FORM = r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})"
+CARD = r"(?<![\w-])" + CARD_FORM + r"(?!\w)"
+ANY = "|".join((EMAIL, ISO_DATE, DAY_DATE, IPV4, SSN, CARD, PHONE))
 ROUNDS = 10
 #: Days from 1900-01-01 to 2299-12-31: 189 * 773.
 FIRST_DAY, DAYS = "1900-01-01", (189, 773)
@@ -128,15 +149,16 @@ def _email(value: Column, key: str) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    return F.when(value.contains("@"), "email").when(value.rlike(f"^(?:{ISO_DATE})$"), "date").when(value.rlike(f"^(?:{DAY_DATE})$"), "date").when(value.rlike(f"^(?:{IPV4})$"), "ip").when(value.contains("("), "phone").when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").otherwise("card")
+    return F.when(value.contains("@"), "email").when(value.rlike(f"^(?:{ISO_DATE})$"), "date").when(value.rlike(f"^(?:{DAY_DATE})$"), "date").when(value.rlike(f"^(?:{IPV4})$"), "ip").when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(value.rlike(f"^{CARD_FORM}$") & ~(value.rlike("^00[1-9]") & (F.char_length(digits_of(value)) < 16) & (F.pmod(luhn_sum(digits_of(value)), F.lit(10)) != 0)), "card").otherwise("phone")
 
 
 def pseudonym(value: Column, key: str) -> Column:
     """Another value of the format, or null if the value is not a valid one."""
     day_first = F.when(value.rlike(r"^\d{4}-"), "iso").when(F.try_to_date(F.translate(value, ".", "/"), "dd/MM/yyyy").isNotNull(), "day").otherwise("month")
     number = lambda tag: let(permuted_digits(digits_of(value), key, tag), lambda d: laid_out(value, d))
+    phone = F.when(F.char_length(digits_of(value)).between(8, 17), number("phone"))
     kind = kind_of(value)
-    return F.when(kind == "email", _email(value, key)).when(kind == "date", let(day_first, lambda x: _date(value, key, x))).when(kind == "ip", _ip(value, key)).when(kind == "phone", number("phone")).when(kind == "ssn", number("ssn")).otherwise(_card(value, key))
+    return F.when(kind == "email", _email(value, key)).when(kind == "date", let(day_first, lambda x: _date(value, key, x))).when(kind == "ip", _ip(value, key)).when(kind == "phone", phone).when(kind == "ssn", number("ssn")).otherwise(_card(value, key))
 
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> tuple[DataFrame, str]:
