@@ -16,7 +16,7 @@ positions. Cases:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,14 +56,18 @@ def windows(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.mapInArrow(found, f"window long, id {kind}, text_hash long, at int")
 
 
-def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> tuple[DataFrame, str]:
-    """docs with one column more (its name comes second): an array of the lines where later occurrences begin, null if there is none."""
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, windows: Callable[[DataFrame, int], DataFrame] = windows, apart: int = 0) -> tuple[DataFrame, str]:
+    """docs with one column more (its name comes second): an array of the lines where later occurrences begin, null if there is none. One that
+    begins less than apart behind the first in the same document is no later one."""
     name, key = free_name(docs, "repeated_at"), free_name(docs, "text_hash_of_row")
     keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{text_col}`")))
     seen = cut(windows(keyed.select(F.col(f"`{id_col}`").alias("id"), F.col(key).alias("text_hash"), F.col(f"`{text_col}`").cast("string").alias("text")), size))
     where = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"), F.col("at").alias("at"))
     first = seen.groupBy("window").agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("window").alias("w"), "first")
     later = seen.join(first, F.col("window") == F.col("w")).filter(~F.col("first").eqNullSafe(where))
+    if apart:
+        same = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.text_hash") == F.col("text_hash"))
+        later = later.filter(~(same & (F.col("at") - F.col("first.at") < apart)))
     at = later.groupBy(F.col("id").alias("l_id"), F.col("text_hash").alias("l_hash")).agg(F.collect_set("at").alias(name))
     return keyed.join(at, F.col(f"`{id_col}`").eqNullSafe(F.col("l_id")) & (F.col(key) == F.col("l_hash")), "left").drop("l_id", "l_hash", key), name
 

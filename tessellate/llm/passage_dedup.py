@@ -1,0 +1,90 @@
+"""Passage dedup: repeated runs of words, wherever they begin and end in a line.
+
+Operator 5 takes whole lines; this one takes the words of a text. Of the hashes of K words from each place on, those are kept that are the least of W in
+a row, and the first and last of a text: which they are depends on the words alone, so two texts that share a run of K + W - 1 = 49
+words keep the same ones in it. A kept window's first occurrence in the corpus (as in line_dedup) stays; the words that later ones cover are removed with the
+space behind them. No run of 49 words or more that occurred in an earlier document stays whole, at most W - 1 words of it stay at each end, and nothing
+shorter than K words is removed. What is left before and behind a removed part meets, which can form a new run. Cases:
+
+* null texts and texts of fewer than K words: no window, unchanged. Ties, repeated rows and extra columns: as in line_dedup.
+* a run that overlaps itself (one word 200 times): its first K words stay.
+* a text without repeats is returned as it is, byte for byte; of the others, what is left keeps its own spaces.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import free_name
+from .hashing import NOT_SPACE, STEP_BYTES, grams, words
+from .line_dedup import marked
+from .tokens import flat, steps
+
+K, W = 25, 25
+
+
+def chosen(hashes: np.ndarray, begin: np.ndarray, size: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kept windows' hashes, texts and first words (numbers in all words)."""
+    made = grams(hashes, size)
+    doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))[: len(made)]
+    at = np.arange(len(made))
+    whole = at + size <= begin[doc + 1]
+    keep = whole & ((at == begin[doc]) | (at + size == begin[doc + 1]))
+    n = len(made) - width + 1
+    if n > 0:
+        least, span = made, 1
+        while span < width:
+            more = min(span, width - span)
+            least, span = np.minimum(least[: len(least) - more], least[more:]), span + more
+        inside = at[:n] + width - 1 + size <= begin[doc[:n] + 1]
+        for j in range(width):
+            keep[j : j + n] |= inside & (made[j : j + n] == least)
+    return made[keep], doc[keep], at[keep]
+
+
+def windows(docs: DataFrame, size: int = K, width: int = W) -> DataFrame:
+    """docs: id, text_hash, text. Per kept window: window (its hash), id, text_hash, at (its first word's number)."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text", STEP_BYTES):
+            data, offsets, _ = flat(batch.column("text"))
+            hashes, _, _, begin = words(data, offsets, NOT_SPACE)
+            made, doc, at = chosen(hashes, begin, size, width)
+            row = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64)), batch.column("id").take(row), batch.column("text_hash").take(row), pa.array((at - begin[doc]).astype(np.int32))], ["window", "id", "text_hash", "at"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(found, f"window long, id {kind}, text_hash long, at int")
+
+
+def _without(texts: pa.Array, at: pa.Array, size: pa.Array) -> pa.Array:
+    out, words_of, removed_of = [], [], []
+    for text, places, k in zip(texts, at, size.to_pylist(), strict=True):
+        data, offsets, _ = flat(pa.array([text.as_py()], pa.string()))
+        _, start, _, _ = words(data, offsets, NOT_SPACE)
+        words_of.append(len(start))
+        places = places.as_py()
+        if not places:
+            out.append(text.as_py())
+            removed_of.append(0)
+            continue
+        step = np.zeros(len(start) + 1, np.int64)
+        np.add.at(step, np.array(places), 1)
+        np.add.at(step, np.array(places) + k, -1)
+        gone = np.cumsum(step)[:-1] > 0
+        keep = np.repeat(np.append(True, ~gone), np.diff(np.concatenate(([0], start, [len(data)]))))
+        out.append(data[keep].tobytes().decode())
+        removed_of.append(int(gone.sum()))
+    return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(words_of, pa.int32()), pa.array(removed_of, pa.int32())], ["text", "n_words", "n_removed"])
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """docs with one struct column more (its name comes second): text without later occurrences, n_words, n_removed."""
+    out, at = marked(docs, id_col, text_col, K, windows, K)
+    name = free_name(out, "cleaned")
+    return out.withColumn(name, F.arrow_udf(_without, "struct<text: string, n_words: int, n_removed: int>")(F.col(f"`{text_col}`").cast("string"), F.col(at), F.lit(K))).drop(at), name

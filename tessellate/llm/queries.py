@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, packing, pseudonyms, quality_knn, quality_rules, sharding, token_files, url_filter
+from . import decontaminate, jaccard_join, line_dedup, packing, passage_dedup, pseudonyms, quality_knn, quality_rules, sharding, token_files, url_filter
 from .common import read, scratch
 
 #: The listed rules (host, path, verdict).
@@ -49,6 +49,12 @@ def op5_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", s["n_lines"].cast("long").alias("n_lines"), s["n_removed"].cast("long").alias("n_removed"), s["text"].alias("text"))
 
 
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = passage_dedup.cleaned(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    s = F.col(name)
+    return out.select("doc_id", s["n_words"].cast("long").alias("n_words"), s["n_removed"].cast("long").alias("n_removed"), s["text"].alias("text"))
+
+
 def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
@@ -79,7 +85,7 @@ def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return out.select("doc_id", s["n_words"].alias("n_words"), s["n_hit"].alias("n_hit"), F.size(s["items"]).cast("long").alias("n_items"), decontaminate.items_sha256(s).alias("items_sha256"), decontaminate.contaminated(s).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_two_fit_packing, op2_url_filter, op3_partenum_jaccard_join, op4_feistel_pseudonyms, op5_line_window_dedup, op6_hash_tree_sharding, op7_quality_rules, op8_token_files, op9_quality_knn, op10_suffix_array_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_two_fit_packing, op2_url_filter, op3_partenum_jaccard_join, op4_feistel_pseudonyms, op5_line_window_dedup, op5_passage_dedup, op6_hash_tree_sharding, op7_quality_rules, op8_token_files, op9_quality_knn, op10_suffix_array_decontamination)}
 
 
 def _op2_sql() -> str:

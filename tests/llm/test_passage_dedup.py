@@ -1,0 +1,39 @@
+"""Passages planted inside lines, where no three lines are equal."""
+
+import random
+
+import pytest
+
+pytest.importorskip("public_tokenizers")
+from tessellate.llm import line_dedup, passage_dedup
+
+
+def runs(text, n):
+    w = text.split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def test_passages_inside_lines(spark):
+    r = random.Random(7)
+    text = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    long, exact, short = text(300), text(49), text(24)
+    rows = [(i, " ".join([*text(r.randrange(0, 90)), *p, *text(r.randrange(0, 90))])) for i, p in enumerate([long, exact, short] * 3)]
+    rows += [(20, " ".join(long)), (21, None), (22, ""), (23, "  few \n words "), (24, " ".join(text(80)).replace(" ", " \n ", 3)), (25, "é " * 200), (26, rows[1][1]), (None, " ".join(exact))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_words string").repartition(3)
+    before, lines = line_dedup.cleaned(docs)
+    assert all(x[lines]["text"] == x["text"] for x in before.collect())
+    out, name = passage_dedup.cleaned(docs)
+    got = {x["doc_id"]: x[name] for x in out.collect()}
+    old = dict(rows)
+    seen = set()
+    for i in sorted(got, key=lambda i: (i is None, i or 0)):
+        left = got[i]["text"]
+        if i not in (21, 25):
+            assert not runs(left, 49) & seen
+            seen |= runs(old[i], 49)
+            assert len(left.split()) == got[i]["n_words"] - got[i]["n_removed"]
+    assert len(got[20]["text"].split()) <= 48 and len(got[None]["text"].split()) <= 24 and got[26]["text"] == ""
+    assert all(got[i]["text"] == old[i] for i in (0, 1, 2, 5, 8, 21, 22, 23, 24))
+    assert all(200 < got[i]["n_removed"] <= 300 for i in (3, 6)) and all(25 <= got[i]["n_removed"] <= 49 for i in (4, 7))
+    assert got[25]["n_words"] == 200 and got[25]["text"].split() == ["é"] * 25
+    assert passage_dedup.cleaned(docs.limit(0))[0].count() == 0
