@@ -205,12 +205,24 @@ HASH = "(concat('0x', substr(md5(concat_ws('~', {0})), 1, 8))::BIGINT / 42949672
 WITH d AS (SELECT draw, c_custkey, {HASH.format("'a23', draw, c_custkey")} AS u, c_acctbal FROM customer, (SELECT unnest(range(0, 8)) AS draw) WHERE c_custkey < 200)
 SELECT draw::BIGINT AS draw, round(median(u), 6) AS med, round(median(CASE WHEN u > 0.5 THEN u END), 6) AS masked, round(sum(u * abs(c_acctbal)) / sum(abs(c_acctbal)), 6) AS weighted FROM d GROUP BY 1""")
 def draw_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_custkey < 200").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return summaries_of_draws(table(spark, sf_dir, "customer").filter("c_custkey < 200"))
+
+
+def summaries_of_draws(customers: DataFrame) -> DataFrame:
+    c = customers.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(7))))
     d = c.withColumn("u", uniform("a23", F.col("draw"), F.col("c_custkey")))
     w = F.abs("c_acctbal")
     return d.groupBy(F.col("draw").cast("long").alias("draw")).agg(F.round(F.median("u"), 6).alias("med"), F.round(F.median(F.when(F.col("u") > 0.5, F.col("u"))), 6).alias("masked"), F.round(F.sum(F.col("u") * w) / F.sum(w), 6).alias("weighted"))
 
 
+@query("A23_draw_summaries_all", f"""
+WITH d AS (SELECT draw, c_custkey, {HASH.format("'a23', draw, c_custkey")} AS u, c_acctbal FROM customer, (SELECT unnest(range(0, 8)) AS draw))
+SELECT draw::BIGINT AS draw, round(median(u), 6) AS med, round(median(CASE WHEN u > 0.5 THEN u END), 6) AS masked, round(sum(u * abs(c_acctbal)) / sum(abs(c_acctbal)), 6) AS weighted FROM d GROUP BY 1""")
+def draw_summaries_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all customers."""
+    return summaries_of_draws(table(spark, sf_dir, "customer"))
+
+
 @query("A24_variance_split", """
 WITH g AS (SELECT c_nationkey, count(*) AS n, avg(c_acctbal) AS m, var_pop(c_acctbal) AS v FROM customer GROUP BY 1),
 t AS (SELECT sum(n * m) / sum(n) AS mm FROM g)
