@@ -13,6 +13,13 @@ def run(spark, sf_dir, name):
     return catalog.QUERIES[f"{name}_all"](spark, sf_dir)
 
 
+@pytest.mark.parametrize(("name", "column", "kinds"), [("R10_not_applicable", "status", 3), ("R11_exclusive_group", "choice", 3)])
+def test_every_user_and_day(spark, sf_dir, name, column, kinds):
+    got = run(spark, sf_dir, name)
+    assert got.count() == count(spark, sf_dir, "events", "distinct user_id, date_format(ts, 'yyyy-MM-dd')")
+    assert got.select(column).distinct().count() == kinds
+
+
 def test_customers_past_the_prefix_count(spark):
     from tessellate.plans import aggregates
 
