@@ -20,6 +20,12 @@ def test_every_user_and_day(spark, sf_dir, name, column, kinds):
     assert got.select(column).distinct().count() == kinds
 
 
+def test_every_vector_of_the_block(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+    pairs = e.filter("vec_id % 50 = 0").select("label").join(e, "label").count()
+    assert run(spark, sf_dir, "F33_cosine").count() == pairs
+
+
 def test_customers_past_the_prefix_count(spark):
     from tessellate.plans import aggregates
 
