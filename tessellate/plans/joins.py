@@ -308,8 +308,22 @@ WITH k AS (SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey % 9 = 0),
 SELECT p_partkey, coalesce(bool_or(f.p_brand IS NOT NULL), false) AS found, coalesce(bool_or(f.p_size = k.p_size), false) AS same FROM k LEFT JOIN f ON k.p_brand = f.p_brand AND abs(k.p_size - f.p_size) <= 1 GROUP BY 1""")
 def known_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    k = p.filter("p_partkey % 9 = 0").select("p_partkey", "p_brand", "p_size")
-    f = p.filter("p_partkey % 4 = 0").select(F.col("p_brand").alias("b"), F.col("p_size").alias("s"))
+    return known(p.filter("p_partkey % 9 = 0"), p.filter("p_partkey % 4 = 0"))
+
+
+@query("J27_known_list_all", """
+WITH f AS (SELECT p_brand, p_size FROM part JOIN lineitem ON p_partkey = l_partkey AND l_returnflag = 'R' GROUP BY ALL)
+SELECT p_partkey, coalesce(bool_or(f.p_brand IS NOT NULL), false) AS found, coalesce(bool_or(f.p_size = k.p_size), false) AS same FROM part k LEFT JOIN f ON k.p_brand = f.p_brand AND abs(k.p_size - f.p_size) <= 1 GROUP BY 1""")
+def known_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known list: all parts. The findings: the brands and sizes of all returned lines."""
+    p = table(spark, sf_dir, "part")
+    returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    return known(p, p.join(returned, "p_partkey").select("p_brand", "p_size").distinct())
+
+
+def known(k: DataFrame, f: DataFrame) -> DataFrame:
+    k = k.select("p_partkey", "p_brand", "p_size")
+    f = f.select(F.col("p_brand").alias("b"), F.col("p_size").alias("s"))
     j = k.join(f, (F.col("p_brand") == F.col("b")) & (F.abs(F.col("p_size") - F.col("s")) <= 1), "left")
     return j.groupBy("p_partkey").agg(F.coalesce(F.bool_or(F.col("b").isNotNull()), F.lit(False)).alias("found"), F.coalesce(F.bool_or(F.col("s") == F.col("p_size")), F.lit(False)).alias("same"))
 

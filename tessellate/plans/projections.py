@@ -256,9 +256,23 @@ WITH c AS (SELECT n_regionkey, c_nationkey, c_mktsegment, count(*) AS n, avg(c_a
 p AS (SELECT n_regionkey, count(*) AS pn, avg(c_acctbal) AS pm FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 < 4 GROUP BY ALL)
 SELECT c_nationkey::BIGINT AS nation, c_mktsegment AS segment, n, CASE WHEN n >= 5 THEN 'cell' WHEN pn >= 5 THEN 'parent' ELSE 'none' END AS level, round(CASE WHEN n >= 5 THEN m WHEN pn >= 5 THEN pm END, 4) AS mean FROM c JOIN p USING (n_regionkey)""")
 def small_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "customer").filter("c_custkey % 10 < 4").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    cell = x.groupBy("n_regionkey", "c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("m"))
+    return cells(spark, sf_dir, table(spark, sf_dir, "customer").filter("c_custkey % 10 < 4"))
+
+
+def cells(spark: SparkSession, sf_dir: str, customers: DataFrame, *third: str) -> DataFrame:
+    x = customers.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    cell = x.groupBy("n_regionkey", "c_nationkey", "c_mktsegment", *third).agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("m"))
     parent = x.groupBy("n_regionkey").agg(F.count("*").alias("pn"), F.avg("c_acctbal").alias("pm"))
     j = cell.join(F.broadcast(parent), "n_regionkey")
     n, pn = F.col("n"), F.col("pn")
-    return j.select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_mktsegment").alias("segment"), "n", F.when(n >= 5, "cell").when(pn >= 5, "parent").otherwise("none").alias("level"), F.round(F.when(n >= 5, F.col("m")).when(pn >= 5, F.col("pm")), 4).alias("mean"))
+    return j.select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_mktsegment").alias("segment"), *third, "n", F.when(n >= 5, "cell").when(pn >= 5, "parent").otherwise("none").alias("level"), F.round(F.when(n >= 5, F.col("m")).when(pn >= 5, F.col("pm")), 4).alias("mean"))
+
+
+#: The third attribute: the balance in steps of 1000.
+@query("P27_small_cells_to_parent_all", """
+WITH x AS (SELECT *, floor(c_acctbal / 1000)::BIGINT AS band FROM customer JOIN nation ON c_nationkey = n_nationkey),
+c AS (SELECT n_regionkey, c_nationkey, c_mktsegment, band, count(*) AS n, avg(c_acctbal) AS m FROM x GROUP BY ALL),
+p AS (SELECT n_regionkey, count(*) AS pn, avg(c_acctbal) AS pm FROM x GROUP BY ALL)
+SELECT c_nationkey::BIGINT AS nation, c_mktsegment AS segment, band, n, CASE WHEN n >= 5 THEN 'cell' WHEN pn >= 5 THEN 'parent' ELSE 'none' END AS level, round(CASE WHEN n >= 5 THEN m WHEN pn >= 5 THEN pm END, 4) AS mean FROM c JOIN p USING (n_regionkey)""")
+def small_cells_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(spark, sf_dir, table(spark, sf_dir, "customer").withColumn("band", F.floor(F.col("c_acctbal") / 1000)), "band")

@@ -20,6 +20,16 @@ def test_every_user_and_day(spark, sf_dir, name, column, kinds):
     assert got.select(column).distinct().count() == kinds
 
 
+def test_every_customer_in_cells(spark, sf_dir):
+    got = run(spark, sf_dir, "P27_small_cells_to_parent")
+    assert got.agg({"n": "sum"}).first()[0] == count(spark, sf_dir, "customer")
+    assert got.filter("level = 'parent'").count() > 0
+
+
+def test_every_part_is_judged(spark, sf_dir):
+    assert run(spark, sf_dir, "J27_known_list").count() == count(spark, sf_dir, "part")
+
+
 def test_every_vector_of_the_block(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
     pairs = e.filter("vec_id % 50 = 0").select("label").join(e, "label").count()
