@@ -212,7 +212,16 @@ def drop_prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 @query("P21_drop_by_prefix", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_quantity < 3")
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "lineitem").filter("l_quantity < 3").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_tax").alias("x_tax"), F.col("l_discount").alias("x_discount"))
+    return without_prefix(table(spark, sf_dir, "lineitem").filter("l_quantity < 3"))
+
+
+@query("P21_drop_by_prefix_all", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem")
+def ablation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_prefix(table(spark, sf_dir, "lineitem"))
+
+
+def without_prefix(lines: DataFrame) -> DataFrame:
+    x = lines.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_tax").alias("x_tax"), F.col("l_discount").alias("x_discount"))
     return drop_prefixed(x, "x_")
 
 

@@ -31,7 +31,16 @@ def month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("S03_typed_dates", "SELECT l_orderkey, l_linenumber::BIGINT AS line, strftime(l_shipdate, '%Y-%m-%d') AS ship FROM lineitem WHERE l_quantity > 40")
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship"))
+    return typed_lines(table(spark, sf_dir, "lineitem").filter("l_quantity > 40"))
+
+
+@query("S03_typed_dates_all", "SELECT l_orderkey, l_linenumber::BIGINT AS line, strftime(l_shipdate, '%Y-%m-%d') AS ship FROM lineitem")
+def typed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed_lines(table(spark, sf_dir, "lineitem"))
+
+
+def typed_lines(lines: DataFrame) -> DataFrame:
+    return lines.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship"))
 
 
 @query("S04_header_cleanup", "SELECT c_custkey AS customer, c_acctbal AS balance FROM customer")
@@ -153,8 +162,17 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("K06_findings_csv", "SELECT l_orderkey AS element, l_returnflag AS finding FROM lineitem WHERE l_quantity = 50")
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exported(spark, table(spark, sf_dir, "lineitem").filter("l_quantity = 50"))
+
+
+@query("K06_findings_csv_all", "SELECT l_orderkey AS element, l_returnflag AS finding FROM lineitem")
+def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exported(spark, table(spark, sf_dir, "lineitem"))
+
+
+def exported(spark: SparkSession, lines: DataFrame) -> DataFrame:
     path = scratch(spark, "findings")
-    sinks.write_findings(table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select(F.col("l_orderkey").alias("element"), F.col("l_returnflag").alias("finding")), path)
+    sinks.write_findings(lines.select(F.col("l_orderkey").alias("element"), F.col("l_returnflag").alias("finding")), path)
     return spark.read.schema("element long, finding string").option("header", True).option("sep", ";").option("enforceSchema", True).csv(path)
 
 

@@ -13,6 +13,11 @@ def run(spark, sf_dir, name):
     return catalog.QUERIES[f"{name}_all"](spark, sf_dir)
 
 
+@pytest.mark.parametrize("name", ["S03_typed_dates", "P21_drop_by_prefix", "K06_findings_csv"])
+def test_every_line(spark, sf_dir, name):
+    assert run(spark, sf_dir, name).count() == count(spark, sf_dir, "lineitem")
+
+
 @pytest.mark.parametrize(("name", "column", "kinds"), [("R10_not_applicable", "status", 3), ("R11_exclusive_group", "choice", 3)])
 def test_every_user_and_day(spark, sf_dir, name, column, kinds):
     got = run(spark, sf_dir, name)
