@@ -30,6 +30,10 @@ def repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(int(y), round(v, 6)) for y, v in index], "y long, value double")
 
 
+#: The reference's count.
+N_SEEDS = 30
+
+
 @query("M05_repeat_index_bootstrap")
 def repeat_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One solve for each draw; a unit's pairs share its weight."""
@@ -133,14 +137,15 @@ def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("M24_seed_ensemble")
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three fits on hash-weighted rows; the score is their mean."""
+    """N_SEEDS fits on hash-weighted rows; the score is their mean."""
     f = features(spark, sf_dir).cache()
     total = None
-    for seed in range(3):
+    for seed in range(N_SEEDS):
         model, v = _fit(f.withColumn("w", poisson_weight(uniform("m24", seed, F.col("id"))).cast("double")), "w")
-        p = model.transform(v).select("id", vector_to_array("probability")[1].alias(f"p{seed}"))
-        total = p if total is None else total.join(p, "id")
-    return total.select("id", F.round((F.col("p0") + F.col("p1") + F.col("p2")) / 3, 4).alias("score"))
+        if total is None:
+            total = v.select("id", "x")
+        total = model.setProbabilityCol(f"p{seed}").setPredictionCol("").setRawPredictionCol("").transform(total)
+    return total.select("id", F.round(sum((vector_to_array(f"p{seed}")[1] for seed in range(N_SEEDS)), F.lit(0.0)) / N_SEEDS, 4).alias("score"))
 
 
 @query("M26_stratified_folds", f"SELECT doc_id, (row_number() OVER (PARTITION BY quality ORDER BY {HASH.format(chr(39) + 'fold' + chr(39) + ', doc_id')}, doc_id) % 5)::BIGINT AS fold FROM labels")

@@ -12,7 +12,15 @@ from .aggregates import HASH
 from .joins import SERIES_SQL, series
 from .projections import PAIRS_SQL, notice_share_before, pairs
 
+#: The reference's counts of draws; the queries without _all have the few draws of their SQL.
+N_BOOTSTRAP, N_SIMULATIONS = 1000, 5000
 POISSON_SQL = "CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 ELSE 5 END"
+
+
+def more_draws(sql: str, few: int, many: int) -> str:
+    return sql.replace(f"unnest(range(0, {few})) AS draw", f"unnest(range(0, {many})) AS draw")
+
+
 BOOT_SQL = PAIRS_SQL.rstrip() + f""",
 d AS (SELECT draw, growth AS v, {POISSON_SQL} AS w FROM (SELECT draw, growth, {HASH.format("'m01', draw, o_custkey")} AS u FROM p, (SELECT unnest(range(0, 8)) AS draw) WHERE is_valid AND y = 1998)),
 m AS (SELECT draw, v, sum(w) AS w FROM d WHERE w > 0 GROUP BY ALL),
@@ -21,18 +29,29 @@ b AS (SELECT draw::BIGINT AS draw, min(v) FILTER (run >= tot * 0.5) AS med FROM
 """
 
 
-def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bootstrap(spark: SparkSession, sf_dir: str, draws: int = N_BOOTSTRAP) -> DataFrame:
     p = pairs(spark, sf_dir).filter("is_valid and y = 1998").select("o_custkey", "growth")
-    return cluster_bootstrap_median(p, "o_custkey", "growth", 8, "m01").select(F.col("draw").cast("long").alias("draw"), F.col("percentile").alias("med"))
+    return cluster_bootstrap_median(p, "o_custkey", "growth", draws, "m01").select(F.col("draw").cast("long").alias("draw"), F.col("percentile").alias("med"))
 
 
 @query("M01_cluster_bootstrap", BOOT_SQL + "SELECT draw, round(med, 4) AS med FROM b")
 def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap(spark, sf_dir).select("draw", F.round("med", 4).alias("med"))
+    return bootstrap(spark, sf_dir, 8).select("draw", F.round("med", 4).alias("med"))
 
 
 @query("M02_interval_width", BOOT_SQL + "SELECT round(quantile_cont(med, 0.95) - quantile_cont(med, 0.05), 4) AS width FROM b")
 def width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = lambda p: F.percentile("med", F.lit(p))
+    return bootstrap(spark, sf_dir, 8).agg(F.round(q(0.95) - q(0.05), 4).alias("width"))
+
+
+@query("M01_cluster_bootstrap_all", more_draws(BOOT_SQL, 8, N_BOOTSTRAP) + "SELECT draw, round(med, 4) AS med FROM b")
+def cluster_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap(spark, sf_dir).select("draw", F.round("med", 4).alias("med"))
+
+
+@query("M02_interval_width_all", more_draws(BOOT_SQL, 8, N_BOOTSTRAP) + "SELECT round(quantile_cont(med, 0.95) - quantile_cont(med, 0.05), 4) AS width FROM b")
+def width_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = lambda p: F.percentile("med", F.lit(p))
     return bootstrap(spark, sf_dir).agg(F.round(q(0.95) - q(0.05), 4).alias("width"))
 
@@ -41,7 +60,17 @@ def width(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH d AS (SELECT draw, l_discount AS a, l_tax AS t, {POISSON_SQL} AS w FROM (SELECT draw, l_discount, l_tax, {HASH.format("'m03', draw, l_orderkey, l_linenumber")} AS u FROM lineitem, (SELECT unnest(range(0, 4)) AS draw) WHERE l_quantity < 6))
 SELECT draw::BIGINT AS draw, round(sum(w * a) / sum(w * t), 6) AS ratio FROM d GROUP BY 1""")
 def row_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").filter("l_quantity < 6").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return row_ratios(table(spark, sf_dir, "lineitem").filter("l_quantity < 6"), 4)
+
+
+@query("M03_row_bootstrap_ratio_all")
+def row_bootstrap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row in every draw; without SQL, which is too slow for so many (row_ratios is tested with few)."""
+    return row_ratios(table(spark, sf_dir, "lineitem"))
+
+
+def row_ratios(lines: DataFrame, draws: int = N_BOOTSTRAP) -> DataFrame:
+    d = lines.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     w = poisson_weight(uniform("m03", F.col("draw"), F.col("l_orderkey"), F.col("l_linenumber")))
     return d.withColumn("w", w).groupBy(F.col("draw").cast("long").alias("draw")).agg(F.round(F.sum(F.col("w") * F.col("l_discount")) / F.sum(F.col("w") * F.col("l_tax")), 6).alias("ratio"))
 
@@ -98,7 +127,16 @@ d AS (SELECT draw, unit, {HASH.format("'ext', draw, unit")} AS u1, {HASH.format(
 SELECT draw::BIGINT AS draw, unit, CASE WHEN u1 < 0.7 THEN xs[1 + least(floor(u2 * len(xs)), len(xs) - 1)::INT] ELSE 0.0 END AS drag FROM d""")
 def two_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether, and how deep: the depth is drawn from the group's own pool."""
-    d = cohort(spark, sf_dir).join(F.broadcast(pools(spark, sf_dir)), "pr").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return margins(spark, sf_dir, 3)
+
+
+@query("M10_two_margin_draw_all")
+def two_margin_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return margins(spark, sf_dir)
+
+
+def margins(spark: SparkSession, sf_dir: str, draws: int = N_SIMULATIONS) -> DataFrame:
+    d = cohort(spark, sf_dir).join(F.broadcast(pools(spark, sf_dir)), "pr").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = lambda tag: uniform(tag, F.col("draw"), F.col("unit"))
     return d.select(F.col("draw").cast("long").alias("draw"), "unit", F.when(u("ext") < 0.7, pick(F.col("xs"), u("int"))).otherwise(F.lit(0.0)).alias("drag"))
 
@@ -112,18 +150,18 @@ dr AS (SELECT sc, draw, median(growth) AS med, avg(renew::INT) AS renewals, sum(
 """
 
 
-def simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def simulated(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
     """The cohort in every draw and scenario. The scenario is not part of the hash key: the scenarios have common random numbers."""
-    sc = F.explode(F.array(*[F.struct(F.lit(n).alias("sc"), F.lit(b).alias("base"), F.lit(w).alias("weight")) for n, b, w in (("low", 0.02, 0.25), ("mid", 0.05, 0.5), ("high", 0.09, 0.25))]))
-    d = cohort(spark, sf_dir).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("s", sc)
+    sc = F.explode(F.array(*[F.struct(F.lit(name).alias("sc"), F.lit(b).alias("base"), F.lit(w).alias("weight")) for name, b, w in (("low", 0.02, 0.25), ("mid", 0.05, 0.5), ("high", 0.09, 0.25))]))
+    d = cohort(spark, sf_dir).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("s", sc)
     u = lambda tag: uniform(tag, F.col("draw"), F.col("unit"))
     d = d.select(F.col("s.sc").alias("sc"), F.col("s.weight").alias("weight"), F.col("draw").cast("long").alias("draw"), "unit", "v", (u("renew") < 0.65).alias("renew"), (F.col("s.base") + 0.04 * (u("growth") - 0.5)).alias("g"))
     return d.withColumn("growth", 100 * regulated(F.col("g"), F.lit(0.06), F.col("renew")))
 
 
-def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+def draws(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
     g, v = F.col("growth"), F.col("v")
-    return simulated(spark, sf_dir).groupBy("sc", "draw").agg(F.median("growth").alias("med"), F.avg(F.col("renew").cast("int")).alias("renewals"), (F.sum(v * g) / F.sum(v)).alias("weighted"), F.first("weight").alias("weight"))
+    return simulated(spark, sf_dir, n).groupBy("sc", "draw").agg(F.median("growth").alias("med"), F.avg(F.col("renew").cast("int")).alias("renewals"), (F.sum(v * g) / F.sum(v)).alias("weighted"), F.first("weight").alias("weight"))
 
 
 @query("M11_cohort_simulation", SIM_SQL + "SELECT sc, draw::BIGINT AS draw, round(med, 6) AS med, round(renewals, 6) AS renewals, round(weighted, 6) AS weighted FROM dr")
@@ -131,13 +169,27 @@ def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draws(spark, sf_dir).select("sc", "draw", *[F.round(c, 6).alias(c) for c in ("med", "renewals", "weighted")])
 
 
+@query("M11_cohort_simulation_all")
+def monte_carlo_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draws(spark, sf_dir, N_SIMULATIONS).select("sc", "draw", *[F.round(c, 6).alias(c) for c in ("med", "renewals", "weighted")])
+
+
 @query("M12_scenario_mixture", SIM_SQL.rstrip() + """,
 w AS (SELECT med AS v, CASE sc WHEN 'mid' THEN 0.5 ELSE 0.25 END / 10 AS w FROM dr),
 r AS (SELECT v, sum(w) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER () AS tot FROM (SELECT v, sum(w) AS w FROM w GROUP BY v))
 SELECT round(min(v) FILTER (run >= tot * 0.31), 6) AS p31, round(min(v) FILTER (run >= tot * 0.52), 6) AS p52, round(min(v) FILTER (run >= tot * 0.87), 6) AS p87 FROM r""")
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scenarios' draws pooled with their prior weights; quantiles between the steps of the weights, where rounding cannot matter."""
-    d = draws(spark, sf_dir).select("med", (F.col("weight") / 10).alias("w"))
+    return mixed(spark, sf_dir, 10)
+
+
+@query("M12_scenario_mixture_all")
+def mixture_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, sf_dir, N_SIMULATIONS)
+
+
+def mixed(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    d = draws(spark, sf_dir, n).select("med", (F.col("weight") / n).alias("w"))
     p = [weighted_percentile(d, "med", "w", q, [], f"p{q}") for q in (31, 52, 87)]
     return p[0].crossJoin(p[1]).crossJoin(p[2]).select(*[F.round(f"p{q}", 6).alias(f"p{q}") for q in (31, 52, 87)])
 
