@@ -1,12 +1,14 @@
 """N-gram Jaccard join by PartEnum signatures, and its connected components.
 
-The sets are the distinct word shingles of whole texts (as 64-bit hashes). Equal sets are one class. The feature domain is divided into parts, as many as
-a band of sizes asks for; what a set has in one part, hashed, is a signature. Two sets of which |A and B| >= t * |A or B| differ in at
-most d = min(|A|, |B|) * (1 - t) / t features, and each of these spoils one signature at most, so they share all their other signatures:
-
-* a set emits, in the order of their hashes, its first d + k signatures for its own band, and for the band below if a partner may be
-  there. Any partner then shares g of them, where g is at least 1. A set with too few filled parts for this emits single
-  features (the prefix of its set that any partner must meet) besides.
+The sets are the distinct word shingles of whole texts (as 64-bit hashes). Equal sets are one class. The feature domain is divided into first-level
+partitions, as many as a band of sizes asks for, and each of these into n second-level parts. All subsets of n - m parts of a partition are
+enumerated; what a set has in one of them, hashed, is a signature. Two sets of which |A and B| >= t * |A or B| differ in at most
+d = min(|A|, |B|) * (1 - t) / t features, so at most d / (m + 1) partitions hold more than m of these, and in every other one some subset is equal in both:
+
+* a partition is rich in a set that fills more than m of its parts: no subset is then empty. A set emits the signatures of its partitions
+  in their order, up to d / (m + 1) + k rich ones, for its own band, and for the band below if a partner may be there. In the shorter
+  one of two partners' lists, k rich partitions or more have a subset that is equal in both, so they share g signatures, where g is at least 1. A set with too few
+  rich partitions for this (short ones, mostly) emits single features besides: the prefix of its set that any partner must meet.
 * signatures that no other set has are dropped. A set keeps all but its g - 1 most frequent shared signatures; if fewer than g are
   shared it has no partner. By the same argument two partners still meet in the rarest signature that they share.
 * sets that meet become pairs: all in a group of at most `SMALL`; in a larger group, every member with the few that share most. So a family of
@@ -30,6 +32,7 @@ of one signature that very many different sets share is those records. Exact cop
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,25 +40,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, kept_table
+from .common import cut, free_name, kept_table
 from .components import components
 from .hashing import LOWER, NOT_SPACE, STEP_BYTES, grams, mix, words
 from .packing import binary
 from .tokens import flat, steps
 
 #: A band's sizes go from WIDTH ** i to WIDTH ** (i + 1) - 1.
-WIDTH = 8
-#: At a band's top a part has so many features on average; by such a share of a set's size more signatures are emitted than its differences
-#: can spoil. COARSE is for all sets; FINE for those that COARSE leaves in unsettled groups.
-COARSE, FINE = (1.8, 0.04), (0.05, 0.6)
+WIDTH = 4
+#: Features of a first-level partition at a band's top, on average; by such a share of a set's size more partitions are emitted than its
+#: differences can spoil; second-level parts of a partition, and how many of them a subset leaves out. COARSE is for all sets; FINE (partitions
+#: of single features, nothing to leave out) for those that COARSE leaves in unsettled groups.
+COARSE, FINE = (4.2, 0.04, 3, 1), (0.05, 0.6, 1, 0)
 #: Groups of up to SMALL sets give all their pairs; in larger ones every member meets PIVOTS of them.
 SMALL, PIVOTS = 8, 2
 #: Unsettled groups are searched by blocks of about so many sets outside the largest component and so many members.
 OUTSIDE, MEMBERS = 500, 2000
 #: The sets to be verified are fetched by a broadcast of their ids up to so many, else by a shuffle of the texts.
 BROADCAST_ROWS = 1_000_000
-#: Records held by a task before it sends them on.
+#: Records held by a task before it sends them on; bytes of signatures in a part; keys a task knows to be sent already.
 HELD = 400_000
+PART_BYTES = 64_000_000
+SEEN = 1_000_000
 
 SIGNATURE = np.dtype([("t", "<u4"), ("e", "<u8"), ("g", "u1")])
 SHARED = np.dtype([("e", "<u8"), ("t", "<u4"), ("p", "<u4"), ("f", "<u4"), ("g", "u1")])
@@ -110,8 +116,8 @@ def most_different(a: int, b: int, percent: int) -> int:
 class Signer:
     """Signatures of sets at a similarity of percent / 100."""
 
-    def __init__(self, percent: int, fineness: tuple[float, float]):
-        self.percent, (self.fill, self.share) = percent, fineness
+    def __init__(self, percent: int, scheme: tuple[float, float, int, int]):
+        self.percent, (self.fill, self.share, self.subparts, self.out) = percent, scheme
 
     def spoiled(self, size: np.ndarray) -> np.ndarray:
         return size * (100 - self.percent) // self.percent
@@ -122,18 +128,17 @@ class Signer:
     def sign(self, made: np.ndarray, begin: np.ndarray, keys: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The signatures of the sets numbered by keep: signature, entity (key and kind), g."""
         size = np.diff(begin)[keep]
+        keep, size = keep[self.spoiled(size) > 0], size[self.spoiled(size) > 0]  # smaller sets are linked with equal ones only
         band = np.floor(np.log(np.maximum(size, 1) * (1 + 1e-9)) / np.log(WIDTH)).astype(np.int64)
         below = (band > 0) & (-(-self.percent * size // 100) <= WIDTH**band - 1)
         out, poor = [], np.zeros(len(keep), bool)
         for kind, mine, level in ((0, np.arange(len(keep)), band), (1, np.flatnonzero(below), band[below] - 1)):
             if len(mine):
-                sig, of, filled = self._parts(made, begin[keep[mine]], size[mine], level)
-                differ = self.spoiled(np.minimum(size[mine], WIDTH ** (level + 1) - 1))
-                send = np.minimum(filled, differ + self.spare(size[mine]))
-                g = np.minimum(self.spare(-(-self.percent * size[mine] // 100)), filled - differ)
+                differ = self.spoiled(np.minimum(size[mine], WIDTH ** (level + 1) - 1)) // (self.out + 1)
+                sig, of, rich = self._enumerated(made, begin[keep[mine]], size[mine], level, differ + self.spare(size[mine]))
+                g = np.minimum(self.spare(-(-self.percent * size[mine] // 100)), rich - differ)
                 poor[mine[g < 1]] = True
-                first = _first(sig, of, send)
-                out.append((sig[first], keys[keep[mine]][of[first]] | np.uint64(kind), np.maximum(g, 1)[of[first]]))
+                out.append((sig, keys[keep[mine]][of] | np.uint64(kind), np.maximum(g, 1)[of]))
         if poor.any():
             mine = np.flatnonzero(poor)
             at, of = _ranges(begin[keep[mine]], size[mine])
@@ -142,17 +147,35 @@ class Signer:
             out.append((sig[first], keys[keep[mine]][of[first]] | np.uint64(2), np.ones(first.sum(), np.int64)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    def _parts(self, made: np.ndarray, start: np.ndarray, size: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One signature for each filled part of each set; the set it is of; filled parts of each set."""
+    def _enumerated(self, made: np.ndarray, start: np.ndarray, size: np.ndarray, level: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The signatures of each set's partitions, in their order, up to the need-th rich one; the set each is of; rich partitions of each set."""
         at, of = _ranges(start, size)
-        parts = np.maximum(64, np.ceil(WIDTH ** (level + 1.0) / self.fill)).astype(np.uint64)
+        parts = np.ceil(WIDTH ** (level + 1.0) / self.fill).astype(np.uint64)
         h = made[at]
-        part = (h >> np.uint64(20)) % parts[of]
-        order = np.lexsort((part, of))
-        h, part, of = h[order], part[order], of[order]
-        new = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (of[1:] != of[:-1])))
+        cell = (h >> np.uint64(20)) % parts[of] * np.uint64(self.subparts) + (h & np.uint64(0xFFFFF)) % np.uint64(self.subparts)
+        order = np.lexsort((cell, of))
+        h, cell, of = h[order], cell[order], of[order]
+        new = _runs(of, cell)
         content = np.add.reduceat(mix(h + np.uint64(0x9E6C63D0676A9A99)), new)
-        return mix(content ^ mix(part[new] + (level[of[new]].astype(np.uint64) << np.uint64(48)))), of[new], np.bincount(of[new], minlength=len(size))
+        of, part, sub = of[new], cell[new] // np.uint64(self.subparts), (cell[new] % np.uint64(self.subparts)).astype(np.int64)
+        first = _runs(of, part)
+        row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(of))))
+        sums, there = np.zeros((len(first), self.subparts), np.uint64), np.zeros((len(first), self.subparts), bool)
+        sums[row, sub], there[row, sub] = content, True
+        of, part, filled = of[first], part[first], there.sum(1)
+        rich = filled > self.out
+        upto = np.cumsum(rich)
+        base = np.append(0, upto)[np.searchsorted(of, np.arange(len(size)))]
+        sent = upto - rich - base[of] < need[of]
+        of, part, filled, sums, there = of[sent], part[sent], filled[sent], sums[sent], there[sent]
+        sigs, sets = [], []
+        for number, left_out in enumerate(combinations(range(self.subparts), self.out)):
+            left_out = list(left_out)
+            some = filled > there[:, left_out].sum(1)
+            rest = sums[some].sum(1, dtype=np.uint64) - sums[some][:, left_out].sum(1, dtype=np.uint64)
+            sigs.append(mix(rest ^ mix(part[some] + (level[of[some]].astype(np.uint64) << np.uint64(48)) + np.uint64(number << 40))))
+            sets.append(of[some])
+        return np.concatenate(sigs), np.concatenate(sets), np.bincount(of, rich[sent], len(size)).astype(np.int64)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,10 +259,10 @@ def documents(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(found, f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, n long, key long, bits binary")
 
 
-def meetings(docs: DataFrame, size: int, percent: int, fineness: tuple[float, float]) -> DataFrame:
-    """docs: id, text. Rows (kind, x, y): kind 0: a pair of keys x < y; kind 1: key y belongs to the large group x."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts, signer = partitions, Signer(percent, fineness)
+def meetings(docs: DataFrame, size: int, percent: int, scheme: tuple[float, float, int, int], features: int) -> DataFrame:
+    """docs: id, text; features: the sizes of their sets together. Rows (kind, x, y): kind 0: a pair of keys x < y; kind 1: key y belongs to the large group x."""
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-features * SIGNATURE.itemsize // PART_BYTES))
+    signer = Signer(percent, scheme)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, mail = set(), Mail(parts)
@@ -248,6 +271,8 @@ def meetings(docs: DataFrame, size: int, percent: int, fineness: tuple[float, fl
             keys, keep = set_keys(made, begin), []
             for i in np.flatnonzero(np.diff(begin)).tolist():
                 if (k := int(keys[i])) not in seen:
+                    if len(seen) == SEEN:  # copies sent again are dropped with the others of their signature
+                        seen.clear()
                     seen.add(k)
                     keep.append(i)
             sig, entity, g = signer.sign(made, begin, keys, np.array(keep, np.int64))
@@ -320,8 +345,8 @@ def meetings(docs: DataFrame, size: int, percent: int, fineness: tuple[float, fl
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.append(x[one], group[only][of]).view(np.int64)), pa.array(np.append(y[one], e[at]).view(np.int64))], ["kind", "x", "y"])
 
     blobs = "part int, blob binary"
-    sent = _dealt(docs.mapInArrow(emit, blobs), partitions).mapInArrow(shared, blobs)
-    kept = _dealt(_dealt(sent, partitions).mapInArrow(rarest, blobs), partitions)
+    sent = _dealt(docs.mapInArrow(emit, blobs), parts).mapInArrow(shared, blobs)
+    kept = _dealt(_dealt(sent, parts).mapInArrow(rarest, blobs), parts)
     return kept.mapInArrow(met, "kind byte, x long, y long").distinct()
 
 
@@ -445,12 +470,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     classes = cut(known.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     pairs_of = lambda found: found.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
     groups_of = lambda found: found.filter("kind = 1").select(F.col("x").alias("g"), F.col("y").alias("key"))
-    found = cut(meetings(rows, size, percent, COARSE))
+    found = cut(meetings(rows, size, percent, COARSE, known.agg(F.sum("n")).first()[0] or 0))
     labels = components(verified(likely(pairs_of(found), classes, percent), classes, rows, size, percent))
     mixed = unsettled(groups_of(found), labels)
     if mixed.limit(1).count():
         again = texts_of(mixed.select("key"), classes, rows).select("id", "text")
-        found = cut(meetings(again, size, percent, FINE))
+        features = mixed.select("key").distinct().join(classes.select("key", "n"), "key").agg(F.sum("n")).first()[0]
+        found = cut(meetings(again, size, percent, FINE, features))
         labels = merged(labels, verified(likely(pairs_of(found), classes, percent), classes, rows, size, percent))
         mixed = unsettled(groups_of(found), labels)
         labels = merged(labels, verified(in_blocks(mixed, classes, percent), classes, rows, size, percent))
@@ -463,12 +489,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """docs, with its columns: of each group of linked documents the one with the least id (of equal rows: one). Documents without words stay."""
-    marks = cut(join(docs, id_col, text_col, size, percent).filter("n_shingles > 0").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__text"), "component_id"))
-    lost = marks.filter(~F.col("__id").eqNullSafe(F.col("component_id"))).select("__id", "__text").distinct()
-    again = marks.groupBy("__id", "__text").count().filter("count > 1")
-    of_row = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__text"))
+    ident, hashed = free_name(docs, "kept_id"), free_name(docs, "kept_text")
+    marks = cut(join(docs, id_col, text_col, size, percent).filter("n_shingles > 0").select(F.col(f"`{id_col}`").alias(ident), F.col("text_hash").alias(hashed), F.col("component_id").alias("least")))
+    lost = marks.filter(~F.col(ident).eqNullSafe(F.col("least"))).select(ident, hashed).distinct()
+    again = marks.groupBy(ident, hashed).count().filter("count > 1").select(ident, hashed)
+    of_row = F.col(f"`{id_col}`").eqNullSafe(F.col(ident)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(hashed))
     kept = docs.join(lost, of_row, "left_anti")
     if again.limit(1).count():  # equal rows: all but one go
-        twice = kept.join(again.select("__id", "__text"), of_row, "left_semi").dropDuplicates([id_col, text_col])
-        kept = kept.join(again.select("__id", "__text"), of_row, "left_anti").unionByName(twice)
+        twice = kept.join(again, of_row, "left_semi").dropDuplicates([id_col, text_col])
+        kept = kept.join(again, of_row, "left_anti").unionByName(twice)
     return kept

@@ -210,7 +210,7 @@ def jaccard_rows():
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"SMALL": 2, "PIVOTS": 1, "OUTSIDE": 3, "MEMBERS": 4}, {"SMALL": 2, "PIVOTS": 1, "COARSE": (30.0, 0.0), "BROADCAST_ROWS": 0}])
+@pytest.mark.parametrize("limits", [{}, {"COARSE": (6.0, 0.1, 4, 2), "SEEN": 1}, {"SMALL": 2, "PIVOTS": 1, "OUTSIDE": 3, "MEMBERS": 4}, {"SMALL": 2, "PIVOTS": 1, "COARSE": (30.0, 0.0, 3, 1), "PART_BYTES": 2000, "BROADCAST_ROWS": 0}])
 def test_jaccard_join(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(jaccard_join, k, v)
@@ -228,6 +228,31 @@ def test_jaccard_keep_one(spark):
     assert jaccard_join.keep_one(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("scheme", [jaccard_join.COARSE, (6.0, 0.1, 4, 2), (4.0, 0.0, 2, 1), jaccard_join.FINE])
+def test_linked_sets_share_signatures(scheme):
+    """Sets as far apart as links allow share g signatures by the enumeration, or a feature of their prefixes."""
+    r = np.random.default_rng(4)
+    signer = jaccard_join.Signer(75, scheme)
+    by_subsets = 0
+    for size in [3, 4, 5, 8, 15, 16, 17, 40, 63, 64, 70, 100, 255, 256, 300, 900, 1024, 1100] * 6:
+        differ = int(r.integers(0, signer.spoiled(np.array([size]))[0] + 1))
+        lost = int(r.integers(0, differ + 1))
+        a = np.unique(r.integers(1, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[lost:], r.integers(1, 1 << 63, differ - lost, dtype=np.uint64)]))
+        if 100 * (len(a) - lost) < 75 * len(np.union1d(a, b)) or not differ:
+            continue
+        sig, entity, g = signer.sign(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), np.array([0, 4], np.uint64), np.arange(2))
+        of = lambda key, poor: {int(s): int(n) for s, e, n in zip(sig, entity, g, strict=True) if int(e) & ~3 == key and (int(e) & 3 == 2) == poor}  # noqa: E731, B023
+        x, y = of(0, False), of(4, False)
+        shared = x.keys() & y.keys()
+        if of(0, True) and of(4, True):
+            assert shared or of(0, True).keys() & of(4, True).keys()
+        else:
+            by_subsets += 1
+            assert len(shared) >= max(min(x.values(), default=1), min(y.values(), default=1))
+    assert by_subsets > 20
+
+
 def test_bitmaps_bound_the_distance():
     r = np.random.default_rng(1)
     for _ in range(200):
