@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, packing, passage_dedup, pseudonyms, quality_knn, quality_rules, sharding, token_files, url_filter
+from . import decontaminate, jaccard_join, line_dedup, packing, pseudonyms, quality_knn, quality_rules, sharding, token_files, url_filter
 from .common import read, scratch
 
 #: The listed rules (host, path, verdict).
@@ -49,12 +49,6 @@ def op5_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", s["n_lines"].cast("long").alias("n_lines"), s["n_removed"].cast("long").alias("n_removed"), s["text"].alias("text"))
 
 
-def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, name = passage_dedup.cleaned(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    s = F.col(name)
-    return out.select("doc_id", s["n_words"].cast("long").alias("n_words"), s["n_removed"].cast("long").alias("n_removed"), s["text"].alias("text"))
-
-
 def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
@@ -85,7 +79,7 @@ def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return out.select("doc_id", s["n_words"].alias("n_words"), s["n_hit"].alias("n_hit"), F.size(s["items"]).cast("long").alias("n_items"), decontaminate.items_sha256(s).alias("items_sha256"), decontaminate.contaminated(s).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_two_fit_packing, op2_url_filter, op3_partenum_jaccard_join, op4_feistel_pseudonyms, op5_line_window_dedup, op5_passage_dedup, op6_hash_tree_sharding, op7_quality_rules, op8_token_files, op9_quality_knn, op10_suffix_array_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_two_fit_packing, op2_url_filter, op3_partenum_jaccard_join, op4_feistel_pseudonyms, op5_line_window_dedup, op6_hash_tree_sharding, op7_quality_rules, op8_token_files, op9_quality_knn, op10_suffix_array_decontamination)}
 
 
 def _op2_sql() -> str:
@@ -129,15 +123,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
-_OP5_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
-win AS (SELECT doc_id, rid, p, ls[p] || chr(10) || ls[p + 1] || chr(10) || ls[p + 2] AS g FROM (SELECT doc_id, rid, ls, unnest(range(1, len(ls) - 1)) AS p FROM d)),
-later AS (SELECT rid, p FROM (SELECT rid, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS n FROM win) WHERE n > 1),
+_OP5_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents)),
+ln AS (SELECT rid, unnest(ls) AS line, unnest(range(len(ls))) AS l FROM (SELECT rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM d)),
+n AS (SELECT *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM ln),
+w AS (SELECT rid, l, CASE WHEN words > {line_dedup.LONG} THEN list_filter(string_split(regexp_replace(line, '([.!?][\x20\x09-\x0D]+)', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ELSE [line] END AS ps FROM n WHERE words > 0),
+u AS (SELECT rid, l, len(ps) = 1 AS whole, unnest(ps) AS piece, unnest(range(len(ps))) AS k FROM w),
+x AS (SELECT *, list_filter(regexp_split_to_array(piece, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, row_number() OVER (PARTITION BY rid ORDER BY l, k) AS q FROM u),
+docs AS (SELECT rid, list(array_to_string(ws, ' ') ORDER BY q) AS g, list(len(ws) ORDER BY q) AS n, list(whole ORDER BY q) AS whole FROM x GROUP BY rid),
+win AS (
+  SELECT rid, p, g[p] || chr(10) || g[p + 1] || chr(10) || g[p + 2] AS g FROM (SELECT *, unnest(range(1, len(g) - 1)) AS p FROM docs)
+  WHERE n[p] + n[p + 1] + n[p + 2] >= {line_dedup.LEAST} OR whole[p] OR whole[p + 1] OR whole[p + 2]),
+later AS (SELECT rid, p FROM (SELECT rid, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS n FROM win JOIN d USING (rid)) WHERE n > 1),
 gone AS (SELECT DISTINCT rid, p + o AS q FROM later, (VALUES (0), (1), (2)) AS off(o)),
-rest AS (SELECT d.rid, string_agg(x, chr(10) ORDER BY q) AS kept FROM (SELECT rid, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS q FROM d) AS d ANTI JOIN gone ON d.rid = gone.rid AND d.q = gone.q GROUP BY d.rid),
-n AS (SELECT rid, count(*) AS c FROM gone GROUP BY rid)
-SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(c, 0)::BIGINT AS n_removed, CASE WHEN c > 0 THEN coalesce(kept, '') ELSE text END AS text
-FROM d LEFT JOIN n USING (rid) LEFT JOIN rest USING (rid)"""
+kept AS (SELECT rid, l, string_agg(piece, '' ORDER BY q) AS line FROM x ANTI JOIN gone USING (rid, q) GROUP BY rid, l),
+rest AS (SELECT rid, string_agg(line, chr(10) ORDER BY l) AS kept FROM kept GROUP BY rid),
+c AS (SELECT rid, count(*) AS c FROM gone GROUP BY rid),
+r AS (
+  SELECT doc_id, text AS old, coalesce(len(g), 0)::BIGINT AS n_lines, coalesce(c, 0)::BIGINT AS n_removed, CASE WHEN c > 0 THEN coalesce(kept, '') ELSE text END AS text
+  FROM d LEFT JOIN docs USING (rid) LEFT JOIN c USING (rid) LEFT JOIN rest USING (rid))
+SELECT documents.doc_id, n_lines, n_removed, r.text FROM documents JOIN r ON documents.doc_id IS NOT DISTINCT FROM r.doc_id AND documents.text IS NOT DISTINCT FROM r.old"""
 
 _OP10_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),

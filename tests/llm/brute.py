@@ -57,17 +57,33 @@ def contamination(text, items, window=13):
     return len(w), len(hit), sorted(ids)
 
 
-def line_dedup(rows):
+def lines(text, long=24):
+    """[(line's number, piece, whether it is a whole line)] of the lines with a word, long ones wrapped behind sentence ends."""
+    out = []
+    for n, line in enumerate((text or "").split("\n")):
+        if not words(line):
+            continue
+        pieces = re.findall(r"(?s).+?[.!?][\x20\x09-\x0D]+|.+", line) if len(words(line)) > long else [line]
+        pieces = [p for p in pieces if words(p)]
+        out += [(n, p, len(pieces) == 1) for p in pieces]
+    return out
+
+
+def line_dedup(rows, least=13):
     """{(id, text): cleaned} by first occurrences in order of id."""
-    content = lambda t: [x for x in (t or "").split("\n") if x.strip(" \t\x0b\x0c\r")]
     seen, out = {}, {}
-    for ident, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        lines, gone = content(text), set()
-        for p in range(len(lines) - 2):
-            key = tuple(lines[p : p + 3])
-            if seen.setdefault(key, (ident, text, p)) != (ident, text, p):
+    for ident, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        parts, gone = lines(text), set()
+        for p in range(len(parts) - 2):
+            three = parts[p : p + 3]
+            key = tuple(tuple(re.findall(r"[^\x20\x09-\x0D]+", x)) for _, x, _ in three)
+            if (sum(map(len, key)) >= least or any(w for _, _, w in three)) and seen.setdefault(key, (ident, text, p)) != (ident, text, p):
                 gone |= {p, p + 1, p + 2}
-        out[ident, text] = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text
+        left = {}
+        for i, (n, x, _) in enumerate(parts):
+            if i not in gone:
+                left[n] = left.get(n, "") + x
+        out[ident, text] = "\n".join(left.values()) if gone else text
     return out
 
 

@@ -173,15 +173,52 @@ def test_quality_rules(spark):
 def test_line_dedup(spark):
     passage = "one line\ntwo lines\nthree lines\nfour lines"
     rows = [(1, f"start\n{passage}\nend"), (2, f"{passage}\nother"), (3, f"x\n\ny\n{passage}"), (4, "short\ntext"), (5, None), (6, ""), (7, passage), (None, passage + "\ntail"), (8, "a\nb\nc\na\nb\nc\nd"), (4, "short\ntext"), (9, "u\nu\nu\nu\nu")]
+    sentences = "  Here a first sentence stands. And then, a second one? It ends with a third that has some more words, so that all is long! "
+    rows += [(10, "before it. " + "Words of its own come first. " * 2 + sentences + "Last."), (11, "Quite other words, so many that this line is long as well." + sentences + "And then other words follow to the end of it. \r\nnext"), (12, "x. y. z. " + "w " * 30), (13, "x. y. z. " + "v " * 30), (14, "x.\ny.\nz."), (15, "\tx. \ny.\n z.")]
     out, name = line_dedup.cleaned(table(spark, rows).repartition(3))
     got = {(r["doc_id"], r["text"]): r[name]["text"] for r in out.collect()}
     assert got == brute.line_dedup(rows)
     kept = line_dedup.dedupe(table(spark, rows))
     assert kept.columns == ["doc_id", "text", "n_words", "Rules"]
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 4, 5, 6, 8, 9]
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 4, 5, 6, 8, 9, 10, 11, 12, 13, 14]
+    assert "second one" not in got[11, rows[-5][1]] and got[13, rows[-3][1]] == rows[-3][1]
     assert line_dedup.dedupe(table(spark, [])).count() == 0
 
 
+def test_passages_inside_lines_go(spark):
+    """Runs of over 50 words, as sentences, planted at any place of long and short lines."""
+    r = random.Random(11)
+
+    def prose(n):
+        out = []
+        while n > 0:
+            k = min(n, r.randrange(3, 22))
+            out.append(" ".join(f"w{r.randrange(10**6)}" for _ in range(k)) + ".")
+            n -= k
+        return out
+
+    passages = [prose(r.randrange(50, 120)) for _ in range(40)]
+    rows, planted = [], []
+    for i in range(120):
+        p = passages[i % 40]
+        a, b = prose(r.randrange(1, 200)), prose(r.randrange(1, 200))
+        whole = " ".join([*a, *p, *b])
+        if i % 3 == 0:
+            whole = "\n".join([" ".join(a), " ".join(p), " ".join(b)])
+        rows.append((i, whole))
+        planted.append((i, " ".join(p), " ".join(a), " ".join(b)))
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedupe(table(spark, rows).repartition(3)).collect()}
+    left = 0
+    for i, p, a, b in planted:
+        if i < 40:
+            assert got[i] == rows[i][1]
+        else:
+            w, full = got[i].split(), p.split()
+            left += any(tuple(full[k : k + 50]) in set(zip(*[w[o:] for o in range(50)], strict=False)) for k in range(len(full) - 49))
+            assert a in got[i] and b in got[i]
+    assert left <= 2
+
+
 def test_decontamination(spark):
     r = random.Random(3)
     word = lambda: f"w{r.randrange(400)}"
