@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,25 +20,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_to_remove: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; one is set here only where there is none, as in tests."""
+    """This session's part of the checkpoint folder, which all executors share; it goes when the driver ends. Where no folder is set, a local session (as in
+    tests) gets one of this machine, and a cluster an error."""
     context = spark.sparkContext
-    if not (folder := context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")):
-        context.setCheckpointDir(folder := tempfile.mkdtemp(prefix="tessellate-"))
-    return folder
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessellate-"))
+    path = context.getCheckpointDir()
+    if path not in _to_remove:
+        _to_remove.add(path)
+        atexit.register(_remove, context._jvm, path)
+    return path
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is there goes when the driver ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def _remove(jvm: Any, path: str) -> None:
+    """Also after the session's end, as long as the driver's JVM is there."""
+    with contextlib.suppress(Exception):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
 
-    def remove() -> None:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    atexit.register(remove)
-    return path
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -70,7 +81,15 @@ def lower_ascii(text: Column) -> Column:
 
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df does not use (names are compared without case)."""
-    taken = {c.lower() for c in df.columns}
-    while base.lower() in taken:
-        base += "_"
-    return base
+    return added_names(df, (base,))[0]
+
+
+def added_names(df: DataFrame, names: tuple[str, ...]) -> list[str]:
+    """Names for columns that are added together: as wished, with underscores behind those that df has."""
+    out: list[str] = []
+    for name in names:
+        taken = {c.lower() for c in (*df.columns, *out)}
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

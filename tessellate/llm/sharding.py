@@ -5,9 +5,9 @@ of the row's key and the child's own name; the least draw wins. A child's draw d
 changed weight moves rows only into or out of the subtrees whose weights change. A shard that is added in a new region
 takes rows only into itself. Cases:
 
-* null key: hashed as a value of its own; all null keys share a shard. Null text: size 1, crc 0.
+* null key: hashed as the empty text, so that all null and empty keys share a shard. Null text: size 1, crc 0.
 * repeated rows and ties: equal keys share a shard and get slots of their own. Empty table: no rows.
-* extra columns: carried. Names that clash with the added ones are refused by `assign` (it takes the names as parameters).
+* extra columns and clashing names: carried; a column that `assign` adds gets an underscore more where its name is taken.
 * a key with a third of all rows: its shard holds them by definition; slots are dealt in `buckets` parts by the hash of key and text.
 """
 
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import added_names
+
 #: region -> rack -> shard, with the shard's weight
 Tree = dict[str, dict[str, dict[int, float]]]
 
@@ -66,16 +68,14 @@ def assign(docs: DataFrame, key: str = "doc_id", tie: tuple[str, ...] = (), shar
     """docs with its shard, the shard under one more, and its slot: gapless from 0 in each shard, ordered by bucket, key and tie columns.
 
     A shard's rows are ranked within `buckets` parts, and each part starts where the ones before it end: shards * buckets counts, so no task sorts a whole shard."""
-    shard, slot, grown = names
-    k, part, first = F.col(f"`{key}`"), "__part", "__first"
-    if taken := {x.lower() for x in docs.columns} & {x.lower() for x in (*names, part, first)}:
-        raise ValueError(f"columns clash with the added ones: {sorted(taken)}")
+    shard, slot, grown, part, first, of_shard, of_part = added_names(docs, (*names, "slot_part", "slot_first", "first_of_shard", "first_of_part"))
+    k = F.col(f"`{key}`")
     bucket = F.conv(F.substring(F.md5(F.concat_ws("~", F.lit("slot"), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (key, *tie)])), 1, 8), 16, 10).cast("long") % buckets
     placed = docs.withColumns({shard: shard_of(k, grid(shards)), grown: shard_of(k, grid(shards + 1)), part: bucket.cast("int")})
     sizes = placed.groupBy(shard, part).count()
     before = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col(shard).alias("__s"), F.col(part).alias("__p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias(first))
+    starts = sizes.select(F.col(shard).alias(of_shard), F.col(part).alias(of_part), F.coalesce(F.sum("count").over(before), F.lit(0)).alias(first))
     within = Window.partitionBy(shard, part).orderBy(k, *[F.col(f"`{c}`") for c in tie])
     ranked = placed.withColumn(slot, F.row_number().over(within) - 1)
-    out = ranked.join(F.broadcast(starts), (F.col(shard) == F.col("__s")) & (F.col(part) == F.col("__p")))
-    return out.withColumn(slot, (F.col(slot) + F.col(first)).cast("long")).drop("__s", "__p", part, first)
+    out = ranked.join(F.broadcast(starts), (F.col(shard) == F.col(of_shard)) & (F.col(part) == F.col(of_part)))
+    return out.withColumn(slot, (F.col(slot) + F.col(first)).cast("long")).drop(of_shard, of_part, part, first)

@@ -3,7 +3,7 @@
 The dictionary is trained on the serialized id arrays of a bounded, documented sample (about `sample` documents by the hash of their
 id, 2 * sample at most, and at most `sample_chars` characters of each); it changes only the size of the files. Every document is compressed by itself, whole.
 Documents are laid out in ascending id order: a file is a Parquet container of segments, each with its dictionary's hash, an index of
-(id, tokens, place in the payload) and the payload of frames, so that one short document is read by its index entry alone. Cases:
+(id, tokens, place in the payload), its least and greatest id, and the payload of frames, so that one short document is read by its index entry alone. Cases:
 
 * null text: empty, its end id alone. Null ids come first. Very long texts: one frame each, whole.
 * repeated rows and ties: one frame each, ordered by the frame's checksum among equal ids. Empty table: no segments.
@@ -31,7 +31,7 @@ from .tokens import encoder, steps
 SEGMENT_BYTES = 4_000_000
 #: The segments' first token numbers are broadcast up to so many, else joined by a shuffle.
 BROADCAST_ROWS = 500_000
-SEGMENTS = "shard int, segment int, n_docs int, n_tokens long, id_width int, dict_hash string, doc_ids array<long>, tokens array<long>, ends array<long>, payload binary"
+SEGMENTS = "shard int, segment int, min_id long, max_id long, n_docs int, n_tokens long, id_width int, dict_hash string, doc_ids array<long>, tokens array<long>, ends array<long>, payload binary"
 
 
 def train(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int, sample: int = 2000, sample_chars: int = 4000, size: int = 64_000) -> bytes:
@@ -80,10 +80,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
             nonlocal number
             t = pa.Table.from_batches(held)
             ends = np.cumsum(pc.binary_length(t["frame"]).to_numpy()).tolist()
-            row = {"shard": shard, "segment": number, "n_docs": len(t), "n_tokens": pc.sum(t["n"]).as_py(), "id_width": width, "dict_hash": dict_hash, "doc_ids": t["id"].to_pylist(), "tokens": t["n"].to_pylist(), "ends": ends, "payload": b"".join(t["frame"].to_pylist())}
+            known = pc.min_max(t["id"]).as_py()
+            row = {"shard": shard, "segment": number, "min_id": known["min"], "max_id": known["max"], "n_docs": len(t), "n_tokens": pc.sum(t["n"]).as_py(), "id_width": width, "dict_hash": dict_hash, "doc_ids": t["id"].to_pylist(), "tokens": t["n"].to_pylist(), "ends": ends, "payload": b"".join(t["frame"].to_pylist())}
             number += 1
             held.clear()
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("id_width", pa.int32()), ("dict_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())]))
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("min_id", pa.int64()), ("max_id", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("id_width", pa.int32()), ("dict_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())]))
 
         size = 0
         for batch in batches:
@@ -134,11 +135,15 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:
-    """One document's ids: only its segment's row is fetched and only its frame decompressed."""
-    row = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").filter(F.array_contains("doc_ids", doc_id)).first()
-    if row is None:
+    """One document's ids: the files are in order of id, so Parquet's statistics of min_id and max_id leave its segment's file alone, whose index entry
+    says where its frame is. Of documents that share the id the first."""
+    segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").filter((F.col("min_id") <= doc_id) & (F.col("max_id") >= doc_id))
+    place = F.array_position("doc_ids", F.lit(doc_id).cast("long"))
+    entry = segments.select("shard", "segment", "dict_hash", "id_width", place.alias("place"), "ends").filter("place > 0").orderBy("shard", "segment").first()
+    if entry is None:
         return None
-    at = row["doc_ids"].index(doc_id)
-    dictionary = spark.read.parquet(f"{path}/dictionary").filter(F.col("dict_hash") == row["dict_hash"]).first()["dictionary"]
-    frame = bytes(row["payload"])[row["ends"][at - 1] if at else 0 : row["ends"][at]]
-    return np.frombuffer(_codec(bytes(dictionary))[1].decompress(frame), f"<u{row['id_width']}").tolist()
+    at, ends = entry["place"] - 1, entry["ends"]
+    first = ends[at - 1] if at else 0
+    frame = segments.filter((F.col("shard") == entry["shard"]) & (F.col("segment") == entry["segment"])).select(F.substring("payload", first + 1, ends[at] - first).alias("frame")).first()["frame"]
+    dictionary = spark.read.parquet(f"{path}/dictionary").filter(F.col("dict_hash") == entry["dict_hash"]).first()["dictionary"]
+    return np.frombuffer(_codec(bytes(dictionary))[1].decompress(bytes(frame)), f"<u{entry['id_width']}").tolist()

@@ -7,9 +7,10 @@ block. Keys that pass meet the rules in a join on the key itself, so a false pos
 
 * null url or one without `://`: host and path are empty; no rule fits; the default verdict holds.
 * empty and very long urls: whole; only as many labels and prefixes are tried as some rule has.
-* ties: rules of one length that fit one url are told apart by host length, then by the rule's text; a rule listed twice counts once.
+* ties: rules of one length that fit one url are told apart by host length, then by the rule's text; a rule listed twice counts once, one listed
+  with different verdicts has the last of them in order of text (`block` before `allow`). Rules' hosts are lower-cased as those of urls (A-Z).
 * repeated rows: judged alike, each kept. Empty tables: no rows, or the default for all.
-* extra columns and clashing names: `judge` carries all columns and takes the names of those it adds as parameters.
+* extra columns and clashing names: `judge` carries all columns; one that it adds gets an underscore more where its name is taken.
 * one host or url with a third of all rows: urls are made distinct (partial sums first) before anything is expanded; the join
   back is one that adaptive execution can split.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii
+from .common import added_names, free_name, let, lower_ascii
 
 #: Sides under this many bytes are broadcast; their size is measured first.
 BROADCAST_BYTES = 16_000_000
@@ -71,9 +72,9 @@ def passes(candidates: DataFrame, key: str, filter_blocks: DataFrame, blocks: in
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", bits_per_key: int = 16, names: tuple[str, str, str, str] = ("host", "path", "rule", "verdict")) -> DataFrame:
     """pages with host, path, the rule that wins (host then path, else null) and its verdict. rules: host, path, verdict."""
-    host, path, rule, said = names
-    listed = rules.filter("host is not null and path is not null and verdict is not null").select(F.lower("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_said"))
-    listed = listed.withColumn("key", F.concat_ws("\n", "r_host", _prefix(F.col("r_path")))).dropDuplicates(["r_host", "r_path"])
+    host, path, rule, said = added_names(pages, names)
+    listed = rules.filter("host is not null and path is not null and verdict is not null").select(lower_ascii(F.col("host")).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_said"))
+    listed = listed.groupBy("r_host", "r_path").agg(F.max("r_said").alias("r_said")).withColumn("key", F.concat_ws("\n", "r_host", _prefix(F.col("r_path"))))
     size = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("key") + F.octet_length("r_path") + 40), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.size(F.split("r_host", r"\."))), F.lit(0)).alias("labels"), F.coalesce(F.max(F.char_length(F.col("r_path")) - F.char_length(F.translate("r_path", "/", ""))), F.lit(0)).alias("slashes")).first()
     blocks = max(1, -(-size["n"] * bits_per_key // (32 * WORDS)))
     small, tiny_filter = size["bytes"] <= BROADCAST_BYTES, blocks * (WORDS + 2) * 8 <= BROADCAST_BYTES
@@ -96,5 +97,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     fits = exact.filter(F.expr("startswith(u_path, r_path)"))
     text = F.concat("r_host", "r_path")
     best = fits.groupBy("u_host", "u_path").agg(F.max(F.struct(F.char_length(text).alias("length"), F.char_length("r_host").alias("in_host"), text.alias("text"), F.col("r_said").alias("said"))).alias("best"))
-    out = seen.join(best, (F.col(host) == F.col("u_host")) & (F.col(path) == F.col("u_path")), "left")
-    return out.withColumns({rule: F.col("best.text"), said: F.coalesce(F.col("best.said"), F.lit(default))}).drop("u_host", "u_path", "best")
+    of_host, of_path, found = (free_name(seen, x) for x in ("found_host", "found_path", "found_rule"))
+    best = best.select(F.col("u_host").alias(of_host), F.col("u_path").alias(of_path), F.col("best").alias(found))
+    out = seen.join(best, (F.col(host) == F.col(of_host)) & (F.col(path) == F.col(of_path)), "left")
+    return out.withColumns({rule: F.col(found)["text"], said: F.coalesce(F.col(found)["said"], F.lit(default))}).drop(of_host, of_path, found)

@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 import sys
 import zlib
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from tessellate.llm import components, decontaminate, jaccard_join, line_dedup, packing, pseudonyms, quality_knn, quality_rules, sharding, token_files, tokens, url_filter
+from tessellate.llm import components, decontaminate, jaccard_join, line_dedup, packing, pseudonyms, quality_knn, quality_rules, queries, sharding, token_files, tokens, url_filter
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -111,6 +113,7 @@ def test_token_files(spark, tmp_path):
     assert [r["doc_id"] for r in by] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
     want = sorted((repr(i), brute.crc([*plain.encode(t or "", add_special_tokens=False).ids, 2])) for i, t in rows)
     assert sorted((repr(r["doc_id"]), zlib.crc32(bytes(r["ids"]))) for r in got) == want
+    assert token_files.lookup(spark, path, 99) is None and token_files.lookup(spark, path, 12) == [*plain.encode(ODD[12], add_special_tokens=False).ids, 2]
     assert token_files.lookup(spark, path, 5) == [*plain.encode(ODD[5], add_special_tokens=False).ids, 2]
     empty = f"file://{tmp_path}/empty"
     token_files.write(table(spark, []), empty, WORD)
@@ -129,6 +132,11 @@ def test_url_filter(spark):
         got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
         assert got == {i: (r, v) for i, (_, r, v) in enumerate(cases * 2)}
     url_filter.BROADCAST_BYTES = 16_000_000
+    clash = pages.select("page_id", "url", "key", *[F.lit("old").alias(n) for n in ("best", "u_host", "found_host", "Host", "rule", "c_key", "block")])
+    got = url_filter.judge(clash, rules)
+    assert got.columns == [*clash.columns, "host_", "path", "rule_", "verdict"] and {r["page_id"]: (r["rule_"], r["verdict"]) for r in got.collect()} == {i: (r, v) for i, (_, r, v) in enumerate(cases * 2)}
+    both = spark.createDataFrame([("net", "/", "allow"), ("net", "/", "block"), ("\u00c9.org", "/", "block")], rules.schema)
+    assert {r["url"]: r["verdict"] for r in url_filter.judge(pages.select("url").union(spark.createDataFrame([("http://\u00c9.ORG/",), ("http://\u00e9.org/",)], "url string")), both).collect() if r["url"] in ("http://net", "http://\u00c9.ORG/", "http://\u00e9.org/")} == {"http://net": "allow", "http://\u00c9.ORG/": "block", "http://\u00e9.org/": "allow"}
     assert url_filter.judge(pages, rules.limit(0)).filter("verdict = 'allow'").count() == len(cases) * 2
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
@@ -154,8 +162,51 @@ def test_sharding(spark):
     assert all(150 < len(s) < 360 for s in slots.values())
     assert 120 < sum(r["grown_shard"] == 16 for r in got) < 360
     assert sharding.assign(rows.limit(0), "doc_id", tie=("tie",)).count() == 0
-    with pytest.raises(ValueError):
-        sharding.assign(rows.withColumn("SLOT", F.lit(1)))
+    clash = sharding.assign(rows.withColumns({"SLOT": F.lit(1), "slot_part": F.lit("x"), "first_of_shard": F.lit("y")}), "doc_id", tie=("tie",))
+    assert set(clash.columns) == {"doc_id", "tie", "SLOT", "slot_part", "first_of_shard", "shard", "grown_shard", "slot_"}
+    assert sorted((r["shard"], r["slot_"]) for r in clash.collect()) == sorted((r["shard"], r["slot"]) for r in got)
+
+
+def plain_draw(key, children):
+    """The child of least -ln(u) / weight, u from md5(name ~ key)."""
+    u = lambda n: (int(hashlib.md5(f"{n}~{'' if key is None else key}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+    return min(children, key=lambda n: -math.log(u(n)) / children[n]) if len(children) > 1 else next(iter(children))
+
+
+def plain_shard(key, tree):
+    total = lambda racks: sum(sum(s.values()) for s in racks.values())
+    r = plain_draw(key, {r: total(k) for r, k in tree.items()})
+    k = plain_draw(key, {f"{r}/{k}": sum(s.values()) for k, s in tree[r].items()}).rsplit("/", 1)[1]
+    return int(plain_draw(key, {f"{r}/{k}/{s}": w for s, w in tree[r][k].items()}).rsplit("/", 1)[1])
+
+
+def test_sharding_query(spark, sf_dir):
+    """op6 against plain descents of the same trees."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op6_hash_tree_sharding(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        i, data = r["doc_id"], texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(data) + 1, zlib.crc32(data), "key")
+        assert r["shard"] == plain_shard(i, sharding.grid(16)) and r["grown_shard"] == plain_shard(i, sharding.grid(17))
+    for shard in range(16):
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+
+
+def test_a_weight_moves_rows_of_its_subtree_only(spark):
+    """A rack's shard gets heavier while its rack's and region's other weights shrink to the same sum: only rows within that rack move. A heavier region draws rows only into itself."""
+    tree = sharding.grid(16)
+    within = {r: {k: dict(s) for k, s in racks.items()} for r, racks in tree.items()}
+    a, b = within["r1"]["k0"]
+    within["r1"]["k0"][a], within["r1"]["k0"][b] = 1.5, 0.5
+    heavy = {r: {k: {s: w * (2 if r == "r2" else 1) for s, w in x.items()} for k, x in racks.items()} for r, racks in tree.items()}
+    keys = spark.range(3000)
+    rows = keys.select("id", *[sharding.shard_of(F.col("id"), t).alias(n) for n, t in (("old", tree), ("new", within), ("heavy", heavy))]).collect()
+    moved = {(r["old"], r["new"]) for r in rows if r["old"] != r["new"]}
+    assert moved == {(b, a)}
+    drawn = {(r["old"], r["heavy"]) for r in rows if r["old"] != r["heavy"]}
+    assert drawn and all(new in range(8, 12) and old not in range(8, 12) for old, new in drawn)
+    assert all((r["old"], r["new"], r["heavy"]) == tuple(plain_shard(r["id"], t) for t in (tree, within, heavy)) for r in rows[:500])
 
 
 def test_quality_rules(spark):
@@ -175,7 +226,9 @@ def test_line_dedup(spark):
     rows = [(1, f"start\n{passage}\nend"), (2, f"{passage}\nother"), (3, f"x\n\ny\n{passage}"), (4, "short\ntext"), (5, None), (6, ""), (7, passage), (None, passage + "\ntail"), (8, "a\nb\nc\na\nb\nc\nd"), (4, "short\ntext"), (9, "u\nu\nu\nu\nu")]
     sentences = "  Here a first sentence stands. And then, a second one? It ends with a third that has some more words, so that all is long! "
     rows += [(10, "before it. " + "Words of its own come first. " * 2 + sentences + "Last."), (11, "Quite other words, so many that this line is long as well." + sentences + "And then other words follow to the end of it. \r\nnext"), (12, "x. y. z. " + "w " * 30), (13, "x. y. z. " + "v " * 30), (14, "x.\ny.\nz."), (15, "\tx. \ny.\n z.")]
-    out, name = line_dedup.cleaned(table(spark, rows).repartition(3))
+    clash = table(spark, rows).withColumns({"l_id": F.lit(1), "l_hash": F.lit(2), "repeated_id": F.lit(3), "cleaned": F.lit(4), "window": F.lit(5)})
+    out, name = line_dedup.cleaned(clash.repartition(3))
+    assert out.columns == [*clash.columns, name]
     got = {(r["doc_id"], r["text"]): r[name]["text"] for r in out.collect()}
     assert got == brute.line_dedup(rows)
     kept = line_dedup.dedupe(table(spark, rows))
@@ -258,8 +311,9 @@ def test_jaccard_join(spark, monkeypatch, limits):
 
 def test_jaccard_keep_one(spark):
     rows = jaccard_rows()
-    kept = jaccard_join.keep_one(table(spark, rows))
-    assert kept.columns == ["doc_id", "text", "n_words", "Rules"]
+    clash = table(spark, rows).withColumns({"__id": F.lit(1), "kept_id": F.lit(2), "component_id": F.lit(3)})
+    kept = jaccard_join.keep_one(clash)
+    assert kept.columns == clash.columns
     want = {c for _, n, c in brute.components(rows) if n} | {2003, 2004, 2005}
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
     assert jaccard_join.keep_one(table(spark, [])).count() == 0
@@ -333,6 +387,32 @@ def test_pseudonyms_are_permutations(spark):
     assert days.select(pseudonyms.pseudonym(F.col("d"), "k").alias("p")).filter("try_to_date(p) is not null").distinct().count() == 5000
 
 
+def test_votes_are_exact(spark, sf_dir):
+    """op9 against cosines with every labelled vector, one document at a time."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_knn.fit(docs, labels.filter(~quality_knn.held_out(F.col("doc_id"))), "doc_id", "text", "quality")
+    got = {r["doc_id"]: r for r in queries.op9_quality_knn(spark, sf_dir).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert got.keys() == {r["doc_id"] for r in rows}
+    for r in rows:
+        x = quality_knn.terms(pa.array([r["text"]], pa.string()))[0].astype(float) * model.weight
+        v = x @ model.axes.astype(float)
+        v /= max(np.sqrt((v * v).sum()), 1e-12)
+        cosine = sorted(((float((v * y).sum()), float(q)) for y, q in zip(model.vectors.astype(float), model.labels, strict=True)), reverse=True)
+        near = cosine[: model.neighbours]
+        if cosine[model.neighbours - 1][0] - cosine[model.neighbours][0] > 1e-5:  # the neighbours are not tied
+            want = sum(max(c, 1e-6) ** 4 * q for c, q in near) / sum(max(c, 1e-6) ** 4 for c, _ in near)
+            assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-3)
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.3)
+
+
+def test_labelled_ids_that_repeat_are_bounded(spark):
+    docs = spark.range(600).selectExpr("id % 3 doc_id", "concat('text ', id) text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, None), (None, 1)], "doc_id long, quality int")
+    model = quality_knn.fit(docs, labels, "doc_id", "text", "quality")
+    assert len(model.labels) == 2
+
+
 def test_classifier(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = quality_knn.fit(docs, labels.filter(~quality_knn.held_out(F.col("doc_id"))), "doc_id", "text", "quality")
