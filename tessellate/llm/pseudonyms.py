@@ -4,8 +4,9 @@ Found are e-mail addresses, ISO and day-month-year dates, IPv4 addresses, phone
 (13 to 19 digits, in one piece, in groups of four or as 4-6-5 and 4-6-4). Phone numbers have 8 to 15 digits: after a country code (+ or 00, then
 groups of any size), with an area code in brackets, as 3-3-4, or national with groups (French 0x xx xx xx xx, also in one piece; German area code
 and number; Spanish 9 digits). National numbers in one piece without a leading zero are not told from other numbers and stay, as do runs of 16 and
-more digits. A value that passes its check (calendar, octets, Luhn sum) is replaced by another that
-passes it, with the same layout of digits and separators; equal values get equal pseudonyms everywhere, and different ones of a format differ. The key
+more digits. A value that passes its check (calendar, octets without leading zeros, areas and serials, Luhn sum) is replaced by another that
+passes it, with the same layout of digits and separators; equal values get equal pseudonyms everywhere, and different ones of a layout differ. A phone number's
+check is the count of its digits. Of an e-mail address the part before `@` changes. IBANs are not searched. The key
 is a parameter; the same key gives the same permutation. All of it is built-in expressions: a text is split at its values, the
 values are replaced, and the parts are joined again. Cases:
 
@@ -24,7 +25,7 @@ from .common import free_name, let
 EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 DAY_DATE = r"(?<![\d./])\d{2}[/.]\d{2}[/.]\d{4}(?![\d/])"
-IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
+IPV4 = r"(?<![\d.])(?:0|[1-9]\d{0,2})(?:\.(?:0|[1-9]\d{0,2})){3}(?!\.?\d)"
 #: Known by their marks: area code in brackets, French and Spanish numbers after their country codes, any number after a country code.
 MARKED = (
     r"(?:\+?\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}",
@@ -48,8 +49,11 @@ CARD_FORM = r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d
 CARD = r"(?<![\w-])" + CARD_FORM + r"(?!\w)"
 ANY = "|".join((EMAIL, ISO_DATE, DAY_DATE, IPV4, SSN, CARD, PHONE))
 ROUNDS = 10
-#: Days from 1900-01-01 to 2299-12-31: 189 * 773.
+#: Days from 1900-01-01 to 2299-12-31: 189 * 773. Of these, those whose day is at most 12 (day and month can change places): 400 years * 144; the others: 9 * 9833.
 FIRST_DAY, DAYS = "1900-01-01", (189, 773)
+FIRST_YEAR, EITHER, LATE = 1900, (400, 144), (9, 9833)
+#: Areas of social security numbers: 001 to 665 and 667 to 899; groups 01 to 99 and serials 0001 to 9999 are one number.
+AREAS, REST = 898, 99 * 9999
 
 
 def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, tag: Column) -> Column:
@@ -77,6 +81,40 @@ def permuted_digits(digits: Column, key: str, tag: str) -> Column:
     return let(F.char_length(digits), halves)
 
 
+def permuted_text(text: Column, key: str, tag: Column) -> Column:
+    """Letters and digits of a text for others, in their places and cases: a Feistel network over positions, in which each round adds keyed hashes of one half to the
+    other's letters (mod 26) and digits (mod 10). So for any length different texts of one layout have different results."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def changed(s: Column) -> Column:
+        size = F.size(s)
+        half = F.floor(size / 2).cast("int")
+
+        def step(acc: Column, t: Column) -> Column:
+            even = t % 2 == 0
+            other = F.array_join(F.when(even, F.slice(acc, half + 1, size - half)).otherwise(F.slice(acc, F.lit(1), half)), ".")
+            shifts = F.sha2(F.concat_ws("~", F.lit(key), F.lit("text"), tag, t.cast("string"), other), 512)
+            draw = lambda h, i: F.conv(F.substring(h, ((i % 32) * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int")
+            base = lambda i: F.when(F.get(s, i)["digit"], 10).otherwise(26)
+            return let(shifts, lambda h: F.transform(acc, lambda x, i: F.when((i < half) == even, F.pmod(x + draw(h, i) + F.floor(i / 32).cast("int"), base(i))).otherwise(x)))
+
+        mixed = F.reduce(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.transform(s, lambda x: x["v"]), step)
+        char = lambda x, v: F.when(x["digit"], v.cast("string")).when(x["upper"], F.upper(F.substring(F.lit(letters), v + 1, F.lit(1)))).otherwise(F.substring(F.lit(letters), v + 1, F.lit(1)))
+        return F.zip_with(s, mixed, char)
+
+    def symbol(c: Column) -> Column:
+        digit = c.rlike("[0-9]")
+        return F.struct(digit.alias("digit"), c.rlike("[A-Z]").alias("upper"), F.when(digit, F.ascii(c) - 48).otherwise(F.ascii(F.lower(c)) - 97).cast("int").alias("v"))
+
+    def placed(new: Column) -> Column:
+        """The new characters in the places of the old ones."""
+        step = lambda acc, c: F.when(c.rlike("[A-Za-z0-9]"), F.struct((acc["n"] + 1).alias("n"), F.concat(acc["out"], F.get(new, acc["n"])).alias("out"))).otherwise(F.struct(acc["n"].alias("n"), F.concat(acc["out"], c).alias("out")))
+        return F.reduce(F.split(text, ""), F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), step)["out"]
+
+    symbols = F.transform(F.filter(F.split(text, ""), lambda c: c.rlike("[A-Za-z0-9]")), symbol)
+    return let(symbols, lambda s: F.when(F.size(s) == 0, text).otherwise(let(changed(s), placed)))
+
+
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum; a multiple of ten for a valid number."""
 
@@ -120,32 +158,56 @@ def _ip(value: Column, key: str) -> Column:
     return let(F.split(value, r"\."), changed)
 
 
-def _date(value: Column, key: str, layout: Column) -> Column:
-    def changed(day: Column) -> Column:
-        n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        pair = feistel(F.floor(n / DAYS[1]), F.pmod(n, F.lit(DAYS[1])), F.lit(DAYS[0]), F.lit(DAYS[1]), key, F.lit("date"))
-        moved = let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAYS[1] + p["b"]).cast("int")))
-        text = let(moved, lambda m: F.when(layout == "iso", F.date_format(m, "yyyy-MM-dd")).when(layout == "day", F.date_format(m, "dd/MM/yyyy")).otherwise(F.date_format(m, "MM/dd/yyyy")))
-        return F.when((n >= 0) & (n < DAYS[0] * DAYS[1]), text)
+def _ssn(value: Column, key: str) -> Column:
+    """Area (not 000, 666 or from 900 on), and group and serial (neither 0) as one number."""
 
-    iso = F.try_to_date(value, "yyyy-MM-dd")
-    plain = F.translate(value, ".", "/")
-    day, month = F.try_to_date(plain, "dd/MM/yyyy"), F.try_to_date(plain, "MM/dd/yyyy")
-    text = let(F.when(layout == "iso", iso).when(layout == "day", day).otherwise(month), changed)
-    return F.when(value.contains("."), F.translate(text, "/", ".")).otherwise(text)
+    def changed(p: Column) -> Column:
+        area, group, serial = (F.get(p, i).cast("int") for i in range(3))
+        valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+        pair = feistel(F.when(area < 666, area - 1).otherwise(area - 2), (group - 1) * 9999 + serial - 1, F.lit(AREAS), F.lit(REST), key, F.lit("ssn"))
+        pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+        text = let(pair, lambda t: F.concat_ws("-", pad(F.when(t["a"] < 665, t["a"] + 1).otherwise(t["a"] + 2), 3), pad(F.floor(t["b"] / 9999) + 1, 2), pad(t["b"] % 9999 + 1, 4)))
+        return F.when(valid, text)
 
+    return let(F.split(value, "-"), changed)
 
-def _email(value: Column, key: str) -> Column:
-    """Each letter of the part before `@` becomes a letter and each digit a digit, from a keyed hash of the whole address."""
-    name, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
 
-    def char(i: Column) -> Column:
-        c = F.substring(name, i, F.lit(1))
-        draw = F.conv(F.substring(F.md5(F.concat_ws("~", F.lit(key), F.lit("email"), F.lower(value), i.cast("string"))), 1, 8), 16, 10).cast("long")
-        letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (F.pmod(draw, F.lit(26)) + 1).cast("int"), F.lit(1))
-        return F.when(c.rlike(r"\d"), F.pmod(draw, F.lit(10)).cast("string")).when(c.rlike(r"[\p{L}]"), letter).otherwise(c)
+def _days_before(month: Column) -> Column:
+    """Of the days from FIRST_DAY on that are later than a month's 12th, those before the month-th month (from 0)."""
+    first = F.lit(FIRST_DAY).cast("date")
+    return F.datediff(F.add_months(first, month), first) - 12 * month
+
+
+def _late_day(n: Column) -> Column:
+    """The n-th of those days."""
+    guess = F.floor(n * 4800 / (LATE[0] * LATE[1])).cast("int")
+    month = F.array_max(F.filter(F.transform(F.sequence(guess - 2, guess + 2), lambda m: F.greatest(m, F.lit(0))), lambda m: _days_before(m) <= n))
+    return let(month, lambda m: F.date_add(F.add_months(F.lit(FIRST_DAY).cast("date"), m), (n - _days_before(m) + 12).cast("int")))
+
 
-    return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(name)), char), ""), F.lit("@"), domain)
+def _date(value: Column, key: str) -> Column:
+    """A date of the same layout. Where day and month could change places the pseudonym is such a date too, else it is none: two layouts never meet."""
+    start = F.lit(FIRST_DAY).cast("date")
+    among = lambda n, size, tag: feistel(F.floor(n / size[1]), F.pmod(n, F.lit(size[1])), F.lit(size[0]), F.lit(size[1]), key, F.lit(tag))
+    within = lambda day: (day >= start) & (F.year(day) < FIRST_YEAR + EITHER[0])
+    iso = F.try_to_date(value, "yyyy-MM-dd")
+    moved = lambda day: let(among(F.datediff(day, start), DAYS, "date"), lambda p: F.date_format(F.date_add(start, (p["a"] * DAYS[1] + p["b"]).cast("int")), "yyyy-MM-dd"))
+    x, sep, y, year = F.substring(value, 1, 2).try_cast("int"), F.substring(value, 3, 1), F.substring(value, 4, 2).try_cast("int"), F.substring(value, 7, 4).try_cast("int")
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    written = lambda a, b, y: F.concat(two(a), sep, two(b), F.substring(value, 6, 1), F.lpad(y.cast("string"), 4, "0"))
+    either = let(feistel(year - FIRST_YEAR, (x - 1) * 12 + y - 1, F.lit(EITHER[0]), F.lit(EITHER[1]), key, F.lit("either")), lambda p: written(F.floor(p["b"] / 12) + 1, p["b"] % 12 + 1, p["a"] + FIRST_YEAR))
+    months = lambda d: (F.year(d) - FIRST_YEAR) * 12 + F.month(d) - 1
+    late = lambda d: let(among(_days_before(months(d)) + F.dayofmonth(d) - 13, LATE, "late"), lambda p: let(p["a"] * LATE[1] + p["b"], _late_day))
+    plain = F.concat(two(x), F.lit("/"), two(y), F.lit("/"), F.lpad(year.cast("string"), 4, "0"))
+    day_first, month_first = F.try_to_date(plain, "dd/MM/yyyy"), F.try_to_date(plain, "MM/dd/yyyy")
+    dated = lambda d, turned: F.when(within(d), let(late(d), lambda m: written(F.month(m), F.dayofmonth(m), F.year(m)) if turned else written(F.dayofmonth(m), F.month(m), F.year(m))))
+    slashed = F.when(x.between(1, 12) & y.between(1, 12), F.when(year.between(FIRST_YEAR, FIRST_YEAR + EITHER[0] - 1), either)).when(day_first.isNotNull(), dated(day_first, False)).otherwise(dated(month_first, True))
+    return F.when(value.rlike(r"^\d{4}-"), F.when(within(iso), moved(iso))).otherwise(slashed)
+
+
+def _email(value: Column, key: str) -> Column:
+    """The part before `@`; the domain, in lower case, is part of the key."""
+    return F.concat(permuted_text(F.substring_index(value, "@", 1), key, F.lower(F.substring_index(value, "@", -1))), F.lit("@"), F.substring_index(value, "@", -1))
 
 
 def kind_of(value: Column) -> Column:
@@ -154,11 +216,10 @@ def kind_of(value: Column) -> Column:
 
 def pseudonym(value: Column, key: str) -> Column:
     """Another value of the format, or null if the value is not a valid one."""
-    day_first = F.when(value.rlike(r"^\d{4}-"), "iso").when(F.try_to_date(F.translate(value, ".", "/"), "dd/MM/yyyy").isNotNull(), "day").otherwise("month")
     number = lambda tag: let(permuted_digits(digits_of(value), key, tag), lambda d: laid_out(value, d))
     phone = F.when(F.char_length(digits_of(value)).between(8, 17), number("phone"))
     kind = kind_of(value)
-    return F.when(kind == "email", _email(value, key)).when(kind == "date", let(day_first, lambda x: _date(value, key, x))).when(kind == "ip", _ip(value, key)).when(kind == "phone", phone).when(kind == "ssn", number("ssn")).otherwise(_card(value, key))
+    return F.when(kind == "email", _email(value, key)).when(kind == "date", _date(value, key)).when(kind == "ip", _ip(value, key)).when(kind == "phone", phone).when(kind == "ssn", _ssn(value, key)).otherwise(_card(value, key))
 
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> tuple[DataFrame, str]:
