@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import free_names, ranked
 
-def top_share(df: DataFrame, rate: float, order: list[Column], name: str = "granted", by: list[str] | None = None) -> DataFrame:
-    """df with a 0/1 column: 1 for the first bround(rate * n) rows in the order, which must be total (end it with an id).
 
-    The cut is a rank over all rows of a group; where there is no group, the ranks are counted in two steps, so that no task sorts the whole table:
-    the rank of a row is its rank within a range of the first key plus the rows of the ranges before."""
-    if not 0 <= rate <= 1:
+def top_share(df: DataFrame, rate: float | Column, order: list[Column], name: str = "granted", by: list[str] | None = None) -> DataFrame:
+    """df with a 0/1 column: 1 for the first bround(rate * n) rows of each group in the order, which must be total (end it with an id). A rate may be a column
+    that is constant within a group. Groups may be of any size: ranks are counted range by range."""
+    if not isinstance(rate, Column) and not 0 <= rate <= 1:
         raise ValueError("the rate must be within 0..1")
-    if by:
-        w = Window.partitionBy(*by)
-        return df.withColumn(name, (F.row_number().over(w.orderBy(*order)) <= F.bround(F.count("*").over(w) * rate)).cast("int"))
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(F.lit(0))
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(w).alias("__all"))
-    cut = F.bround(F.col("__all") * rate)
-    out = ranged.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__rank") + F.col("__before") <= cut).cast("int"))
-    return out.drop("__part", "__rank", "__before", "__all")
+    place, size = free_names(df, "place_in_group", "size_of_group")
+    share = rate if isinstance(rate, Column) else F.lit(rate)
+    return ranked(df, by or [], order, place, size).withColumn(name, (F.col(place) <= F.bround(F.col(size) * share)).cast("int")).drop(place, size)

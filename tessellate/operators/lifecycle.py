@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .running import free_names
+
 #: The transition table, source state to destinations.
 TRANSITIONS = {
     "CAPTURÉ": ["EN_ATTENTE_IA", "DOUBLON_SUSPECTÉ"],
@@ -38,10 +40,13 @@ def replayed(log: DataFrame, record: str, order: str, state: str) -> DataFrame:
 
 
 def rate_limited(events: DataFrame, key: str, time: str, seconds: int, most: int, name: str = "limited") -> DataFrame:
-    """Whether a row is at least the most-th of its key within the last so many seconds (itself included)."""
-    t = F.unix_seconds(F.col(time).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(t).rangeBetween(-seconds, 0)
-    return events.withColumn(name, F.count("*").over(w) >= most)
+    """Whether a row is at least the most-th of its key within the last so many seconds (itself included). A row stands in its own stretch of that length and, as what
+    came before, in the next one, so that a key with very many rows is dealt over its stretches."""
+    t, stretch, own = free_names(events, "seconds_of_row", "stretch", "own_stretch")
+    copies = events.withColumn(t, F.unix_seconds(F.col(time).cast("timestamp"))).withColumn(own, F.floor(F.col(t) / seconds))
+    copies = copies.withColumn(stretch, F.explode(F.array(F.col(own), F.col(own) + 1)))
+    w = Window.partitionBy(key, stretch).orderBy(t).rangeBetween(-seconds, 0)
+    return copies.withColumn(name, F.count("*").over(w) >= most).filter(F.col(own) == F.col(stretch)).drop(t, stretch, own)
 
 
 def backoff(attempts, cap: int = 600):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def calibration_error(df: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:
     """The expected calibration error over equal bins, one row: partial counts by bin, then a sum over at most `bins` rows."""
@@ -16,9 +18,7 @@ def calibration_error(df: DataFrame, confidence: str, correct: str, bins: int =
 def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """The area under the curve by mid-ranks: ties get their mean rank. Equal scores are counted first, so the running sum has a row for each score."""
     per = df.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    mid = F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2
-    r = per.withColumn("mid", mid)
+    r = running(per, by, [F.col(score)], {"upto": "n"}).withColumn("mid", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     return r.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("n").alias("n_all"), F.sum(F.col("mid") * F.col("pos")).alias("ranks")).withColumn("auc", F.try_divide(F.col("ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * (F.col("n_all") - F.col("n_pos"))))
 
 

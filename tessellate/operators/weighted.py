@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def weighted_mean(value: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(value * weight), F.sum(F.when(value.isNotNull(), weight)))
 
 
-def weighted_percentile(df: DataFrame, value: str, weight: str, p: float, by: list[str], name: str = "percentile") -> DataFrame:
-    """The left-continuous inverse of the weighted distribution: the first value at which the running weight reaches p percent of the whole.
+def weighted_percentiles(df: DataFrame, value: str, weight: str, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """by, and for each name the left-continuous inverse of the weighted distribution: the first value at which the running weight reaches so many percent of the whole.
 
-    Rows without weight take no part. Negative weights, NaN, and p outside 0..100 raise an error; a group without mass has no row (null where there are no groups). Equal
-    values are summed first, so that the running sum has one row for each value."""
-    if not 0 <= p <= 100:
-        raise ValueError("p must be within 0..100")
+    Rows without weight take no part. Negative weights, NaN, and shares outside 0..100 raise an error; a group without mass has no row (null where there are no groups). Equal
+    values are summed first, and all shares are read from one running sum."""
+    if not all(0 <= p <= 100 for p in shares.values()):
+        raise ValueError("a share must be within 0..100")
     bad = F.isnan(F.col(value).cast("double")) | F.isnan(F.col(weight).cast("double")) | (F.col(weight) < 0) | F.col(value).isNull() | F.col(weight).isNull()
     checked = df.withColumn(weight, F.when(bad, F.raise_error(F.lit("a weighted percentile needs numbers and weights of at least 0"))).otherwise(F.col(weight).cast("double")))
     mass = checked.filter(F.col(weight) > 0).groupBy(*by, value).agg(F.sum(weight).alias("__w"))
-    all_rows = Window.partitionBy(*(by or [F.lit(0)]))
-    upto = all_rows.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    runs = mass.withColumns({"__run": F.sum("__w").over(upto), "__all": F.sum("__w").over(all_rows)})
-    return runs.filter(F.col("__run") >= F.col("__all") * (p / 100)).groupBy(*by).agg(F.min(value).alias(name))
+    runs = running(mass, by, [F.col(value)], {"__run": "__w"}, {"__all": "__run"})
+    return runs.groupBy(*by).agg(*[F.min(F.when(F.col("__run") >= F.col("__all") * (p / 100), F.col(value))).alias(n) for n, p in shares.items()])
+
+
+def weighted_percentile(df: DataFrame, value: str, weight: str, p: float, by: list[str], name: str = "percentile") -> DataFrame:
+    return weighted_percentiles(df, value, weight, {name: p}, by)
 
 
 def uniform(*parts: Column | str | int) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.indices import laspeyres, midpoint_change, paasche, shift_share
 from ..operators.metrics import auc, binary_metrics, calibration_error, indicator, wilson
-from ..operators.weighted import uniform, weighted_mean, weighted_percentile
+from ..operators.running import percentiles, running, with_percentiles
+from ..operators.weighted import uniform, weighted_mean, weighted_percentiles
 from ..registry import query, table
 from .joins import CELLS_SQL, SERIES_SQL, cells, series, two_periods
 from .projections import PAIRS_SQL, READINGS_SQL, STATUS_SQL, pairs, readings, status_for
@@ -18,13 +19,16 @@ def year(c: str):
 
 @query("A01_count_median", "SELECT year(o_orderdate)::BIGINT AS y, count(*) AS n, round(median(o_totalprice), 4) AS med FROM orders GROUP BY 1")
 def count_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.round(F.median("o_totalprice"), 4).alias("med"))
+    o = table(spark, sf_dir, "orders").select(year("o_orderdate").alias("y"), "o_totalprice")
+    return with_percentiles(o.groupBy("y").agg(F.count("*").alias("n")), o, ["y"], "o_totalprice", {"m": 0.5}).select("y", "n", F.round("m", 4).alias("med"))
 
 
 @query("A02_mixed_profile", "SELECT year(o_orderdate)::BIGINT AS y, round(median(o_totalprice), 4) AS med, round(avg((o_orderstatus = 'F')::INT), 6) AS share_f, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS mean_f, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
 def mixed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.col("o_orderstatus") == "F"
-    return table(spark, sf_dir, "orders").groupBy(year("o_orderdate").alias("y")).agg(F.round(F.median("o_totalprice"), 4).alias("med"), F.round(F.avg(f.cast("int")), 6).alias("share_f"), F.round(F.avg(F.when(f, F.col("o_totalprice"))), 2).alias("mean_f"), F.count_distinct("o_custkey").alias("customers"))
+    o = table(spark, sf_dir, "orders").withColumn("y", year("o_orderdate"))
+    stats = o.groupBy("y").agg(F.round(F.avg(f.cast("int")), 6).alias("share_f"), F.round(F.avg(F.when(f, F.col("o_totalprice"))), 2).alias("mean_f"), F.count_distinct("o_custkey").alias("customers"))
+    return with_percentiles(stats, o, ["y"], "o_totalprice", {"m": 0.5}).withColumn("med", F.round("m", 4)).drop("m")
 
 
 @query("A03_first_year", "SELECT o_custkey, min(year(o_orderdate))::BIGINT AS first_year FROM orders GROUP BY 1")
@@ -78,13 +82,14 @@ def fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A07_growth_summary", PAIRS_SQL + "SELECT y, is_renewal, count(*) AS n, round(median(growth), 4) AS med, round(sum(growth * o_totalprice) / sum(o_totalprice), 2) AS weighted FROM p WHERE is_valid GROUP BY ALL")
 def growth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir).filter("is_valid")
-    return p.groupBy("y", "is_renewal").agg(F.count("*").alias("n"), F.round(F.median("growth"), 4).alias("med"), F.round(weighted_mean(F.col("growth"), F.col("o_totalprice")), 2).alias("weighted"))
+    stats = p.groupBy("y", "is_renewal").agg(F.count("*").alias("n"), F.round(weighted_mean(F.col("growth"), F.col("o_totalprice")), 2).alias("weighted"))
+    return with_percentiles(stats, p, ["y", "is_renewal"], "growth", {"m": 0.5}).withColumn("med", F.round("m", 4)).drop("m")
 
 
 @query("A08_percentile_spread", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.9) - quantile_cont(o_totalprice, 0.1), 4) AS spread FROM orders GROUP BY 1")
 def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.percentile("o_totalprice", F.array(F.lit(0.1), F.lit(0.9)))
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(q.alias("q")).select("o_orderpriority", F.round(F.col("q")[1] - F.col("q")[0], 4).alias("spread"))
+    q = percentiles(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", {"low": 0.1, "high": 0.9})
+    return q.select("o_orderpriority", F.round(F.col("high") - F.col("low"), 4).alias("spread"))
 
 
 @query("A09_validity_funnel", PAIRS_SQL + """, f AS (SELECT count(*) AS total, count(*) FILTER (no_previous) AS no_previous, count(*) FILTER (bad_value) AS bad_value, count(*) FILTER (bad_gap) AS bad_gap, count(*) FILTER (NOT is_valid) AS any_reason, count(*) FILTER (is_valid) AS valid FROM p)
@@ -151,8 +156,8 @@ def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A16_pivot_median", "SELECT year(o_orderdate)::BIGINT AS y, round(median(o_totalprice) FILTER (o_orderstatus = 'F'), 4) AS f, round(median(o_totalprice) FILTER (o_orderstatus = 'O'), 4) AS o, round(median(o_totalprice) FILTER (o_orderstatus = 'P'), 4) AS p FROM orders GROUP BY 1")
 def pivot_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").withColumn("s", F.lower("o_orderstatus"))
-    return o.groupBy(year("o_orderdate").alias("y")).pivot("s", ["f", "o", "p"]).agg(F.round(F.median("o_totalprice"), 4))
+    o = table(spark, sf_dir, "orders").select(year("o_orderdate").alias("y"), F.lower("o_orderstatus").alias("s"), "o_totalprice")
+    return percentiles(o, ["y", "s"], "o_totalprice", {"m": 0.5}).groupBy("y").pivot("s", ["f", "o", "p"]).agg(F.round(F.first("m"), 4))
 
 
 @query("A17_group_record", "SELECT o_orderpriority, count(*) AS n, round(min(o_totalprice), 2) AS lo, round(max(o_totalprice), 2) AS hi, round(stddev_samp(o_totalprice), 2) AS sd, count(DISTINCT year(o_orderdate)) AS years FROM orders GROUP BY 1")
@@ -192,35 +197,29 @@ def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH m AS (SELECT l_returnflag, l_extendedprice AS v, sum(l_quantity) AS w FROM lineitem WHERE l_quantity > 0 GROUP BY ALL),
 r AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY v ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY l_returnflag) AS tot FROM m)
 SELECT l_returnflag, round(min(v) FILTER (run >= tot * 0.5), 2) AS p50, round(min(v) FILTER (run >= tot * 0.9), 2) AS p90 FROM r GROUP BY 1""")
-def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weighted_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
-    p = [weighted_percentile(li, "l_extendedprice", "l_quantity", q, ["l_returnflag"], f"p{q}") for q in (50, 90)]
-    return p[0].join(p[1], "l_returnflag").select("l_returnflag", F.round("p50", 2).alias("p50"), F.round("p90", 2).alias("p90"))
+    p = weighted_percentiles(li, "l_extendedprice", "l_quantity", {"p50": 50, "p90": 90}, ["l_returnflag"])
+    return p.select("l_returnflag", F.round("p50", 2).alias("p50"), F.round("p90", 2).alias("p90"))
 
 
 HASH = "(concat('0x', substr(md5(concat_ws('~', {0})), 1, 8))::BIGINT / 4294967296.0)"
 
 
 @query("A23_draw_summaries", f"""
-WITH d AS (SELECT draw, c_custkey, {HASH.format("'a23', draw, c_custkey")} AS u, c_acctbal FROM customer, (SELECT unnest(range(0, 8)) AS draw) WHERE c_custkey < 200)
+WITH d AS (SELECT draw, c_custkey, {HASH.format("'a23', draw, c_custkey")} AS u, c_acctbal FROM customer, (SELECT unnest(range(0, 8)) AS draw))
 SELECT draw::BIGINT AS draw, round(median(u), 6) AS med, round(median(CASE WHEN u > 0.5 THEN u END), 6) AS masked, round(sum(u * abs(c_acctbal)) / sum(abs(c_acctbal)), 6) AS weighted FROM d GROUP BY 1""")
 def draw_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries_of_draws(table(spark, sf_dir, "customer").filter("c_custkey < 200"))
+    return summaries_of_draws(table(spark, sf_dir, "customer"))
 
 
 def summaries_of_draws(customers: DataFrame) -> DataFrame:
     c = customers.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(7))))
     d = c.withColumn("u", uniform("a23", F.col("draw"), F.col("c_custkey")))
     w = F.abs("c_acctbal")
-    return d.groupBy(F.col("draw").cast("long").alias("draw")).agg(F.round(F.median("u"), 6).alias("med"), F.round(F.median(F.when(F.col("u") > 0.5, F.col("u"))), 6).alias("masked"), F.round(F.sum(F.col("u") * w) / F.sum(w), 6).alias("weighted"))
-
-
-@query("A23_draw_summaries_all", f"""
-WITH d AS (SELECT draw, c_custkey, {HASH.format("'a23', draw, c_custkey")} AS u, c_acctbal FROM customer, (SELECT unnest(range(0, 8)) AS draw))
-SELECT draw::BIGINT AS draw, round(median(u), 6) AS med, round(median(CASE WHEN u > 0.5 THEN u END), 6) AS masked, round(sum(u * abs(c_acctbal)) / sum(abs(c_acctbal)), 6) AS weighted FROM d GROUP BY 1""")
-def draw_summaries_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all customers."""
-    return summaries_of_draws(table(spark, sf_dir, "customer"))
+    d = d.withColumn("draw", F.col("draw").cast("long"))
+    stats = with_percentiles(d.groupBy("draw").agg(F.round(F.sum(F.col("u") * w) / F.sum(w), 6).alias("weighted")), d, ["draw"], "u", {"m": 0.5})
+    return with_percentiles(stats, d.filter("u > 0.5"), ["draw"], "u", {"above": 0.5}).select("draw", F.round("m", 6).alias("med"), F.round("above", 6).alias("masked"), "weighted")
 
 
 @query("A24_variance_split", """
@@ -311,8 +310,8 @@ def ece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A34_choose_threshold", f"{SCORED_SQL}, r AS (SELECT p, avg(quality) OVER (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING) AS acc FROM z) SELECT round(min(p), 6) AS tau FROM r WHERE acc >= 0.8")
 def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running accuracy over labelled rows, most confident first."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("p"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return scored(spark, sf_dir).withColumn("acc", F.avg("quality").over(w)).filter("acc >= 0.8").agg(F.round(F.min("p"), 6).alias("tau"))
+    runs = running(scored(spark, sf_dir), [], [F.desc("p"), F.col("doc_id")], {"right": "quality", "seen": F.lit(1)})
+    return runs.filter(F.col("right") / F.col("seen") >= 0.8).agg(F.round(F.min("p"), 6).alias("tau"))
 
 
 @query("A35_band_table", "SELECT CASE WHEN p_size < 10 THEN '<10' WHEN p_size < 35 THEN '10-34' ELSE '35+' END AS band, p_brand, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(avg(p_retailprice), 4) END AS mean FROM part GROUP BY 1, 2")
@@ -468,16 +467,13 @@ SELECT round((SELECT corr(ra, rb) FROM r), 6) AS spearman, round((SELECT max(abs
 def forensics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation and the two-sample Kolmogorov-Smirnov distance, from counts of each value: the running sums have one row a value."""
     x = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("a"), F.col("c_nationkey").alias("b"))
-    everything = Window.partitionBy(F.lit(0))
 
     def mid(c: str) -> DataFrame:
         n = x.groupBy(c).agg(F.count("*").alias("n"))
-        w = everything.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return n.select(c, (F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2).alias(f"r{c}"))
+        return running(n, [], [F.col(c)], {"upto": "n"}).select(c, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"r{c}"))
 
     rho = x.join(mid("a"), "a").join(mid("b"), "b").agg(F.round(F.corr("ra", "rb"), 6).alias("spearman"))
     v = x.groupBy("a").agg(*[F.sum((F.col("c_custkey") % 2 == i).cast("int")).alias(f"n{i}") for i in (0, 1)])
-    run = everything.orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
-    share = lambda c: F.sum(c).over(run) / F.sum(c).over(everything)
-    ks = v.select(F.abs(share("n0") - share("n1")).alias("d")).agg(F.round(F.max("d"), 6).alias("ks"))
+    runs = running(v, [], [F.col("a")], {"r0": "n0", "r1": "n1"}, {"t0": "r0", "t1": "r1"})
+    ks = runs.agg(F.round(F.max(F.abs(F.col("r0") / F.col("t0") - F.col("r1") / F.col("t1"))), 6).alias("ks"))
     return rho.crossJoin(ks)

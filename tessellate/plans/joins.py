@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.align import diff, lagged, nearby, outer_aligned, reconciled
 from ..operators.asof import asof_backward, within
+from ..operators.running import with_percentiles
 from ..registry import query, table
 from .projections import PAIRS_SQL, pairs
 
@@ -27,7 +28,8 @@ def left_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J03_pair_growth", PAIRS_SQL + "SELECT y, count(*) AS n, round(median(growth), 4) AS median_growth, round(avg(growth), 2) AS mean_growth, round(sum(growth * o_totalprice) / sum(o_totalprice), 2) AS weighted_growth FROM p WHERE is_valid GROUP BY y")
 def pair_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir).filter("is_valid")
-    return p.groupBy("y").agg(F.count("*").alias("n"), F.round(F.median("growth"), 4).alias("median_growth"), F.round(F.avg("growth"), 2).alias("mean_growth"), F.round(F.sum(F.col("growth") * F.col("o_totalprice")) / F.sum("o_totalprice"), 2).alias("weighted_growth"))
+    stats = p.groupBy("y").agg(F.count("*").alias("n"), F.round(F.avg("growth"), 2).alias("mean_growth"), F.round(F.sum(F.col("growth") * F.col("o_totalprice")) / F.sum("o_totalprice"), 2).alias("weighted_growth"))
+    return with_percentiles(stats, p, ["y"], "growth", {"m": 0.5}).withColumn("median_growth", F.round("m", 4)).drop("m")
 
 
 @query("J03_wrong_key", """
@@ -130,7 +132,7 @@ def anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J12_cross_profiles", "SELECT c_custkey, round(avg(1 / (1 + exp(-(c_acctbal / 1000 - p_size / 10.0)))), 6) AS score FROM customer, (SELECT p_size FROM part WHERE p_partkey < 64) GROUP BY 1")
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every applicant with every profile: the profiles are a stated 64 rows, broadcast."""
-    p = table(spark, sf_dir, "part").filter("p_partkey < 64").select("p_size").limit(64)
+    p = table(spark, sf_dir, "part").filter("p_partkey < 64").select("p_size")
     s = 1 / (1 + F.exp(-(F.col("c_acctbal") / 1000 - F.col("p_size") / 10.0)))
     return table(spark, sf_dir, "customer").crossJoin(F.broadcast(p)).groupBy("c_custkey").agg(F.round(F.avg(s), 6).alias("score"))
 
@@ -149,7 +151,8 @@ def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All windows in one pass: each pair is sent to the windows that hold it."""
     p = pairs(spark, sf_dir).filter("gap > 0.4").withColumn("g", (F.pow(F.col("o_totalprice") / F.col("prev_o_totalprice"), 1 / F.col("gap")) - 1) * 100)
     wins = F.array(*[F.when((F.col("gap") > lo) & (F.col("gap") < hi), F.lit(name)) for name, lo, hi in (("short", 0.5, 1.5), ("long", 0.5, 2.5))])
-    r = p.withColumn("win", F.explode(F.array_compact(wins))).groupBy("y", "win").agg(F.round(F.median("g"), 2).alias("median"), F.round(F.avg("g"), 2).alias("mean"))
+    p = p.select("y", "g", F.explode(F.array_compact(wins)).alias("win"))
+    r = with_percentiles(p.groupBy("y", "win").agg(F.round(F.avg("g"), 2).alias("mean")), p, ["y", "win"], "g", {"m": 0.5}).withColumn("median", F.round("m", 2))
     return r.unpivot(["y", "win"], ["median", "mean"], "agg", "growth")
 
 
@@ -304,17 +307,9 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("J27_known_list", """
-WITH k AS (SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey % 9 = 0), f AS (SELECT p_brand, p_size, p_type FROM part WHERE p_partkey % 4 = 0)
-SELECT p_partkey, coalesce(bool_or(f.p_brand IS NOT NULL), false) AS found, coalesce(bool_or(f.p_size = k.p_size), false) AS same FROM k LEFT JOIN f ON k.p_brand = f.p_brand AND abs(k.p_size - f.p_size) <= 1 GROUP BY 1""")
-def known_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return known(p.filter("p_partkey % 9 = 0"), p.filter("p_partkey % 4 = 0"))
-
-
-@query("J27_known_list_all", """
 WITH f AS (SELECT p_brand, p_size FROM part JOIN lineitem ON p_partkey = l_partkey AND l_returnflag = 'R' GROUP BY ALL)
 SELECT p_partkey, coalesce(bool_or(f.p_brand IS NOT NULL), false) AS found, coalesce(bool_or(f.p_size = k.p_size), false) AS same FROM part k LEFT JOIN f ON k.p_brand = f.p_brand AND abs(k.p_size - f.p_size) <= 1 GROUP BY 1""")
-def known_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def known_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The known list: all parts. The findings: the brands and sizes of all returned lines."""
     p = table(spark, sf_dir, "part")
     returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")).distinct()
@@ -322,10 +317,11 @@ def known_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known(k: DataFrame, f: DataFrame) -> DataFrame:
-    k = k.select("p_partkey", "p_brand", "p_size")
-    f = f.select(F.col("p_brand").alias("b"), F.col("p_size").alias("s"))
-    j = k.join(f, (F.col("p_brand") == F.col("b")) & (F.abs(F.col("p_size") - F.col("s")) <= 1), "left")
-    return j.groupBy("p_partkey").agg(F.coalesce(F.bool_or(F.col("b").isNotNull()), F.lit(False)).alias("found"), F.coalesce(F.bool_or(F.col("s") == F.col("p_size")), F.lit(False)).alias("same"))
+    """A finding meets the known rows of its own size and of the sizes beside it: an equi-join on brand and size."""
+    f = f.select(F.col("p_brand").alias("b"), F.col("p_size").alias("s"), F.explode(F.array(F.col("p_size") - 1, "p_size", F.col("p_size") + 1)).alias("near"))
+    f = f.groupBy("b", "near").agg(F.bool_or(F.col("s") == F.col("near")).alias("same"))
+    j = k.select("p_partkey", "p_brand", "p_size").join(f, (F.col("p_brand") == F.col("b")) & (F.col("p_size") == F.col("near")), "left")
+    return j.select("p_partkey", F.col("b").isNotNull().alias("found"), F.coalesce("same", F.lit(False)).alias("same"))
 
 
 @query("J28_neighbour_recovery", """

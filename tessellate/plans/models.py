@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.allocate import top_share
+from ..operators.running import ranked
 from ..operators.regress import least_squares, repeat_index, spline_basis
 from ..operators.simulate import poisson_weight
 from ..operators.weighted import uniform
@@ -122,7 +123,7 @@ COUNTER_SQL = "WITH f AS (SELECT c_custkey AS id, c_acctbal / 1000 AS bal, c_nat
 @query("M22_counterfactual_score", COUNTER_SQL + " SELECT id, round(avg(1 / (1 + exp(-(0.8 * bal + 0.5 * n - 7)))), 6) AS score FROM f, pr GROUP BY 1")
 def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean over reference profiles: what would be scored if the context were another's. The profiles are a stated 32."""
-    pr = table(spark, sf_dir, "part").filter("p_partkey < 32").select((F.col("p_size") / 5.0).alias("n")).limit(32)
+    pr = table(spark, sf_dir, "part").filter("p_partkey < 32").select((F.col("p_size") / 5.0).alias("n"))
     f = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).alias("bal"))
     return f.crossJoin(F.broadcast(pr)).groupBy("id").agg(F.round(F.avg(merit(F.col("bal"), F.col("n"))), 6).alias("score"))
 
@@ -130,7 +131,7 @@ def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("M23_retained_context", COUNTER_SQL + " SELECT id, round(avg(1 / (1 + exp(-(0.8 * bal + 0.5 * (0.75 * n + 0.25 * c_nationkey) - 7)))), 6) AS score FROM f, pr GROUP BY 1")
 def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the own context is kept."""
-    pr = table(spark, sf_dir, "part").filter("p_partkey < 32").select((F.col("p_size") / 5.0).alias("n")).limit(32)
+    pr = table(spark, sf_dir, "part").filter("p_partkey < 32").select((F.col("p_size") / 5.0).alias("n"))
     f = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).alias("bal"), "c_nationkey")
     return f.crossJoin(F.broadcast(pr)).groupBy("id").agg(F.round(F.avg(merit(F.col("bal"), 0.75 * F.col("n") + 0.25 * F.col("c_nationkey"))), 6).alias("score"))
 
@@ -150,8 +151,8 @@ def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("M26_stratified_folds", f"SELECT doc_id, (row_number() OVER (PARTITION BY quality ORDER BY {HASH.format(chr(39) + 'fold' + chr(39) + ', doc_id')}, doc_id) % 5)::BIGINT AS fold FROM labels")
 def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("quality").orderBy(uniform("fold", F.col("doc_id")), "doc_id"))
-    return table(spark, sf_dir, "labels").select("doc_id", (n % 5).cast("long").alias("fold"))
+    n = ranked(table(spark, sf_dir, "labels").select("doc_id", "quality", uniform("fold", F.col("doc_id")).alias("u")), ["quality"], [F.col("u"), F.col("doc_id")], "n")
+    return n.select("doc_id", (F.col("n") % 5).alias("fold"))
 
 
 @query("M27_weight_interval")
@@ -180,11 +181,9 @@ def pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blend by budget, all at once; agreement with a proxy reference is true by construction at a share of 1."""
     grid = F.explode(F.array(*[F.struct(F.lit(a / 4.0).alias("lam"), F.lit(b / 10.0).alias("budget")) for a in (0, 2, 4) for b in (3, 4)]))
     g = table(spark, sf_dir, "customer").withColumn("g", grid).select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 2).alias("grp"), F.col("c_acctbal").alias("merit"), (F.col("c_custkey") % 100 * 100.0).alias("proxy"), "g.lam", "g.budget")
-    by = Window.partitionBy("lam", "budget")
-    cut = F.bround(F.col("budget") * F.count("*").over(by))
+    by, budget = ["lam", "budget"], F.col("budget")
     blend = F.col("lam") * F.col("merit") + (1 - F.col("lam")) * F.col("proxy")
-    top = lambda score: (F.row_number().over(by.orderBy(score.desc(), "id")) <= cut).cast("int")
-    r = g.withColumns({"pick": top(blend), "ref": top(F.col("merit"))})
+    r = top_share(top_share(g, budget, [blend.desc(), F.asc("id")], "pick", by), budget, [F.desc("merit"), F.asc("id")], "ref", by)
     rate = lambda k: F.avg(F.when(F.col("grp") == k, F.col("pick")))
     return r.groupBy("lam", "budget").agg(F.round(F.avg((F.col("pick") == F.col("ref")).cast("int")), 6).alias("agreement"), F.round(F.abs(rate(0) - rate(1)), 6).alias("gap"))
 
@@ -225,9 +224,8 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("retention"), F.lit(b / 100.0).alias("budget")) for k in (-15, -5, 5, 15) for b in (39, 41)]))
     s = table(spark, sf_dir, "customer").withColumn("g", grid).select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("merit"), "g.retention", "g.budget")
     s = s.withColumn("alt", F.col("merit") + F.col("retention") / 100.0 * (F.col("id") % 50) * 100)
-    by = Window.partitionBy("retention", "budget")
-    top = lambda c: F.row_number().over(by.orderBy(F.desc(c), "id")) <= F.bround(F.col("budget") * F.count("*").over(by))
-    r = s.withColumns({"now_": top("merit"), "then_": top("alt")})
+    by, budget = ["retention", "budget"], F.col("budget")
+    r = top_share(top_share(s, budget, [F.desc("merit"), F.asc("id")], "now_", by), budget, [F.desc("alt"), F.asc("id")], "then_", by)
     return r.groupBy("retention", "budget").agg(F.count_if(F.col("now_") != F.col("then_")).alias("changed"))
 
 

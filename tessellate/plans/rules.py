@@ -91,17 +91,10 @@ def range_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return booklet(spark, sf_dir).select("page", F.when(v < 5000, "V1").when(v > 400000, "V2").when(F.col("pr").rlike("^[12]-") & (v < 50000), "V3").alias("flag"))
 
 
-BOXES_SQL = "WITH k AS (SELECT user_id, sum((event_type = 'error')::INT) AS none_, sum((event_type = 'purchase')::INT) AS a, sum((event_type = 'signup')::INT) AS b, sum((event_type = 'view')::INT) AS c FROM events WHERE event_id % 9 = 0 GROUP BY 1)"
-
-
 def ticks(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(*[F.sum((F.col("event_type") == t).cast("int")).alias(n) for t, n in (("error", "none_"), ("purchase", "a"), ("signup", "b"), ("view", "c"))])
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks(table(spark, sf_dir, "events").filter("event_id % 9 = 0"), "user_id")
-
-
 #: All events, by user and day: over its whole record nearly every user would have every tick.
 DAY_BOXES_SQL = "WITH k AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, sum((event_type = 'error')::INT) AS none_, sum((event_type = 'purchase')::INT) AS a, sum((event_type = 'signup')::INT) AS b, sum((event_type = 'view')::INT) AS c FROM events GROUP BY 1, 2)"
 
@@ -110,33 +103,23 @@ def day_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "user_id", "day")
 
 
-@query("R10_not_applicable", BOXES_SQL + " SELECT user_id, CASE WHEN none_ > 0 AND a + b + c = 0 THEN 'NOT_APPLICABLE' WHEN none_ > 0 THEN 'CONFLICT' ELSE 'FILLED' END AS status FROM k")
-def not_applicable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes(spark, sf_dir).select("user_id", status_of_ticks().alias("status"))
-
-
 def status_of_ticks() -> Column:
     n, any_ = F.col("none_") > 0, F.col("a") + F.col("b") + F.col("c") > 0
     return F.when(n & ~any_, "NOT_APPLICABLE").when(n, "CONFLICT").otherwise("FILLED")
 
 
-@query("R10_not_applicable_all", DAY_BOXES_SQL + " SELECT user_id, day, CASE WHEN none_ > 0 AND a + b + c = 0 THEN 'NOT_APPLICABLE' WHEN none_ > 0 THEN 'CONFLICT' ELSE 'FILLED' END AS status FROM k")
-def not_applicable_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("R10_not_applicable", DAY_BOXES_SQL + " SELECT user_id, day, CASE WHEN none_ > 0 AND a + b + c = 0 THEN 'NOT_APPLICABLE' WHEN none_ > 0 THEN 'CONFLICT' ELSE 'FILLED' END AS status FROM k")
+def not_applicable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return day_boxes(spark, sf_dir).select("user_id", "day", status_of_ticks().alias("status"))
 
 
-@query("R11_exclusive_group", BOXES_SQL + " SELECT user_id, CASE WHEN (a > 0)::INT + (b > 0)::INT + (c > 0)::INT = 0 THEN 'none' WHEN (a > 0)::INT + (b > 0)::INT + (c > 0)::INT = 1 THEN 'one' ELSE 'several' END AS choice FROM k")
-def exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes(spark, sf_dir).select("user_id", choice_of_ticks().alias("choice"))
-
-
 def choice_of_ticks() -> Column:
     n = sum(((F.col(c) > 0).cast("int") for c in "abc"), F.lit(0))
     return F.when(n == 0, "none").when(n == 1, "one").otherwise("several")
 
 
-@query("R11_exclusive_group_all", DAY_BOXES_SQL + " SELECT user_id, day, CASE WHEN (a > 0)::INT + (b > 0)::INT + (c > 0)::INT = 0 THEN 'none' WHEN (a > 0)::INT + (b > 0)::INT + (c > 0)::INT = 1 THEN 'one' ELSE 'several' END AS choice FROM k")
-def exclusive_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("R11_exclusive_group", DAY_BOXES_SQL + " SELECT user_id, day, CASE WHEN (a > 0)::INT + (b > 0)::INT + (c > 0)::INT = 0 THEN 'none' WHEN (a > 0)::INT + (b > 0)::INT + (c > 0)::INT = 1 THEN 'one' ELSE 'several' END AS choice FROM k")
+def exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return day_boxes(spark, sf_dir).select("user_id", "day", choice_of_ticks().alias("choice"))
 
 

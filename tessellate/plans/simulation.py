@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.simulate import cluster_bootstrap_median, pick, poisson_weight, regulated
-from ..operators.weighted import uniform, weighted_percentile
+from ..operators.running import ONE_SORT, largest_group, percentiles, with_percentiles
+from ..operators.simulate import cluster_bootstrap_median, pick, poisson_steps, poisson_weight, regulated
+from ..operators.weighted import uniform, weighted_percentiles
 from ..registry import query, table
 from .aggregates import HASH
 from .joins import SERIES_SQL, series
 from .projections import PAIRS_SQL, notice_share_before, pairs
 
-#: The reference's counts of draws; the queries without _all have the few draws of their SQL.
+#: Counts of draws.
 N_BOOTSTRAP, N_SIMULATIONS = 1000, 5000
-POISSON_SQL = "CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 ELSE 5 END"
+SCENARIOS = (("low", 0.02, 0.25), ("mid", 0.05, 0.5), ("high", 0.09, 0.25))
+POISSON_SQL = "CASE " + " ".join(f"WHEN u < {t!r} THEN {k}" for k, t in enumerate(poisson_steps())) + f" ELSE {len(poisson_steps())} END"
 
 
 def more_draws(sql: str, few: int, many: int) -> str:
@@ -34,37 +36,18 @@ def bootstrap(spark: SparkSession, sf_dir: str, draws: int = N_BOOTSTRAP) -> Dat
     return cluster_bootstrap_median(p, "o_custkey", "growth", draws, "m01").select(F.col("draw").cast("long").alias("draw"), F.col("percentile").alias("med"))
 
 
-@query("M01_cluster_bootstrap", BOOT_SQL + "SELECT draw, round(med, 4) AS med FROM b")
+@query("M01_cluster_bootstrap", more_draws(BOOT_SQL, 8, N_BOOTSTRAP) + "SELECT draw, round(med, 4) AS med FROM b")
 def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap(spark, sf_dir, 8).select("draw", F.round("med", 4).alias("med"))
-
-
-@query("M02_interval_width", BOOT_SQL + "SELECT round(quantile_cont(med, 0.95) - quantile_cont(med, 0.05), 4) AS width FROM b")
-def width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda p: F.percentile("med", F.lit(p))
-    return bootstrap(spark, sf_dir, 8).agg(F.round(q(0.95) - q(0.05), 4).alias("width"))
-
-
-@query("M01_cluster_bootstrap_all", more_draws(BOOT_SQL, 8, N_BOOTSTRAP) + "SELECT draw, round(med, 4) AS med FROM b")
-def cluster_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap(spark, sf_dir).select("draw", F.round("med", 4).alias("med"))
 
 
-@query("M02_interval_width_all", more_draws(BOOT_SQL, 8, N_BOOTSTRAP) + "SELECT round(quantile_cont(med, 0.95) - quantile_cont(med, 0.05), 4) AS width FROM b")
-def width_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda p: F.percentile("med", F.lit(p))
-    return bootstrap(spark, sf_dir).agg(F.round(q(0.95) - q(0.05), 4).alias("width"))
+@query("M02_interval_width", more_draws(BOOT_SQL, 8, N_BOOTSTRAP) + "SELECT round(quantile_cont(med, 0.95) - quantile_cont(med, 0.05), 4) AS width FROM b")
+def width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles(bootstrap(spark, sf_dir), [], "med", {"low": 0.05, "high": 0.95}).select(F.round(F.col("high") - F.col("low"), 4).alias("width"))
 
 
-@query("M03_row_bootstrap_ratio", f"""
-WITH d AS (SELECT draw, l_discount AS a, l_tax AS t, {POISSON_SQL} AS w FROM (SELECT draw, l_discount, l_tax, {HASH.format("'m03', draw, l_orderkey, l_linenumber")} AS u FROM lineitem, (SELECT unnest(range(0, 4)) AS draw) WHERE l_quantity < 6))
-SELECT draw::BIGINT AS draw, round(sum(w * a) / sum(w * t), 6) AS ratio FROM d GROUP BY 1""")
+@query("M03_row_bootstrap_ratio")
 def row_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return row_ratios(table(spark, sf_dir, "lineitem").filter("l_quantity < 6"), 4)
-
-
-@query("M03_row_bootstrap_ratio_all")
-def row_bootstrap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row in every draw; without SQL, which is too slow for so many (row_ratios is tested with few)."""
     return row_ratios(table(spark, sf_dir, "lineitem"))
 
@@ -123,15 +106,10 @@ def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("M10_two_margin_draw", COHORT_SQL.rstrip() + f""", {POOL_SQL},
-d AS (SELECT draw, unit, {HASH.format("'ext', draw, unit")} AS u1, {HASH.format("'int', draw, unit")} AS u2, xs FROM cohort JOIN pool USING (pr), (SELECT unnest(range(0, 3)) AS draw))
+d AS (SELECT draw, unit, {HASH.format("'ext', draw, unit")} AS u1, {HASH.format("'int', draw, unit")} AS u2, xs FROM cohort JOIN pool USING (pr), (SELECT unnest(range(0, {N_SIMULATIONS})) AS draw))
 SELECT draw::BIGINT AS draw, unit, CASE WHEN u1 < 0.7 THEN xs[1 + least(floor(u2 * len(xs)), len(xs) - 1)::INT] ELSE 0.0 END AS drag FROM d""")
 def two_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether, and how deep: the depth is drawn from the group's own pool."""
-    return margins(spark, sf_dir, 3)
-
-
-@query("M10_two_margin_draw_all")
-def two_margin_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return margins(spark, sf_dir)
 
 
@@ -152,46 +130,51 @@ dr AS (SELECT sc, draw, median(growth) AS med, avg(renew::INT) AS renewals, sum(
 
 def simulated(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
     """The cohort in every draw and scenario. The scenario is not part of the hash key: the scenarios have common random numbers."""
-    sc = F.explode(F.array(*[F.struct(F.lit(name).alias("sc"), F.lit(b).alias("base"), F.lit(w).alias("weight")) for name, b, w in (("low", 0.02, 0.25), ("mid", 0.05, 0.5), ("high", 0.09, 0.25))]))
+    sc = F.explode(F.array(*[F.struct(F.lit(name).alias("sc"), F.lit(b).alias("base"), F.lit(w).alias("weight")) for name, b, w in SCENARIOS]))
     d = cohort(spark, sf_dir).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("s", sc)
     u = lambda tag: uniform(tag, F.col("draw"), F.col("unit"))
     d = d.select(F.col("s.sc").alias("sc"), F.col("s.weight").alias("weight"), F.col("draw").cast("long").alias("draw"), "unit", "v", (u("renew") < 0.65).alias("renew"), (F.col("s.base") + 0.04 * (u("growth") - 0.5)).alias("g"))
     return d.withColumn("growth", 100 * regulated(F.col("g"), F.lit(0.06), F.col("renew")))
 
 
-def draws(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    g, v = F.col("growth"), F.col("v")
-    return simulated(spark, sf_dir, n).groupBy("sc", "draw").agg(F.median("growth").alias("med"), F.avg(F.col("renew").cast("int")).alias("renewals"), (F.sum(v * g) / F.sum(v)).alias("weighted"), F.first("weight").alias("weight"))
-
-
-@query("M11_cohort_simulation", SIM_SQL + "SELECT sc, draw::BIGINT AS draw, round(med, 6) AS med, round(renewals, 6) AS renewals, round(weighted, 6) AS weighted FROM dr")
+def draws(spark: SparkSession, sf_dir: str, n: int = N_SIMULATIONS) -> DataFrame:
+    """Per scenario and draw: the median, the share of renewals and the weighted mean of the cohort's growth. A cohort that one row can hold is drawn in place, an array
+    for each draw; a larger one as rows."""
+    c = cohort(spark, sf_dir)
+    if largest_group(c, []) > ONE_SORT:
+        g, v, d = F.col("growth"), F.col("v"), simulated(spark, sf_dir, n)
+        stats = d.groupBy("sc", "draw").agg(F.avg(F.col("renew").cast("int")).alias("renewals"), (F.sum(v * g) / F.sum(v)).alias("weighted"), F.first("weight").alias("weight"))
+        return with_percentiles(stats, d, ["sc", "draw"], "growth", {"med": 0.5})
+    units = c.agg(F.array_sort(F.collect_list(F.struct("unit", "v"))).alias("units"))
+    u = lambda tag, x: uniform(tag, F.col("draw"), x["unit"])
+    drawn = lambda x: F.struct(x["v"].alias("v"), (u("renew", x) < 0.65).alias("renew"), (0.04 * (u("growth", x) - 0.5)).alias("e"))
+    d = spark.range(0, n, 1, spark.sparkContext.defaultParallelism * 4).select(F.col("id").alias("draw")).crossJoin(F.broadcast(units)).select("draw", F.transform("units", drawn).alias("x"))
+    d = d.withColumn("s", F.explode(F.array(*[F.struct(F.lit(name).alias("sc"), F.lit(b).alias("base"), F.lit(w).alias("weight")) for name, b, w in SCENARIOS])))
+    d = d.withColumn("g", F.transform("x", lambda x: 100 * regulated(F.col("s.base") + x["e"], F.lit(0.06), x["renew"])))
+    size, total = F.size("x"), lambda of: F.aggregate(of, F.lit(0.0), lambda acc, y: acc + y)
+    d = d.select("draw", "s.sc", "s.weight", F.sort_array("g").alias("sorted"), (size - 1).alias("last"), total(F.zip_with("x", "g", lambda x, g: x["v"] * g)).alias("vg"), total(F.transform("x", lambda x: x["v"])).alias("v"), F.size(F.filter("x", lambda x: x["renew"])).alias("renewed"))
+    at = lambda k: F.get("sorted", k.cast("int"))
+    return d.select("sc", "draw", ((at(F.floor(F.col("last") / 2)) + at(F.ceil(F.col("last") / 2))) / 2).alias("med"), (F.col("renewed") / (F.col("last") + 1)).alias("renewals"), (F.col("vg") / F.col("v")).alias("weighted"), "weight")
+
+
+@query("M11_cohort_simulation", more_draws(SIM_SQL, 10, N_SIMULATIONS) + "SELECT sc, draw::BIGINT AS draw, round(med, 6) AS med, round(renewals, 6) AS renewals, round(weighted, 6) AS weighted FROM dr")
 def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draws(spark, sf_dir).select("sc", "draw", *[F.round(c, 6).alias(c) for c in ("med", "renewals", "weighted")])
 
 
-@query("M11_cohort_simulation_all")
-def monte_carlo_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return draws(spark, sf_dir, N_SIMULATIONS).select("sc", "draw", *[F.round(c, 6).alias(c) for c in ("med", "renewals", "weighted")])
-
-
-@query("M12_scenario_mixture", SIM_SQL.rstrip() + """,
-w AS (SELECT med AS v, CASE sc WHEN 'mid' THEN 0.5 ELSE 0.25 END / 10 AS w FROM dr),
+@query("M12_scenario_mixture", more_draws(SIM_SQL, 10, N_SIMULATIONS).rstrip() + f""",
+w AS (SELECT med AS v, CASE sc WHEN 'mid' THEN 0.5 ELSE 0.25 END / {N_SIMULATIONS} AS w FROM dr),
 r AS (SELECT v, sum(w) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER () AS tot FROM (SELECT v, sum(w) AS w FROM w GROUP BY v))
 SELECT round(min(v) FILTER (run >= tot * 0.31), 6) AS p31, round(min(v) FILTER (run >= tot * 0.52), 6) AS p52, round(min(v) FILTER (run >= tot * 0.87), 6) AS p87 FROM r""")
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scenarios' draws pooled with their prior weights; quantiles between the steps of the weights, where rounding cannot matter."""
-    return mixed(spark, sf_dir, 10)
-
-
-@query("M12_scenario_mixture_all")
-def mixture_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark, sf_dir, N_SIMULATIONS)
+    return mixed(spark, sf_dir)
 
 
-def mixed(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+def mixed(spark: SparkSession, sf_dir: str, n: int = N_SIMULATIONS) -> DataFrame:
     d = draws(spark, sf_dir, n).select("med", (F.col("weight") / n).alias("w"))
-    p = [weighted_percentile(d, "med", "w", q, [], f"p{q}") for q in (31, 52, 87)]
-    return p[0].crossJoin(p[1]).crossJoin(p[2]).select(*[F.round(f"p{q}", 6).alias(f"p{q}") for q in (31, 52, 87)])
+    p = weighted_percentiles(d, "med", "w", {f"p{q}": q for q in (31, 52, 87)}, [])
+    return p.select(*[F.round(f"p{q}", 6).alias(f"p{q}") for q in (31, 52, 87)])
 
 
 RULES_SQL = SERIES_SQL.rstrip() + """,
@@ -240,7 +223,7 @@ def loss_to_lease(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each value against its segment's median of the year before."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     c = table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), F.year("l_shipdate").cast("long").alias("y"), "p_brand", F.col("l_extendedprice").alias("v"))
-    m = c.groupBy((F.col("y") + 1).alias("y"), "p_brand").agg(F.median("v").alias("med"))
+    m = percentiles(c.select((F.col("y") + 1).alias("y"), "p_brand", "v"), ["y", "p_brand"], "v", {"med": 0.5})
     return c.join(m, ["y", "p_brand"]).select("l_orderkey", "line", F.round(F.col("v") / F.col("med") - 1, 6).alias("loss"))
 
 
@@ -252,7 +235,7 @@ SELECT round(sum((p - q) * ln(p / q)), 8) AS psi FROM c""")
 def drift_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The population stability index over the base period's quantile bins."""
     li = table(spark, sf_dir, "lineitem").select("l_extendedprice", (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("base"))
-    e = li.filter("base").agg(F.percentile("l_extendedprice", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("e"))
+    e = percentiles(li.filter("base"), [], "l_extendedprice", {f"e{i}": i / 5 for i in range(1, 5)}).select(F.array(*[f"e{i}" for i in range(1, 5)]).alias("e"))
     bin_ = sum(((F.col("l_extendedprice") > F.col("e")[i]).cast("int") for i in range(4)), F.lit(0))
     c = li.crossJoin(F.broadcast(e)).groupBy(bin_.alias("bin")).agg(F.count_if("base").alias("a"), F.count_if(~F.col("base")).alias("b"))
     w = Window.partitionBy(F.lit(0))

@@ -65,19 +65,18 @@ def levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_brand", "p_type").cast("long").alias("d"), near.alias("near"))
 
 
-@query("F09_identifier_scan", "SELECT doc_id, regexp_matches(upper(text), '\\b[A-Z]{1,2}\\s?[0-9]{5,7}\\b') AS cin FROM documents WHERE lang = 'en'")
+@query("F09_identifier_scan", "SELECT doc_id, regexp_matches(upper(text), '\\b[A-Z]{1,2}\\s?[0-9]{5,7}\\b') AS cin FROM documents")
 def scanner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).filter("lang = 'en'")
-    return d.select("doc_id", F.array_contains(strings.scan(F.col("text"), F.lit("note")), "CIN").alias("cin"))
+    return docs(spark, sf_dir).select("doc_id", F.array_contains(strings.scan(F.col("text"), F.lit("note")), "CIN").alias("cin"))
 
 
 @query("P25_redaction", """
-SELECT doc_id, CASE WHEN source = 'src3' THEN 'NOT_SUPPLIED' WHEN bad THEN 'TO_REVIEW' ELSE 'KEPT' END AS status, source = 'src3' OR bad AS redacted FROM (SELECT doc_id, source, regexp_matches(upper(text), '\\b[A-Z]{1,2}\\s?[0-9]{5,7}\\b') AS bad FROM documents WHERE lang = 'en')""")
+SELECT doc_id, CASE WHEN source = 'src3' THEN 'NOT_SUPPLIED' WHEN bad THEN 'TO_REVIEW' ELSE 'KEPT' END AS status, source = 'src3' OR bad AS redacted FROM (SELECT doc_id, source, regexp_matches(upper(text), '\\b[A-Z]{1,2}\\s?[0-9]{5,7}\\b') AS bad FROM documents)""")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value in an identifier field is never kept; one that looks like an identifier elsewhere goes to review."""
     field = F.when(F.col("source") == "src3", F.lit("inline.patiente")).otherwise(F.lit("inline.note"))
     ident, hit = strings.is_identifier_field(field), F.array_contains(strings.scan(F.col("text"), F.lit("lieu")), "CIN")
-    return docs(spark, sf_dir).filter("lang = 'en'").select("doc_id", F.when(ident, "NOT_SUPPLIED").when(hit, "TO_REVIEW").otherwise("KEPT").alias("status"), (ident | hit).alias("redacted"))
+    return docs(spark, sf_dir).select("doc_id", F.when(ident, "NOT_SUPPLIED").when(hit, "TO_REVIEW").otherwise("KEPT").alias("status"), (ident | hit).alias("redacted"))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +192,7 @@ b AS (SELECT DISTINCT w, concat('_', substr(w, 2)) AS broken FROM v)
 SELECT broken, w AS best FROM (SELECT b.broken, v.w, row_number() OVER (PARTITION BY broken ORDER BY n DESC, v.w) AS r FROM (SELECT DISTINCT broken FROM b) b JOIN v ON substr(v.w, 2) = substr(b.broken, 2)) WHERE r = 1""")
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word with its first glyph missing becomes the most frequent word that fits: an equi-join on the rest of the word."""
-    v = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).withColumn("rest", F.substring("w", 2, 1000))
+    v = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).withColumn("rest", F.expr("substring(w, 2)"))
     return v.groupBy("rest").agg(F.min(F.struct((-F.col("n")).alias("n"), "w")).alias("b")).select(F.concat(F.lit("_"), F.col("rest")).alias("broken"), F.col("b.w").alias("best"))
 
 
@@ -217,15 +216,8 @@ def json_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.bit_count(F.col("event_id").bitwiseXOR(F.col("user_id"))).cast("long").alias("bits"))
 
 
-@query("F33_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding, b.embedding), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0 AND b.vec_id % 7 = 0")
+@query("F33_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding, b.embedding), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0")
 def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated query set against a seventh of the rows of its block."""
-    a, b, dot = query_vectors(spark, sf_dir)
-    return cosine_of(a, b.filter("b % 7 = 0"), dot)
-
-
-@query("F33_cosine_all", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding, b.embedding), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0")
-def cosine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stated query set against all rows of its block."""
     return cosine_of(*query_vectors(spark, sf_dir))
 

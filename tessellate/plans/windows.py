@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..operators.allocate import top_share
+from ..operators.running import percentiles, ranked
 from ..operators.pairs import consecutive
 from ..registry import query, table
 from .joins import PLANE_SQL, SERIES_SQL, plane, series
@@ -125,7 +126,7 @@ def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("W17_median_pitch", PLANE_SQL + ", d AS (SELECT label, x - lag(x) OVER (PARTITION BY label ORDER BY x, vec_id) AS p FROM e) SELECT label, round(median(p), 6) AS pitch FROM d WHERE p > 0.001 GROUP BY 1")
 def pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = plane(spark, sf_dir).withColumn("p", F.col("x") - F.lag("x").over(Window.partitionBy("label").orderBy("x", "vec_id")))
-    return d.filter("p > 0.001").groupBy("label").agg(F.round(F.median("p"), 6).alias("pitch"))
+    return percentiles(d.filter("p > 0.001"), ["label"], "p", {"m": 0.5}).select("label", F.round("m", 6).alias("pitch"))
 
 
 @query("W18_monotone_axis", PLANE_SQL + ", d AS (SELECT label, vec_id - lag(vec_id) OVER (PARTITION BY label ORDER BY x, vec_id) AS s FROM e) SELECT label, count(*) FILTER (s > 0) AS up, count(*) FILTER (s < 0) AS down, count(*) FILTER (s > 0) = 0 OR count(*) FILTER (s < 0) = 0 AS ordered FROM d GROUP BY 1")
@@ -138,8 +139,7 @@ def monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("W19_running_number", f"{READINGS_SQL}, s AS (SELECT event_id, {STATUS_SQL} AS status FROM r) SELECT event_id, concat(substr(status, 1, 2), '-', lpad((row_number() OVER (PARTITION BY status ORDER BY event_id))::VARCHAR, 5, '0')) AS number FROM s")
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = readings(spark, sf_dir).select("event_id", status_for(F.col("v"), F.col("conf")).alias("status"))
-    n = F.row_number().over(Window.partitionBy("status").orderBy("event_id"))
-    return s.select("event_id", F.format_string("%s-%05d", F.substring("status", 1, 2), n).alias("number"))
+    return ranked(s, ["status"], [F.col("event_id")], "n").select("event_id", F.format_string("%s-%05d", F.substring("status", 1, 2), "n").alias("number"))
 
 
 @query("W20_id_suffix", "SELECT p_partkey, CASE WHEN n = 1 THEN base ELSE concat(base, '-', n) END AS id FROM (SELECT p_partkey, concat(p_brand, '/', p_size) AS base, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS n FROM part)")
@@ -202,10 +202,10 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", "event_id", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("T08_severity_listing", "SELECT l_orderkey, l_linenumber::BIGINT AS line FROM lineitem WHERE l_quantity > 45 ORDER BY l_suppkey, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, -l_discount, l_orderkey, l_linenumber")
+@query("T08_severity_listing", "SELECT l_orderkey, l_linenumber::BIGINT AS line FROM lineitem ORDER BY l_suppkey, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, -l_discount, l_orderkey, l_linenumber")
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").orderBy("l_suppkey", rank, -F.col("l_discount"), "l_orderkey", "l_linenumber")
+    li = table(spark, sf_dir, "lineitem").orderBy("l_suppkey", rank, -F.col("l_discount"), "l_orderkey", "l_linenumber")
     return li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"))
 
 
@@ -217,7 +217,7 @@ def most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("T11_quantile_threshold", "SELECT round(quantile_cont(c_acctbal, 0.6), 4) AS threshold FROM customer WHERE c_custkey % 2 = 0")
 def quantile_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").agg(F.round(F.percentile("c_acctbal", F.lit(0.6)), 4).alias("threshold"))
+    return percentiles(table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0"), [], "c_acctbal", {"p": 0.6}).select(F.round("p", 4).alias("threshold"))
 
 
 @query("T12_best_configuration", "SELECT p_type, p_partkey AS config FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS r FROM part) WHERE r = 1")

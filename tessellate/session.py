@@ -6,8 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -16,12 +17,30 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
     return SparkSession.builder.master(master).config(map=base | conf).getOrCreate()
 
 
+_to_remove: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is set here only where there is none, as in tests."""
+    """This session's part of the checkpoint folder, which all executors share; it goes when the driver ends. Where no folder is set, a local session (as in
+    tests) gets one of this machine, and a cluster an error."""
     context = spark.sparkContext
-    if not (folder := context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")):
-        context.setCheckpointDir(folder := tempfile.mkdtemp(prefix="tessellate-"))
-    return folder
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessellate-"))
+    path = context.getCheckpointDir()
+    if path not in _to_remove:
+        _to_remove.add(path)
+        atexit.register(_remove, context._jvm, path)
+    return path
+
+
+def _remove(jvm: Any, path: str) -> None:
+    """Also after the session's end, as long as the driver's JVM is there."""
+    with contextlib.suppress(Exception):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -30,12 +49,11 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is there goes when the driver ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def remove() -> None:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            delete(spark, path)
 
-    atexit.register(remove)
-    return path
+def cut(df: DataFrame) -> DataFrame:
+    """df, written once to the shared checkpoint folder, so that every later use sees the same rows and a lost executor costs no recomputation of what is above."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -6,7 +6,7 @@ from tessellate import catalog
 from tessellate.plans import models, simulation
 
 
-@pytest.mark.parametrize(("name", "draws"), [("M01_cluster_bootstrap_all", 1000), ("M03_row_bootstrap_ratio_all", 1000), ("M10_two_margin_draw_all", 5000), ("M11_cohort_simulation_all", 5000)])
+@pytest.mark.parametrize(("name", "draws"), [("M01_cluster_bootstrap", 1000), ("M03_row_bootstrap_ratio", 1000), ("M10_two_margin_draw", 5000), ("M11_cohort_simulation", 5000)])
 def test_draws(spark, sf_dir, name, draws):
     assert catalog.QUERIES[name](spark, sf_dir).select("draw").distinct().count() == draws
 
