@@ -165,7 +165,7 @@ def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("M12_scenario_mixture", more_draws(SIM_SQL, 10, N_SIMULATIONS).rstrip() + f""",
 w AS (SELECT med AS v, CASE sc WHEN 'mid' THEN 0.5 ELSE 0.25 END / {N_SIMULATIONS} AS w FROM dr),
 r AS (SELECT v, sum(w) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER () AS tot FROM (SELECT v, sum(w) AS w FROM w GROUP BY v))
-SELECT round(min(v) FILTER (run >= tot * 0.31), 6) AS p31, round(min(v) FILTER (run >= tot * 0.52), 6) AS p52, round(min(v) FILTER (run >= tot * 0.87), 6) AS p87 FROM r""")
+SELECT round(min(v) FILTER (run >= tot * 0.310025), 6) AS p31, round(min(v) FILTER (run >= tot * 0.520025), 6) AS p52, round(min(v) FILTER (run >= tot * 0.870025), 6) AS p87 FROM r""")
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scenarios' draws pooled with their prior weights; quantiles between the steps of the weights, where rounding cannot matter."""
     return mixed(spark, sf_dir)
@@ -173,7 +173,7 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, sf_dir: str, n: int = N_SIMULATIONS) -> DataFrame:
     d = draws(spark, sf_dir, n).select("med", (F.col("weight") / n).alias("w"))
-    p = weighted_percentiles(d, "med", "w", {f"p{q}": q for q in (31, 52, 87)}, [])
+    p = weighted_percentiles(d, "med", "w", {f"p{q}": q + 0.0025 for q in (31, 52, 87)}, [])
     return p.select(*[F.round(f"p{q}", 6).alias(f"p{q}") for q in (31, 52, 87)])
 
 
