@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
+import gc
 import uuid
 from collections.abc import Callable
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete, shared_folder
+
 #: Characters that end a word in the contracts on words: space, and tab to carriage return.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -20,30 +19,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_to_remove: set[str] = set()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """This session's part of the checkpoint folder, which all executors share; it goes when the driver ends. Where no folder is set, a local session (as in
-    tests) gets one of this machine, and a cluster an error."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessellate-"))
-    path = context.getCheckpointDir()
-    if path not in _to_remove:
-        _to_remove.add(path)
-        atexit.register(_remove, context._jvm, path)
-    return path
-
-
-def _remove(jvm: Any, path: str) -> None:
-    """Also after the session's end, as long as the driver's JVM is there."""
-    with contextlib.suppress(Exception):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+#: The tables that `cut` wrote, in order.
+written: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -52,17 +29,19 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder, so that a lost executor costs no recomputation of what is above."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def kept_table(df: DataFrame) -> DataFrame:
-    """The same as a Parquet table in the shared folder: for what is joined again in loops, where a checkpoint would carry on the plan's size
-    estimates, which multiply in every join until their digits fill the driver."""
-    path = scratch(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written once as a Parquet table in the shared folder, so that a lost executor costs no recomputation of what is above. (A checkpoint
+    would take several times the disk, and carry on the plan's size estimates, which multiply in every join until their digits fill the driver.)"""
+    written.append(scratch(df.sparkSession, "table"))
+    df.write.parquet(written[-1])
+    return df.sparkSession.read.schema(df.schema).parquet(written[-1])
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that no later step reads, and lets go of the shuffles behind them."""
+    while paths:
+        delete(spark, paths.pop())
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_table
+from .common import cut
 
 #: So many links or fewer are joined by one task (a few tens of MB); more of them by rounds of least labels over all tasks.
 ONE_TASK = 400_000
@@ -17,8 +17,8 @@ ONE_TASK = 400_000
 
 def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """links: a long, b long. Per key in a link: key, component (the least key that it reaches). Both ways give the same rows."""
-    links = kept_table(links.select("a", "b").distinct())
-    return kept_table(_joined(links) if links.count() <= one_task else _rounds(links))
+    links = cut(links.select("a", "b").distinct())
+    return cut(_joined(links) if links.count() <= one_task else _rounds(links))
 
 
 def _joined(links: DataFrame) -> DataFrame:
@@ -48,13 +48,13 @@ def _rounds(links: DataFrame) -> DataFrame:
     """Each round, a key takes the least label among its own and its neighbours', then its label's label; the rounds grow as the logarithm of
     the longest path. Labels are minima with partial sums, so a key with very many links costs no task its whole list; each round
     is a table in the shared folder."""
-    edges = kept_table(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = kept_table(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")).select("key", F.least("key", "near").alias("component")))
+    edges = cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")).select("key", F.least("key", "near").alias("component")))
     while True:
         near = edges.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("component").alias("near"))
-        taken = kept_table(labels.join(near, "key").select("key", F.col("component").alias("old"), F.least("component", "near").alias("component")))
+        taken = cut(labels.join(near, "key").select("key", F.col("component").alias("old"), F.least("component", "near").alias("component")))
         jump = taken.select(F.col("key").alias("component"), F.col("component").alias("next"))
-        labels = kept_table(taken.join(jump, "component").select("key", "old", F.col("next").alias("component")))
+        labels = cut(taken.join(jump, "component").select("key", "old", F.col("next").alias("component")))
         if labels.filter("component != old").limit(1).count() == 0:
             return labels.select("key", "component")
         labels = labels.select("key", "component")

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, kept_table
+from .common import cut, free_name
 from .components import components
 from .hashing import LOWER, NOT_SPACE, STEP_BYTES, grams, mix, words
 from .packing import binary
@@ -352,24 +352,24 @@ def meetings(docs: DataFrame, size: int, percent: int, scheme: tuple[float, floa
 
 def texts_of(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """key, id, text of one document for each key (of more where an id is repeated)."""
-    wanted = kept_table(keys.distinct().join(classes.select("key", F.col("id").alias("of")), "key"))
+    wanted = cut(keys.distinct().join(classes.select("key", F.col("id").alias("of")), "key"))
     return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, F.col("id").eqNullSafe(F.col("of"))).select("key", "id", "text")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (key, component) with further links: only the components that they join are looked at again."""
     names = lambda x: labels.select(F.col("key").alias(x), F.col("component").alias(f"c{x}"))
-    between = kept_table(links.join(names("a"), "a", "left").join(names("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b"))
+    between = cut(links.join(names("a"), "a", "left").join(names("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b"))
     joined = components(between).select(F.col("key").alias("component"), F.col("component").alias("to"))
     alone = between.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(labels, "key", "left_anti").select("key", F.col("key").alias("component"))
-    return kept_table(labels.unionByName(alone).join(joined, "component", "left").select("key", F.coalesce("to", "component").alias("component")))
+    return cut(labels.unionByName(alone).join(joined, "component", "left").select("key", F.coalesce("to", "component").alias("component")))
 
 
 def unsettled(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """The groups (g, key) with members in more than one component: the member's component c, and the group's largest (most)."""
-    now = kept_table(groups.join(labels, "key", "left").select("g", "key", F.coalesce("component", "key").alias("c")))
+    now = cut(groups.join(labels, "key", "left").select("g", "key", F.coalesce("component", "key").alias("c")))
     parts = now.groupBy("g", "c").count().groupBy("g").agg(F.max_by("c", F.struct("count", "c")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").select("g", "most")
-    return kept_table(now.join(parts, "g"))
+    return cut(now.join(parts, "g"))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -398,7 +398,7 @@ def in_blocks(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     family = mixed.groupBy("most", "key").agg(F.first("c").alias("c"))
     outside = F.col("c") != F.col("most")
     sizes = family.groupBy("most").agg(F.ceil(F.count_if(outside) / OUTSIDE).cast("int").alias("outs"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("ins"))
-    rows = kept_table(family.join(sizes, "most").join(classes.select("key", "n", "bits"), "key"))
+    rows = cut(family.join(sizes, "most").join(classes.select("key", "n", "bits"), "key"))
     block = lambda of, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     one = rows.filter(outside).withColumn("i", block("outs", 1)).withColumn("j", every("ins")).withColumn("out", F.lit(True))
@@ -455,7 +455,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = kept_table(pairs)
+    pairs = cut(pairs)
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")), classes, docs)
     features = cut(texts.select("key", "text").mapInArrow(sets, "key long, features binary"))
     side = lambda x: features.select(F.col("key").alias(x), F.col("features").alias(f"set_{x}"))

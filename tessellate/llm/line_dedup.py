@@ -136,7 +136,8 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     """docs with one struct column more (its name comes second): text without later occurrences, n_lines (that hold a word, long ones wrapped), n_removed."""
     out, at = marked(docs, id_col, text_col, size)
     name = free_name(out, "cleaned")
-    return out.withColumn(name, F.arrow_udf(_without, "struct<text: string, n_lines: int, n_removed: int>")(F.col(f"`{text_col}`").cast("string"), F.col(at), F.lit(size))).drop(at), name
+    without = F.arrow_udf(_without, "struct<text: string, n_lines: int, n_removed: int>").asNondeterministic()  # so that a filter on it does not run it twice
+    return out.withColumn(name, without(F.col(f"`{text_col}`").cast("string"), F.col(at), F.lit(size))).drop(at), name
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
