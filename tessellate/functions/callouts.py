@@ -1,20 +1,23 @@
 """The grammar of reinforcement callouts: one line of text, many bars.
 
-A line is read as tokens from left to right: an optional quantity, a size, and what follows up to the next callout."""
+A line is cut into tokens (numbers, sizes, marks, signs, units, words). Every size opens a callout; the tokens before it are read backwards for its quantity, those behind
+it, up to where the next callout begins, forwards for spacing, length, mark and role."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bar sizes, keywords of roles (the first in the text wins), and what a one-letter tag stands for.
+#: Bar sizes, keywords of roles (the first in the text wins, with or without a plural s), and what a one-letter tag stands for.
 SIZES = "10|15|20|25|30|35|45|55"
 ROLES = {
-    "ligature": "LIG LIGATURE LIGATURES ETRIER ETRIERS CADRE CADRES EPINGLE EPINGLES TIE TIES STIRRUP STIRRUPS SPIRALE SPIRALES",
-    "goujon": "GOUJON GOUJONS DOWEL DOWELS ATTENTE ATTENTES",
+    "ligature": "LIG LIGATURE ETRIER CADRE EPINGLE TIE STIRRUP SPIRALE",
+    "goujon": "GOUJON DOWEL ATTENTE",
     "sup": "SUP SUPERIEUR SUPERIEURE HAUT TOP",
     "inf": "INF INFERIEUR INFERIEURE BAS BOT BOTTOM",
     "vert": "VERT VERTICAL VERTICALE VERTICAUX",
@@ -22,62 +25,158 @@ ROLES = {
 }
 TAGS = {"T": "sup", "B": "inf", "V": "vert", "H": "hor"}
 MM_PER_INCH = 25.4
-
-_WORD_ROLE = {w: role for role, words in ROLES.items() for w in words.split()}
-_CALLOUT = re.compile(rf"(?<![\w.,/])(?:(?P<n>\d{{1,3}})\s*(?:\((?P<sub>\d{{1,3}})\)\s*)?(?P<join>[-xX]\s*|\s+))?(?P<size>{SIZES})\s?M(?P<glued>\d{{3,5}})?(?![A-Za-z0-9])")
-_INCHES = re.compile(r"@\s*(\d{1,2})(?:\s(\d)/(\d{1,2}))?\s?\"")
-_SPACING = re.compile(r"@\s*(\d{2,4})(?![\d.,])|(?<![\d.,])(\d{2,4})\s*c/c")
-_FEET = re.compile(r"^\s+(\d{1,2})-(\d{1,2})(?![\w'\"/.-])")
-_MILLIMETRES = re.compile(r"^\s+(\d{4,5})(?![\w'\"/.-])|\b(?:LG|L)\s?=?\s?(\d{3,5})\b")
-_MARK = re.compile(r"(?<!\w)([A-Z]{1,3}-?\d{1,4}[A-Z]?|\d{1,3}[A-Z]{1,3}\d{1,4})(?!\w)")
-FIELDS = "size string, quantity int, sub int, spacing int, length int, mark string, role string"
-
-
-def _spacing(tail: str) -> int | None:
-    if m := _INCHES.search(tail):
-        inches = int(m[1]) + (int(m[2]) / int(m[3]) if m[3] and int(m[3]) else 0)
-        if 2 <= inches <= 60:
-            return round(inches * MM_PER_INCH)
-    if m := _SPACING.search(tail):
-        mm = int(m[1] or m[2])
-        return mm if 40 <= mm <= 1500 else None
-    return None
-
-
-def _length(tail: str, spaced: bool) -> int | None:
-    if spaced and (m := _FEET.search(tail)) and int(m[2]) < 12:
-        return round((12 * int(m[1]) + int(m[2])) * MM_PER_INCH)
-    if m := _MILLIMETRES.search(tail):
-        mm = int(m[1] or m[2])
-        return mm if 200 <= mm <= 20000 else None
-    return None
-
-
-def _role(*texts: str) -> str | None:
-    for text in texts:
-        for w in re.findall(r"[A-Z]+", text.upper().replace("É", "E")):
-            if w in _WORD_ROLE:
-                return _WORD_ROLE[w]
-    return None
-
-
-def bars_of(line: str) -> list[dict]:
-    """Every callout of a line, in order."""
-    found = list(_CALLOUT.finditer(line or ""))
+#: What is plausible, in mm (spacings in inches: in inches).
+SPACING_MM, SPACING_INCHES, LENGTH_MM = range(40, 1501), (2, 60), range(200, 20001)
+#: Words before a number that say what it counts, so that it is no quantity; words that stand for the sign of spacing.
+NUMBERED = {"NIV", "NIVEAU", "LEVEL", "TYPE", "DETAIL", "AXE", "NO", "LG", "L"}
+AT_WORDS = {"A", "AT", "AUX"}
+
+_ROLE_OF = {w + s: role for role, words in ROLES.items() for w in words.split() for s in ("", "S")}
+_TOKENS = re.compile(
+    rf"""
+      (?P<size>(?<![\w.,/])(?:{SIZES})\s?M(?:(?P<glued>\d{{3,5}}))?(?![A-Za-z0-9]))
+    | (?P<feet>(?<![\w.,/-])\d{{1,2}}-\d{{1,2}}(?![\w.,/"'-]))
+    | (?P<centres>\(?\b(?:[cC]\s?/\s?[cC]|[oO]\.?[cC]\b\.?)\)?)
+    | (?P<fraction>(?<![\w.,/])\d+/\d+(?![\w.,/]))
+    | (?P<number>(?:(?<![\w.,/])|(?<=\d[xX×]))\d+(?![\w.,/]|\.\d)(?!\s?[MN]Pa)|(?<![\w.,/])\d+(?=[xX×]\s?\d|mm\b|M\b))
+    | (?P<mark>(?<![\w.,/])(?=[A-Z0-9-]*\d)(?=\d*[A-Z])[A-Z0-9]+(?:-\d+[A-Z]?)?(?!\w))
+    | (?P<inch>"|''|”|″)
+    | (?P<mm>mm\b)
+    | (?P<at>@)
+    | (?P<times>[xX×](?=\s?\d))
+    | (?P<dash>[-–—])
+    | (?P<open>\() | (?P<close>\))
+    | (?P<colon>:)
+    | (?P<word>[^\W\d_]+)
+    | (?P<other>\S)
+    """,
+    re.VERBOSE,
+)
+FIELDS = "size string, quantity int, sub int, spacing int, length int, mark string, role string, conf double"
+_PLAIN = str.maketrans("ÀÂÉÈÊËÎÏÔÙÛÇ", "AAEEEEIIOUUC")
+
+
+class Token(NamedTuple):
+    kind: str
+    text: str
+
+    @property
+    def number(self) -> int:
+        return int(self.text)
+
+
+def tokens_of(line: str) -> list[Token]:
+    """A glued length is a token of its own, behind its size."""
     out = []
-    for m, after in zip(found, [*found[1:], None], strict=False):
-        tail = line[m.end() : after.start() if after else len(line)]
-        before = line[: m.start()]
-        spaced = bool(m["join"]) and not m["join"].strip()
-        spacing = _spacing(tail)
-        clean = _SPACING.sub(" ", _INCHES.sub(" ", tail))
-        length = int(m["glued"]) if m["glued"] else _length(tail, spaced)
-        mark = _MARK.search(clean)
-        tag = re.search(r"(?:^|\s)([A-Z])\s?:\s*$", before)
-        out.append({"size": f"{m['size']}M", "quantity": int(m["n"]) if m["n"] else None, "sub": int(m["sub"]) if m["sub"] else None, "spacing": spacing, "length": length, "mark": mark[1] if mark else None, "role": _role(tail, before) or (TAGS.get(tag[1]) if tag else None)})
+    for m in _TOKENS.finditer(line):
+        kind = "size" if m["size"] else m.lastgroup
+        text = m[0].upper().translate(_PLAIN) if kind == "word" else m[0]
+        if kind == "word" and text in AT_WORDS:
+            kind = "at_word"
+        out.append(Token(kind, text[:2] + "M" if kind == "size" else text))
+        if m["size"] and m["glued"]:
+            out.append(Token("glued", m["glued"]))
     return out
 
 
+class Count(NamedTuple):
+    """What stands before a size: where it begins, the quantity, the part of it in brackets, whether a dash joins it, whether a number was refused."""
+
+    begin: int
+    quantity: int | None = None
+    sub: int | None = None
+    dashed: bool = False
+    refused: bool = False
+
+
+def count_before(tokens: list[Token], size: int) -> Count:
+    """Read backwards: an optional dash; a number, brackets around a number, a number and brackets, or a product of two numbers."""
+    kinds = [t.kind for t in tokens]
+    end = size - (size > 0 and kinds[size - 1] == "dash")
+    dashed, small = end < size, lambda i: 0 <= i and kinds[i] == "number" and 0 < tokens[i].number <= 999
+    if end >= 3 and kinds[end - 3 : end] == ["open", "number", "close"]:
+        if small(end - 4):
+            return Count(end - 4, tokens[end - 4].number, tokens[end - 2].number, dashed)
+        return Count(end - 3, tokens[end - 2].number, None, dashed)
+    if not small(end - 1):
+        return Count(size)
+    if end >= 3 and kinds[end - 2] == "times" and small(end - 3):
+        return Count(end - 3, tokens[end - 3].number * tokens[end - 1].number, None, dashed)
+    before = tokens[end - 2] if end >= 2 else Token("none", "")
+    if not dashed and (before.kind in ("at", "at_word", "times") or before.text in NUMBERED):
+        return Count(size, refused=True)
+    return Count(end - 1, tokens[end - 1].number, None, dashed)
+
+
+def spacing_in(tail: list[Token]) -> tuple[int | None, set[int]]:
+    """A number behind a sign of spacing, in inches or mm, or one before `c/c`; and the tokens that it takes."""
+    kind = lambda i: tail[i].kind if 0 <= i < len(tail) else ""
+    for i, t in enumerate(tail):
+        if t.kind != "number" or len(t.text) > 4:
+            continue
+        end, part = i + 1, 0.0
+        if kind(end) == "fraction":
+            top, bottom = map(int, tail[end].text.split("/"))
+            end, part = (end + 1, top / bottom) if bottom else (end, 0.0)
+        signed = kind(i - 1) in ("at", "at_word")
+        if kind(end) == "inch":
+            inches = t.number + part
+            if signed and SPACING_INCHES[0] <= inches <= SPACING_INCHES[1]:
+                return round(inches * MM_PER_INCH), set(range(i - 1, end + 1))
+            continue
+        unit = i + 2 if kind(i + 1) == "mm" else i + 1
+        if (signed or kind(unit) == "centres") and len(t.text) >= 2 and t.number in SPACING_MM:
+            return t.number, set(range(i - signed, unit + (kind(unit) == "centres")))
+    return None, set()
+
+
+def length_in(tail: list[Token], used: set[int]) -> tuple[int | None, set[int]]:
+    """Glued to the size, behind x, LG or L, or right behind the size: feet-inches, or four and more digits."""
+    for i, t in enumerate(tail):
+        before = tail[i - 1] if i else Token("start", "")
+        named = before.kind == "times" or before.text in ("LG", "L") or (before.text in ("=", ".") and i > 1 and tail[i - 2].text in ("LG", "L"))
+        if i in used:
+            continue
+        if t.kind == "feet" and (before.kind == "start" or named):
+            feet, inches = map(int, t.text.split("-"))
+            if inches < 12:
+                return round((12 * feet + inches) * MM_PER_INCH), {i}
+        if t.kind == "glued" or (t.kind == "number" and ((named and len(t.text) >= 3) or (before.kind == "start" and len(t.text) >= 4))):
+            if int(t.text) in LENGTH_MM:
+                return int(t.text), {i}
+    return None, set()
+
+
+def role_in(tokens: list[Token]) -> str | None:
+    return next((_ROLE_OF[t.text] for t in tokens if t.text in _ROLE_OF), None)
+
+
+def callouts_of(line: str) -> Iterator[dict]:
+    tokens = tokens_of(line)
+    sizes = [i for i, t in enumerate(tokens) if t.kind == "size"]
+    counts = [count_before(tokens, i) for i in sizes]
+    last = 0
+    for k, (at, count) in enumerate(zip(sizes, counts, strict=True)):
+        head, stop = tokens[last : count.begin], counts[k + 1].begin if k + 1 < len(sizes) else len(tokens)
+        tail = last_tail = tokens[at + 1 : stop]
+        spacing, used = spacing_in(tail)
+        length, taken = length_in(tail, used)
+        used = used | taken
+        mark = next((t.text for i, t in enumerate(tail) if t.kind == "mark" and i not in used), None)
+        if mark is None and count.quantity and not count.dashed and tail and tail[0].kind == "number" and 0 not in used and len(tail[0].text) <= 3:
+            mark = tail[0].text  # a mark of digits alone
+        tag = TAGS.get(head[-2].text) if len(head) > 1 and head[-1].kind == "colon" else None
+        informative = count.quantity is not None or spacing is not None or length is not None
+        conf = (0.95 if informative else 0.5) * (0.9 if count.refused else 1.0)
+        yield {"size": tokens[at].text, "quantity": count.quantity, "sub": count.sub, "spacing": spacing, "length": length, "mark": mark, "role": role_in(last_tail) or role_in(head) or tag, "conf": round(conf, 3)}
+        last = stop
+
+
+def bars_of(line: str | None) -> list[dict]:
+    """Every callout of a line, in order."""
+    return list(callouts_of(line or ""))
+
+
 def find_bars(lines: DataFrame, text_col: str) -> DataFrame:
     """One row for each callout: the line's columns, its place (from 0), and the bar's fields."""
 
@@ -88,15 +187,25 @@ def find_bars(lines: DataFrame, text_col: str) -> DataFrame:
     return lines.select("*", F.posexplode(bars(F.col(text_col))).alias("place", "bar"))
 
 
+#: Characters that recognition takes for digits, and the digits; for the sign of spacing; for a dash.
+DIGIT_LIKE, DIGITS = "OoIl|SsZB", "001115528"
+AT_LIKE, DASH_LIKE = "eEaQ&©＠@", "~_=–—"
+
+
 def repaired(text: Column) -> Column:
-    """The usual confusions of character recognition inside a callout put right, and nothing else: `I5Me300` is `15M @ 300`, `8~2OM` is `8-20M`."""
-    m = r"(?=\s?M(?:[eEaQ&]?\s?\d|[^A-Za-z]|$))"
-    t = F.translate(text, "©＠—–", "@@--")
-    t = F.regexp_replace(t, r"(?<![A-Za-z0-9])[Il|](?=[05OoSs]\s?M)", "1")
-    t = F.regexp_replace(t, r"(?<=[1-5])[Oo]" + m, "0")
-    t = F.regexp_replace(t, r"(?<=[1-5])[Ss]" + m, "5")
-    t = F.regexp_replace(t, rf"(?<=(?:{SIZES})M)\s?[eEaQ&]\s?(?=\d{{1,4}}(?!\d))", " @ ")
-    return F.regexp_replace(t, rf"(?<=\d)\s?[~_=]\s?(?=(?:{SIZES})M(?![A-Za-z]))", "-")
+    """Recognition's confusions in callouts put right: two characters before an M that give a size when digit-like ones are read as digits become that size, with the
+    dash before and the sign of spacing behind it. Whatever gives no size stays as it is."""
+    dash, pair, at = rf"(?:(?<=\d)\s?[{DASH_LIKE}]\s?|(?<![A-Za-z0-9.,/]))", rf"[0-9{DIGIT_LIKE}]{{2}}", rf"(?:\s?[{AT_LIKE}]\s?(?=\d{{1,4}}(?!\d))|(?![A-Za-z0-9]))"
+    like = rf"{dash}{pair}\s?M{at}"
+
+    def put_right(found: Column) -> Column:
+        size = F.translate(F.regexp_extract(found, rf"({pair})\s?M", 1), DIGIT_LIKE, DIGITS)
+        before = F.when(found.rlike(f"^\\s?[{DASH_LIKE}]"), "-").otherwise("")
+        behind = F.when(F.regexp_extract(found, "M(.*)$", 1) != "", " @ ").otherwise("")
+        return F.when(size.rlike(f"^(?:{SIZES})$"), F.concat(before, size, F.lit("M"), behind)).otherwise(found)
+
+    kept, found = F.split(text, like), F.transform(F.regexp_extract_all(text, F.lit(like), 0), put_right)
+    return F.array_join(F.zip_with(kept, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def describe(bar: Column) -> Column:

@@ -9,7 +9,6 @@ from ..functions import callouts, strings
 from ..registry import query, table
 
 MARKED_SQL = f"translate(replace(replace(text, 'œ', 'oe'), 'Œ', 'Oe'), '{strings.MARKED}', '{strings.PLAIN}')"
-PART_LINE = "concat(p_size % 12 + 1, '-', CASE p_size % 3 WHEN 0 THEN 15 WHEN 1 THEN 20 ELSE 25 END, 'M @ ', 100 + p_size * 5)"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,48 +78,74 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.when(ident, "NOT_SUPPLIED").when(hit, "TO_REVIEW").otherwise("KEPT").alias("status"), (ident | hit).alias("redacted"))
 
 
+SIZE_SQL = "CASE p_size % 3 WHEN 0 THEN '15M' WHEN 1 THEN '20M' ELSE '25M' END"
+
+
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callouts in eight forms, written from parts: what the grammar must read is known."""
+    n, size = (F.col("p_size") % 12 + 1).cast("string"), F.when(F.col("p_size") % 3 == 0, "15M").when(F.col("p_size") % 3 == 1, "20M").otherwise("25M")
+    mm, long = (F.col("p_size") * 5 + 100).cast("string"), (F.col("p_size") * 40 + 1000).cast("string")
+    feet = F.concat((F.col("p_size") % 20 + 1).cast("string"), F.lit("-"), (F.col("p_size") % 12).cast("string"))
+    forms = [
+        (n, "-", size, " @ ", mm, " HAUT"), ("ARM. (", n, ") ", size, " ", mm, " c/c"), ("2x", n, " ", size, " 25A301"), ("T: ", n, " ", size, ' 20A12 @ 12"'), (n, "–", size, " LG ", long, " ÉTRIERS"), ("NIV 2 ", size, " A ", mm, " C/C BAS TOP"), ("B: ", n, "(3) ", size, " ", feet),
+        (size, " @ ", mm, " 10M @ 200 + ", n, "-35M x ", long),
+    ]
+    line = F.lit(None)
+    for k, parts in enumerate(forms):
+        line = F.when(F.col("p_partkey") % 8 == k, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise(line)
+    return table(spark, sf_dir, "part").select("p_partkey", line.alias("line"))
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Callouts written from parts, read by the grammar."""
-    size = F.when(F.col("p_size") % 3 == 0, "15").when(F.col("p_size") % 3 == 1, "20").otherwise("25")
-    line = F.concat((F.col("p_size") % 12 + 1).cast("string"), F.lit("-"), size, F.lit("M @ "), (F.col("p_size") * 5 + 100).cast("string"))
-    return callouts.find_bars(table(spark, sf_dir, "part").select("p_partkey", line.alias("line")), "line")
+    return callouts.find_bars(written(spark, sf_dir), "line").withColumn("place", F.col("place").cast("long"))
 
 
-@query("F10_callout_grammar", "SELECT p_partkey, concat(CASE p_size % 3 WHEN 0 THEN 15 WHEN 1 THEN 20 ELSE 25 END, 'M') AS size, (p_size % 12 + 1)::BIGINT AS quantity FROM part")
+WRITTEN_SQL = f"""
+WITH p AS (SELECT p_partkey, p_partkey % 8 AS form, p_size % 12 + 1 AS n, {SIZE_SQL} AS size, p_size * 5 + 100 AS mm, p_size * 40 + 1000 AS long, round_even((12 * (p_size % 20 + 1) + p_size % 12) * 25.4, 0) AS feet FROM part),
+b AS (
+  SELECT p_partkey, 0 AS place, size, CASE form WHEN 5 THEN NULL WHEN 7 THEN NULL WHEN 2 THEN 2 * n ELSE n END AS quantity, CASE form WHEN 6 THEN 3 END AS sub, CASE WHEN form IN (0, 1, 5, 7) THEN mm WHEN form = 3 THEN 305 END AS spacing,
+         CASE form WHEN 4 THEN long WHEN 6 THEN feet END AS length, CASE form WHEN 2 THEN '25A301' WHEN 3 THEN '20A12' END AS mark, CASE form WHEN 0 THEN 'sup' WHEN 3 THEN 'sup' WHEN 4 THEN 'ligature' WHEN 5 THEN 'inf' WHEN 6 THEN 'inf' END AS role, CASE form WHEN 5 THEN 0.855 ELSE 0.95 END AS conf FROM p
+  UNION ALL SELECT p_partkey, 1, '10M', NULL, NULL, 200, NULL, NULL, NULL, 0.855 FROM p WHERE form = 7
+  UNION ALL SELECT p_partkey, 2, '35M', n, NULL, NULL, long, NULL, NULL, 0.95 FROM p WHERE form = 7)
+"""
+
+
+@query("F10_callout_grammar", WRITTEN_SQL + "SELECT p_partkey, place::BIGINT AS place, size, quantity::BIGINT AS quantity, sub::BIGINT AS sub, mark, conf::DOUBLE AS conf FROM b")
 def grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir).select("p_partkey", "bar.size", F.col("bar.quantity").cast("long").alias("quantity"))
+    return bars(spark, sf_dir).select("p_partkey", "place", "bar.size", F.col("bar.quantity").cast("long").alias("quantity"), F.col("bar.sub").cast("long").alias("sub"), "bar.mark", "bar.conf")
 
 
-@query("F11_spacing", "SELECT p_partkey, (100 + p_size * 5)::BIGINT AS spacing FROM part")
+@query("F11_spacing", WRITTEN_SQL + "SELECT p_partkey, place::BIGINT AS place, spacing::BIGINT AS spacing FROM b")
 def spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir).select("p_partkey", F.col("bar.spacing").cast("long").alias("spacing"))
+    return bars(spark, sf_dir).select("p_partkey", "place", F.col("bar.spacing").cast("long").alias("spacing"))
 
 
-@query("F12_length_feet", "SELECT p_partkey, round_even((12 * (p_size % 20 + 1) + p_size % 12) * 25.4, 0)::BIGINT AS length FROM part")
+@query("F12_length_feet", WRITTEN_SQL + "SELECT p_partkey, place::BIGINT AS place, length::BIGINT AS length FROM b")
 def length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit("24 15M "), (F.col("p_size") % 20 + 1).cast("string"), F.lit("-"), (F.col("p_size") % 12).cast("string"))
-    return callouts.find_bars(table(spark, sf_dir, "part").select("p_partkey", line.alias("line")), "line").select("p_partkey", F.col("bar.length").cast("long").alias("length"))
+    return bars(spark, sf_dir).select("p_partkey", "place", F.col("bar.length").cast("long").alias("length"))
 
 
-@query("F13_ocr_repair", f"SELECT p_partkey, {PART_LINE} AS text FROM part WHERE p_size % 3 < 2")
+@query("F13_ocr_repair", "SELECT p_partkey, concat(p_size % 12 + 1, '-', CASE p_size % 3 WHEN 0 THEN 15 WHEN 1 THEN 20 ELSE 25 END, 'M @ ', 100 + p_size * 5, CASE WHEN p_partkey % 2 = 0 THEN ' 2OMPa' ELSE '' END) AS text FROM part")
 def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Callouts with confused characters, put right."""
-    noisy = F.when(F.col("p_size") % 3 == 0, "IS").otherwise("2O")
-    line = F.concat((F.col("p_size") % 12 + 1).cast("string"), F.when(F.col("p_size") % 3 == 0, "-").otherwise("–"), noisy, F.lit("Me"), (F.col("p_size") * 5 + 100).cast("string"))
-    return table(spark, sf_dir, "part").filter("p_size % 3 < 2").select("p_partkey", callouts.repaired(line).alias("text"))
+    """Callouts with confused characters, put right; what is no callout stays."""
+    k = F.col("p_size") % 3
+    noisy = F.when(k == 0, "-ISMe").when(k == 1, "–2OM a ".replace("a", "Q")).otherwise("~2SM&")
+    line = F.concat((F.col("p_size") % 12 + 1).cast("string"), noisy, (F.col("p_size") * 5 + 100).cast("string"), F.when(F.col("p_partkey") % 2 == 0, " 2OMPa").otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", callouts.repaired(line).alias("text"))
 
 
-@query("F14_role_keyword", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'sup' WHEN 1 THEN 'inf' ELSE 'ligature' END AS role FROM part")
+@query("F14_role_keyword", WRITTEN_SQL + "SELECT p_partkey, place::BIGINT AS place, role FROM b")
 def role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    word = F.when(F.col("p_size") % 3 == 0, "HAUT").when(F.col("p_size") % 3 == 1, "BAS TOP").otherwise("ÉTRIERS")
-    line = F.concat(F.lit("8-25M "), word)
-    return callouts.find_bars(table(spark, sf_dir, "part").select("p_partkey", line.alias("line")), "line").select("p_partkey", "bar.role")
+    return bars(spark, sf_dir).select("p_partkey", "place", "bar.role")
 
 
-@query("F15_labels", "SELECT p_partkey, regexp_extract_all(concat(p_brand, ' ', p_name), '[A-Za-z]+#[0-9]+')[1] AS label FROM part")
+@query("F15_labels", "SELECT p_partkey, concat('C', p_size) AS labels, concat(chr(65 + p_size % 26), '-', p_size % 90 + 1) AS bays, concat('S-', 100 + p_size, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE '' END) AS sheets FROM part")
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all(F.concat_ws(" ", "p_brand", "p_name"), F.lit("[A-Za-z]+#[0-9]+"), 0)
-    return table(spark, sf_dir, "part").select("p_partkey", F.get(found, F.lit(0)).alias("label"))
+    """Element labels, grid references and sheet numbers of one title, none taken for another."""
+    k = F.col("p_size")
+    text = lambda c: c.cast("string")
+    title = F.concat(F.lit("COLONNE C"), text(k), F.lit(" BETON 35MPa / C-1 AXE "), F.char(F.lit(65) + k % 26), F.lit("/"), text(k % 90 + 1), F.lit(" c/c 1/2 VOIR S-"), text(k + 100), F.when(F.col("p_partkey") % 2 == 0, "A").otherwise(""), F.lit(" TYPE 1"))
+    return table(spark, sf_dir, "part").select("p_partkey", *[F.array_join(v, "|").alias(n) for n, v in (("labels", strings.element_labels(title, "C")), ("bays", strings.grid_refs(title)), ("sheets", strings.sheet_ids(title)))])
 
 
 @query("F16_levels", "SELECT p_partkey, concat_ws('|', (p_size % 9)::VARCHAR, (p_size % 9 + 1)::VARCHAR) AS levels FROM part")
@@ -129,10 +154,14 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(callouts.levels(title), "|").alias("levels"))
 
 
-@query("F17_type_keywords", "SELECT p_partkey, CASE WHEN contains(p_type, 'STEEL') THEN 'metal' WHEN contains(p_type, 'COPPER') THEN 'metal' WHEN contains(p_type, 'ECONOMY') THEN 'economy' ELSE 'other' END AS kind FROM part")
+@query("F17_type_keywords", """
+SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'fondation' WHEN 1 THEN 'mur de refend' WHEN 2 THEN 'mur de refend' WHEN 3 THEN 'colonne' WHEN 4 THEN 'poutre' WHEN 5 THEN 'dalle' END AS by_title,
+       CASE p_size % 8 WHEN 1 THEN 'fondation' WHEN 3 THEN 'poutre' WHEN 4 THEN 'mur de refend' WHEN 5 THEN 'colonne' WHEN 6 THEN 'dalle' END AS by_sheet FROM part""")
 def type_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("p_type")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(t.contains("STEEL") | t.contains("COPPER"), "metal").when(t.contains("ECONOMY"), "economy").otherwise("other").alias("kind"))
+    """The type of what a sheet shows, by its title's first keyword and by its number's series."""
+    title = F.get(F.array(*map(F.lit, ("Semelles et radiers", "Murs cisaillements", "CONCENTRATION COLONNES", "COLONNES NIV 2", "Poutres", "DALLE TRÉFOND", "NOTES"))), F.col("p_size") % 7)
+    sheet = F.concat(F.lit("S-"), (F.col("p_size") % 8).cast("string"), F.lit("01"))
+    return table(spark, sf_dir, "part").select("p_partkey", strings.type_of_title(title).alias("by_title"), strings.type_of_sheet(sheet).alias("by_sheet"))
 
 
 @query("F18_format_repair", "SELECT p_partkey, concat('1', p_size % 10, '0') AS best FROM part")
@@ -151,9 +180,9 @@ def field_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", u.rlike(r"^https?://[a-z0-9.-]+/(en|fr|de|es)/[0-9]+(\.html|/)?([?#].*)?$").alias("grammatical"), n.between(100, 900).alias("plausible"))
 
 
-@query("F20_describe_bar", f"SELECT p_partkey, replace({PART_LINE}, ' @ ', '@') AS text FROM part")
+@query("F20_describe_bar", WRITTEN_SQL + "SELECT p_partkey, place::BIGINT AS place, concat(CASE WHEN quantity IS NULL THEN '' ELSE concat(quantity, '-') END, size, CASE WHEN spacing IS NULL THEN '' ELSE concat('@', spacing) END, CASE WHEN length IS NULL THEN '' ELSE concat(' L=', length::BIGINT) END) AS text FROM b")
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir).select("p_partkey", callouts.describe(F.col("bar")).alias("text"))
+    return bars(spark, sf_dir).select("p_partkey", "place", callouts.describe(F.col("bar")).alias("text"))
 
 
 @query("F21_french_number", "SELECT c_custkey, replace(replace(replace(format('{:,.2f}', c_acctbal), ',', chr(8239)), '.', ','), '-', chr(8722)) AS text FROM customer")

@@ -97,13 +97,35 @@ def test_missing_is_not_negative(spark):
     assert r["numerator"] is None and r["withheld"]
 
 
-@pytest.mark.parametrize("text, expected", [
-    ("8-25M", {"quantity": 8, "size": "25M"}), ("12(6)-15M", {"quantity": 12, "sub": 6}), ("10M@300 c/c", {"spacing": 300}), ('10M@12" c/c', {"spacing": 305}), ('15M @ 7 1/2"', {"spacing": 190}),
-    ("5-20M2400 @ 250", {"quantity": 5, "size": "20M", "spacing": 250, "length": 2400}), ('T: 24 15M 15A12 @12"', {"quantity": 24, "spacing": 305, "mark": "15A12", "role": "sup"}), ("B: 24 15M 20-6", {"quantity": 24, "length": 6248}),
-])
+CALLOUTS = [
+    ("8-25M", {"quantity": 8, "size": "25M"}), ("12(6)-15M", {"quantity": 12, "sub": 6}), ("12 (6) -15M", {"quantity": 12, "sub": 6}), ("(8) 25M VERT.", {"quantity": 8, "role": "vert"}), ("8–25M", {"quantity": 8}), ("8 - 25M", {"quantity": 8}),
+    ("10M@300 c/c", {"spacing": 300, "quantity": None}), ("20M@300mm c/c", {"spacing": 300}), ("15M A 300 C/C", {"spacing": 300}), ("ARM. 15M 300 c/c", {"spacing": 300, "quantity": None}), ("15M AT 250 o.c.", {"spacing": 250}), ("15M 200 (c.c.)", {"spacing": None}),
+    ("10M aux 150", {"spacing": 150}), ('10M@12" c/c', {"spacing": 305}), ("10M @ 8'' c/c", {"spacing": 203}), ('15M @ 7 1/2"', {"spacing": 190}), ("15M @ 30", {"spacing": None}), ("LIG.: 10M@300 c/c", {"role": "ligature"}),
+    ("8-20M x 3000 SUP.", {"quantity": 8, "length": 3000, "role": "sup"}), ("8-20M × 3000", {"length": 3000}), ("8-25M LG 3600", {"length": 3600}), ("8-25M L=3600", {"length": 3600}), ("5-20M2400 @ 250", {"quantity": 5, "size": "20M", "spacing": 250, "length": 2400}),
+    ("COL. 400 x 600 8-25M", {"quantity": 8, "length": None}), ('T: 24 15M 15A12 @12"', {"quantity": 24, "spacing": 305, "mark": "15A12", "role": "sup", "length": None}), ("B: 24 15M 20-6", {"quantity": 24, "length": 6248, "role": "inf"}), ("8 25M 3600", {"quantity": 8, "length": 3600, "mark": None}),
+    ("6 20M 20A01B2", {"quantity": 6, "mark": "20A01B2", "length": None}), ("12-15M B12 @ 300 INF.", {"quantity": 12, "spacing": 300, "mark": "B12", "role": "inf"}), ("2x4 25M 25A301", {"quantity": 8, "mark": "25A301"}), ("V: 8 25M 360", {"quantity": 8, "length": None, "mark": "360", "role": "vert"}),
+    ("NIV 2 15M @ 300", {"quantity": None, "spacing": 300}), ("DALLE HAUTS 15M @ 300", {"role": "sup"}), ("15M", {"quantity": None, "spacing": None, "conf": 0.5}), ("4 15M DOWELS", {"role": "goujon", "conf": 0.95}),
+]
+
+
+@pytest.mark.parametrize("text, expected", CALLOUTS)
 def test_callouts(text, expected):
     bars = callouts.bars_of(text)
-    assert len(bars) == 1 and expected.items() <= bars[0].items()
+    assert len(bars) == 1 and expected.items() <= bars[0].items(), bars
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("10M @ 300 15M @ 200", [("10M", None, 300), ("15M", None, 200)]), ("4-25M + 2-20M INF", [("25M", 4, None), ("20M", 2, None)]), ("8-25M 12-15M @ 300 mm 6 10M", [("25M", 8, None), ("15M", 12, 300), ("10M", 6, None)]),
+    ("15M @ 300 8-25M", [("15M", None, 300), ("25M", 8, None)]),
+])
+def test_callouts_of_one_line(text, expected):
+    assert [(b["size"], b["quantity"], b["spacing"]) for b in callouts.bars_of(text)] == expected
+
+
+def test_repair(spark):
+    cases = {"8-2OM e 300": "8-20M @ 300", "1SMe250 I5M@200 2OMPa": "15M @ 250 15M @ 200 2OMPa", "8~2OM": "8-20M", "3–IOM": "3-10M", "7OM": "7OM", "SOME 12 MM": "SOME 12 MM", "": "", "12-25M @ 300": "12-25M @ 300"}
+    df = spark.createDataFrame([(t,) for t in [*cases, None]], "t string").coalesce(1)
+    assert [r[0] for r in df.select(callouts.repaired(F.col("t"))).collect()] == [*cases.values(), None]
 
 
 @pytest.mark.parametrize("text", ["BETON 25MPa", "10MM", "115M", "35MPa / C-1", "3.25M", "", None])
@@ -116,6 +138,22 @@ def test_levels(spark):
     assert [r[0] for r in df.select(callouts.levels(F.col("t"))).collect()] == [["2", "3"], ["TREFOND"], []]
 
 
+def test_canonical_forms(spark):
+    cases = {
+        "1 / 2 / 24": "01/02/2024", "01.02.2024": "01/02/2024", "1-2-2024": "01/02/2024", "120 / 80": "120/80", "62,5 KG": "62.5 kg", "62.5kgs": "62.5 kg", "3 Semaines": "3 sa", "40": "40", "12 g/l": "12 g/l", "Oui": "oui", "O": "oui", "Néant": "neant", "-": None, "": None, "  ": None, None: None,
+        "٣٫٥ g": "3.5 g", "d’Août": "d'aout", "1/2/3/4": "1/2/3/4", "2024": "2024", "1-2": "1-2", "+": "+",
+    }
+    df = spark.createDataFrame([(v,) for v in cases], "v string").coalesce(1)
+    assert [r[0] for r in df.select(strings.canonical(F.col("v"))).collect()] == [*cases.values()]
+
+
+def test_labels_bays_and_sheets(spark):
+    text = ["COLONNE C-12 ET C13A VOIR S-501 TYPE 1 P4", "BETON: 35MPa / C-1", "COL. B-12, B-13", "B/3", "C.1-12", "1/2 c/c", "VOIR S-501 ET S-602A", None]
+    df = spark.createDataFrame([(t,) for t in text], "t string").coalesce(1)
+    got = df.select(strings.element_labels(F.col("t"), "C").alias("l"), strings.grid_refs(F.col("t")).alias("g"), strings.sheet_ids(F.col("t")).alias("s")).collect()
+    assert [r["l"] for r in got[:2]] == [["C12", "C13A"], []] and [r["g"] for r in got[1:6]] == [[], ["B-12", "B-13"], ["B-3"], ["C.1-12"], []] and got[6]["s"] == ["S-501", "S-602A"] and got[7]["l"] is None
+
+
 def test_codes():
     d = strings.code_distance_of
     assert d("2026-823-001", "2026-823-001") == 0 and d("2026-823-001", "2026-823-007") < 1 and d("2026-823-001", "2026-416-002") > 2
@@ -133,17 +171,32 @@ def bar(size, quantity=None, spacing=None, length=None):
 
 
 @pytest.mark.parametrize("plan, shop, expected", [
-    (bar("25M", 8), [bar("25M", 6)], ("quantity", "critical")), (bar("25M", 8), [bar("25M", 10)], ("quantity", "minor")), (bar("25M", 8), [bar("25M", 4), bar("25M", 4)], None), (bar("25M", 8), [bar("20M", 3)], ("absence", "critical")),
+    (bar("25M", 8), [bar("25M", 6)], ("quantity", "critical")), (bar("25M", 8), [bar("25M", 10)], ("quantity", "minor")), (bar("25M", 8), [bar("25M", 4), bar("25M", 4)], None), (bar("25M", 8), [bar("20M", 3)], ("absence", "major")),
     (bar("15M", None, 200), [bar("15M", None, 250)], ("spacing", "critical")), (bar("15M", None, 200), [bar("15M", None, 150)], ("spacing", "minor")), (bar("25M", 8), [bar("20M", 8)], ("size", "critical")),
-    (bar("25M", 8, None, 3000), [bar("25M", 8, None, 3010)], None), (bar("25M", 8, None, 3000), [bar("25M", 8, None, 2700)], ("length", "critical")),
+    (bar("25M", 8, None, 3000), [bar("25M", 8, None, 3010)], None), (bar("25M", 8, None, 3000), [bar("25M", 8, None, 2700)], ("length", "major")),
 ])
 def test_bar_cascade(plan, shop, expected):
     gaps = compare_bars([plan], shop)["gaps"]
     assert [(a, s) for a, _, _, s in gaps] == ([expected] if expected else [])
 
 
+def test_bar_cascade_as_a_whole():
+    role = lambda b, r: b | {"role": r}
+    out = compare_bars([bar("25M", 8), bar("10M", None, 300)], [bar("25M", 8), bar("10M", 14, 300)])
+    assert (out["checked"], out["gaps"]) == (2, [])
+    assert compare_bars([bar("25M", 20)], [bar("25M", 4)] * 5) == {"checked": 1, "unknown": 0, "multiples": 0, "gaps": []}  # spread over five marks
+    assert compare_bars([bar("25M", 20)], [bar("25M", 6), bar("25M", 6), bar("25M", 6)])["gaps"] == [("quantity", "20", "18", "critical")]  # all marks together come closer
+    assert compare_bars([bar("25M", 8)], [bar("25M", 24)])["multiples"] == 1 and compare_bars([bar("25M", 2)], [bar("25M", 26)])["gaps"] == [("quantity", "2", "26", "minor")]
+    assert compare_bars([bar("15M", None, 300)], [bar("15M", 24)])["unknown"] == 1 and compare_bars([bar("15M", None, 300)], [])["unknown"] == 1
+    assert compare_bars([bar("20M", 8)], [bar("25M", 8)])["gaps"] == [("size", "20M", "25M", "major")] and compare_bars([bar("25M", 8)], [])["gaps"] == [("absence", "25M", None, "major")]
+    two = compare_bars([role(bar("15M", 8), "sup"), role(bar("15M", 8), "inf")], [role(bar("15M", 8), "inf"), role(bar("15M", 8), "sup")])
+    assert two["checked"] == 2
+    assert compare_bars([role(bar("15M", 8), "sup")], [role(bar("15M", 4), "inf"), role(bar("15M", 4), "inf")])["gaps"] == [("quantity", "8", "4", "critical")]  # marks of another role do not add up
+    assert compare_bars([bar("15M", None, 300), bar("15M", None, 300)], [bar("15M", 9, 300)])["checked"] == 2 and compare_bars([bar("15M", 9, 300), bar("15M", 9, 300)], [bar("15M", 9, 300)])["gaps"] == [("absence", "15M", None, "major")]
+
+
 def test_matching(spark):
-    assert subset_to([3, 5, 7], 12) == (1, 2) and subset_to([8], 8) is None
+    assert subset_to([3, 5, 7], 12) == (1, 2) and subset_to([8], 9) is None and subset_to([4] * 5, 20) == (0, 1, 2, 3, 4) and subset_to([1, 2, 3, 6], 6) == (3,)
     df = spark.createDataFrame([("g", 1, 1, 0.1), ("g", 1, 2, 0.2), ("g", 2, 1, 0.2), ("g", 2, 2, 0.9)], "g string, a long, b long, c double")
     assert {(r["a"], r["b"]) for r in greedy_pairs(df, ["g"], "a", "b", "c").collect()} == {(1, 1), (2, 2)}
     assert monotone_alignment(np.array([[0, 5.0, 0], [4, 0, 0], [0, 0, 3]])) == [(0, 1), (2, 2)]
