@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.lifecycle import backoff, checked, rate_limited, replayed
+from ..operators.lifecycle import checked, rate_limited, replayed
+from ..operators.online import arbitrated, prequential, proposals
+from ..operators.outbox import client_queue, flushed, released
 from ..registry import query, table
+from .aggregates import scored
 from .joins import SERIES_SQL, series
 
 STEPS_SQL = "WITH s AS (SELECT event_id, user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src, event_type AS dst, ts FROM events)"
@@ -35,16 +38,47 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"), (F.count("*") - 1).alias("acknowledged"))
 
 
-@query("E04_backoff", "SELECT event_id, least(600, pow(2, event_id % 12)::INT)::BIGINT AS wait, event_id % 12 >= 10 AS gives_up FROM events")
+TRIES_SQL = """WITH RECURSIVE tries AS (SELECT user_id, floor(epoch(ts) / 600)::BIGINT AS t, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts) / 600)::BIGINT, event_id) AS i FROM events),
+r AS (
+  SELECT user_id, 0::BIGINT AS i, 'ENREGISTRÉ' AS state, 0 AS attempts, NULL::BIGINT AS next_try, false AS late, 0 AS early FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT x.user_id, x.i, CASE WHEN state = 'SYNCHRONISÉ' OR t < next_try THEN state WHEN ok THEN 'SYNCHRONISÉ' WHEN attempts + 1 >= 5 THEN 'ÉCHEC_SYNCHRO' ELSE state END,
+         CASE WHEN state = 'SYNCHRONISÉ' OR coalesce(t < next_try, false) OR ok THEN attempts ELSE attempts + 1 END,
+         CASE WHEN state = 'SYNCHRONISÉ' OR coalesce(t < next_try, false) THEN next_try WHEN ok THEN NULL ELSE t + least(600, pow(2, least(attempts + 1, 30)))::BIGINT END,
+         CASE WHEN state = 'SYNCHRONISÉ' OR coalesce(t < next_try, false) OR NOT ok THEN late ELSE state = 'ÉCHEC_SYNCHRO' END,
+         CASE WHEN state <> 'SYNCHRONISÉ' AND coalesce(t < next_try, false) THEN early + 1 ELSE early END
+  FROM r JOIN tries x ON x.user_id = r.user_id AND x.i = r.i + 1)
+"""
+
+
+@query("E04_backoff", TRIES_SQL + "SELECT user_id, arg_max(state, i) AS state, arg_max(attempts, i)::BIGINT AS attempts, coalesce(arg_max(coalesce(next_try, -1), i), -1)::BIGINT AS next_try, arg_max(late, i) AS late, arg_max(early, i)::BIGINT AS early FROM r GROUP BY 1")
 def retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attempts = F.col("event_id") % 12
-    return table(spark, sf_dir, "events").select("event_id", backoff(attempts).cast("long").alias("wait"), (attempts >= 10).alias("gives_up"))
+    """Every event is a try of its user's record; a purchase is the answer."""
+    t = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000).alias("t"), (F.col("event_type") == "purchase").alias("ok"))
+    return flushed(t, "user_id", "t", "event_id", "ok").select("user_id", "state", F.col("attempts").cast("long").alias("attempts"), F.coalesce("next_try", F.lit(-1).cast("long")).alias("next_try"), "late", F.col("early").cast("long").alias("early"))
 
 
-@query("E05_release_in_flight", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 3 END::BIGINT AS inflight FROM events")
+@query("E05_release_in_flight", """
+WITH l AS (SELECT user_id, max(CASE WHEN event_type = 'click' THEN event_id END) AS d, max(CASE WHEN event_type IN ('purchase', 'error') THEN event_id END) AS a FROM events GROUP BY 1)
+SELECT user_id, d IS NOT NULL AND coalesce(a < d, true) AS was_in_flight, 0::BIGINT AS in_flight, CASE WHEN d IS NOT NULL AND coalesce(a < d, true) THEN d END AS send_again FROM l""")
 def release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """After a crash, what was in flight without an answer is free again."""
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, 0).otherwise(F.col("event_id") % 3).cast("long").alias("inflight"))
+    """A click dispatches; a purchase or an error answers."""
+    kind = F.col("event_type")
+    return released(table(spark, sf_dir, "events"), "user_id", F.col("event_id"), kind == "click", kind.isin("purchase", "error"))
+
+
+@query("E12_prequential", """
+WITH z AS (SELECT floor(doc_id / 100)::BIGINT AS batch, least(floor(least(0.99, n_chars / (n_chars + 1000.0)) * 20), 19)::INT AS bin, quality FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT batch, bin, count(*) AS n, sum(quality) AS good FROM z GROUP BY 1, 2),
+f AS (SELECT b.batch, g.bin, coalesce(n, 0) AS n, coalesce(good, 0) AS good FROM (SELECT DISTINCT batch FROM c) b CROSS JOIN (SELECT unnest(range(0, 20)) AS bin) g LEFT JOIN c ON c.batch = b.batch AND c.bin = g.bin),
+s AS (SELECT *, coalesce(sum(n) OVER w, 0) AS seen, coalesce(sum(good) OVER w, 0) AS was FROM f WINDOW w AS (PARTITION BY bin ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+u AS (SELECT *, sum(seen) OVER v AS upto, sum(was) OVER v AS hits FROM s WINDOW v AS (PARTITION BY batch ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT *, min(bin) FILTER (hits >= 0.6 * upto AND upto > 0) OVER (PARTITION BY batch) AS tau FROM u)
+SELECT batch, any_value(tau)::BIGINT AS tau, sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (bin >= tau), 0)::BIGINT AS n_auto, coalesce(sum(good) FILTER (bin >= tau), 0)::BIGINT AS n_right FROM t GROUP BY 1""")
+def recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows in batches of a hundred ids, each judged by what the ones before it showed."""
+    z = scored(spark, sf_dir).withColumn("batch", F.floor(F.col("doc_id") / 100))
+    return prequential(z, "batch", "p", "quality", 0.6).withColumn("tau", F.col("tau").cast("long"))
 
 
 SESSION_SQL = """WITH g AS (SELECT *, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER w <= 86400 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -86,13 +120,38 @@ def previous_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("E11_match_proposal", """
-WITH t AS (SELECT o_custkey, max(o_totalprice) AS a, max(o_totalprice, 2)[2] AS b FROM orders GROUP BY 1)
-SELECT o_custkey, CASE WHEN a < 200000 THEN 'none' WHEN b IS NULL OR a - b > 50000 THEN 'confirm' ELSE 'choose' END AS kind FROM t""")
+WITH q AS (SELECT s_suppkey AS qid, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN concat(substr(s_name, 1, 3), 'X', substr(s_name, 5)) ELSE s_name END AS code, floor(s_acctbal / 2000)::BIGINT AS band FROM supplier),
+c AS (
+  SELECT qid, s_suppkey AS id, levenshtein(code, s_name) AS d, (floor(s_acctbal / 2000)::BIGINT = band)::INT + (s_suppkey % 5 = qid % 5)::INT AS agree, (floor(s_acctbal / 2000)::BIGINT <> band)::INT + (s_suppkey % 5 <> qid % 5)::INT AS clash
+  FROM q JOIN supplier USING (s_nationkey)),
+k AS (SELECT *, round(-d + 0.8 * agree - clash, 6) AS score FROM c WHERE d <= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r, lead(score) OVER (PARTITION BY qid ORDER BY score DESC, id) AS nxt, least(count(*) OVER (PARTITION BY qid), 2) AS n FROM k)
+SELECT q.qid, CASE WHEN id IS NULL THEN 'NO_MATCH' WHEN d = 0 AND clash = 0 AND (n = 1 OR nxt < score - 1) THEN 'CONFIRM_MATCH' ELSE 'CHOOSE_MATCH' END AS kind, id AS best, score, coalesce(n, 0)::BIGINT AS n FROM q LEFT JOIN r ON q.qid = r.qid AND r.r = 1""")
 def proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One clear candidate is to be confirmed, several close ones to be chosen from."""
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    t = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(w)).filter("n <= 2").groupBy("o_custkey").agg(F.max(F.when(F.col("n") == 1, F.col("o_totalprice"))).alias("a"), F.max(F.when(F.col("n") == 2, F.col("o_totalprice"))).alias("b"))
-    return t.select("o_custkey", F.when(F.col("a") < 200000, "none").when(F.col("b").isNull() | (F.col("a") - F.col("b") > 50000), "confirm").otherwise("choose").alias("kind"))
+    """Suppliers looked up by a code that may be misread, among those of their nation; balance band and a digit are the facts."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.floor(F.col("s_acctbal") / 2000).alias("band"), (F.col("s_suppkey") % 5).alias("digit"))
+    wrong = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.substring("s_name", 1, 3), F.lit("X"), F.expr("substring(s_name, 5)"))).otherwise(F.col("s_name"))
+    q = s.select(F.col("s_suppkey").alias("qid"), wrong.alias("qcode"), "s_nationkey", F.col("band").alias("qband"), F.col("digit").alias("qdigit"))
+    pairs = q.join(s, "s_nationkey").withColumn("d", F.levenshtein("qcode", "s_name"))
+    return proposals(pairs, "qid", "s_suppkey", "d", [("qband", "band"), ("qdigit", "digit")])
+
+
+@query("M34_engine_arbitration", """
+WITH e AS (
+  SELECT l_orderkey, l_linenumber::BIGINT AS line, CASE WHEN l_partkey % 4 > 0 THEN (l_quantity::INT % 3)::VARCHAR END AS a, (l_suppkey % 3)::VARCHAR AS b, CASE WHEN l_suppkey % 2 = 0 THEN concat(' ', l_partkey % 3) END AS c,
+         -(l_partkey % 7)::DOUBLE AS sa, -(l_suppkey % 7)::DOUBLE AS sb, -(l_orderkey % 7)::DOUBLE AS sc, l_tax AS ink FROM lineitem),
+f AS (SELECT *, trim(c) AS d FROM e)
+SELECT l_orderkey, line,
+       CASE WHEN a IS NOT DISTINCT FROM b OR a IS NOT DISTINCT FROM d THEN a WHEN b = d THEN b WHEN a IS NULL AND ink < 0.02 THEN NULL
+            WHEN sb >= sa + 3 AND sb >= sc AND sb > sa THEN b WHEN sc >= sa + 3 AND sc > sb THEN c ELSE a END AS value,
+       CASE WHEN a IS NOT DISTINCT FROM b AND a IS NOT DISTINCT FROM d THEN 3 WHEN a IS NOT DISTINCT FROM b OR a IS NOT DISTINCT FROM d OR b = d THEN 2 ELSE 1 END::BIGINT AS agree FROM f""")
+def arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three engines' readings of every line, one of them blank at times."""
+    text, score = lambda x: x.cast("string"), lambda x: -(F.col(x) % 7).cast("double")
+    k = lambda x, n: F.col(x) % n
+    readings = {"own": (F.when(k("l_partkey", 4) > 0, text(F.col("l_quantity").cast("int") % 3)), score("l_partkey")), "second": (text(k("l_suppkey", 3)), score("l_suppkey")), "third": (F.when(k("l_suppkey", 2) == 0, F.concat(F.lit(" "), text(k("l_partkey", 3)))), score("l_orderkey"))}
+    value, agree = arbitrated(readings, "own", F.trim, F.col("l_tax"), blank=0.02)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), value.alias("value"), agree.alias("agree"))
 
 
 @query("E13_message_dedup", "SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
@@ -116,12 +175,18 @@ def vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy(F.col("t.vint").alias("vint"), "seg").agg(F.max("y").alias("last_year"), F.count("*").alias("known"))
 
 
-@query("E16_error_classes", "SELECT event_id, CASE WHEN code IN (401, 408, 429) THEN 'retry' WHEN code BETWEEN 400 AND 499 THEN 'manual' WHEN code >= 500 THEN 'retry' ELSE 'done' END AS action FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 401 WHEN 2 THEN 404 WHEN 3 THEN 429 WHEN 4 THEN 503 ELSE 422 END AS code FROM events)")
+CODES = {"error": 503, "signup": 422, "view": 429, "click": 404, "purchase": 200}
+
+
+@query("E16_error_classes", f"""
+WITH e AS (SELECT event_id, user_id, ts, CASE event_type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in CODES.items())} END AS code FROM events),
+a AS (SELECT *, CASE WHEN code IS NULL OR code IN (401, 408, 429) OR code >= 500 THEN 'retry' WHEN code BETWEEN 400 AND 499 THEN 'manual' ELSE 'done' END AS action FROM e),
+r AS (SELECT *, sum((action = 'done')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM a)
+SELECT event_id, action, CASE WHEN action = 'retry' THEN least(60, 2 * pow(2, least(sum((action = 'retry')::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 20)))::BIGINT END AS wait FROM r""")
 def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Permanent errors go to a person, the rest is tried again."""
-    k = F.col("event_id") % 6
-    code = F.when(k == 0, 200).when(k == 1, 401).when(k == 2, 404).when(k == 3, 429).when(k == 4, 503).otherwise(422)
-    return table(spark, sf_dir, "events").select("event_id", F.when(code.isin(401, 408, 429), "retry").when(code.between(400, 499), "manual").when(code >= 500, "retry").otherwise("done").alias("action"))
+    """Permanent errors go to a person, the rest is tried again, later with each failure in a row."""
+    code = F.try_element_at(F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair]), F.col("event_type"))
+    return client_queue(table(spark, sf_dir, "events").withColumn("code", code), "user_id", ["ts", "event_id"], "code").select("event_id", "action", "wait")
 
 
 @query("S15_latest_per_year", FACT_SQL + " SELECT y, arg_max(seg, (v, seg)) AS top FROM f GROUP BY 1")

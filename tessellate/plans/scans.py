@@ -105,7 +105,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEGAL = {("view", "click"), ("click", "view"), ("view", "view"), ("click", "purchase"), ("purchase", "view"), ("view", "error"), ("error", "view"), ("signup", "view"), ("view", "signup")}
 
 
-@query("E12_stream_transitions")
+@query("X03_stream_transitions")
 def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed state over a stream: an illegal step is reported and changes nothing."""
     path = scratch(spark, "steps")
