@@ -139,14 +139,16 @@ def french_number(x: Column, digits: int = 2) -> Column:
     return F.translate(F.format_number(x, digits), ",.-", " ,−")
 
 
+_CHEAP = {*CONFUSABLE, *(p[::-1] for p in CONFUSABLE)}
+
+
 def code_distance_of(a: str, b: str) -> float:
     """Edit distance; exchanging two characters that are easily confused costs 0.4."""
-    cheap = {frozenset(p) for p in CONFUSABLE}
     row = list(map(float, range(len(b) + 1)))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], float(i)
         for j, y in enumerate(b, 1):
-            swap = last + (0.0 if x == y else 0.4 if frozenset((x, y)) in cheap else 1.0)
+            swap = last + (0.0 if x == y else 0.4 if x + y in _CHEAP else 1.0)
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, swap)
     return row[-1]
 

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.allocate import top_share
-from ..operators.running import ranked
-from ..operators.regress import least_squares, repeat_index, spline_basis
+from ..operators.running import percentiles, ranked
+from ..operators.regress import least_squares, repeat_index, repeat_index_by, spline_basis
 from ..operators.simulate import poisson_weight
 from ..operators.weighted import uniform
 from ..registry import query, table
@@ -31,18 +31,21 @@ def repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(int(y), round(v, 6)) for y, v in index], "y long, value double")
 
 
-#: The reference's count.
-N_SEEDS = 30
+#: Seeds of an ensemble, draws of the repeat index, trees of the forest.
+N_SEEDS, N_REPEAT, N_TREES = 30, 200, 300
 
 
 @query("M05_repeat_index_bootstrap")
 def repeat_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One solve for each draw; a unit's pairs share its weight."""
-    rows = []
-    for draw in range(3):
-        p = _pairs(spark, sf_dir).withColumn("w", poisson_weight(uniform("m05", draw, F.col("o_custkey"))) / F.col("gap"))
-        rows += [(draw, int(y), round(v, 6)) for y, v in repeat_index(p, F.col("o_totalprice"), F.col("prev_o_totalprice"), "y", "py", list(range(1995, 2002)), F.col("w"))]
-    return spark.createDataFrame(rows, "draw int, y long, value double")
+    """One solve for each draw, of sums that one aggregate makes for all draws; a unit's pairs share its weight."""
+    return repeat_draws(_pairs(spark, sf_dir), N_REPEAT)
+
+
+def repeat_draws(pairs: DataFrame, draws: int) -> DataFrame:
+    p = pairs.select("o_custkey", "o_totalprice", "prev_o_totalprice", "y", "py", "gap", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    p = p.withColumn("w", poisson_weight(uniform("m05", F.col("draw"), F.col("o_custkey"))) / F.col("gap")).filter("w > 0")
+    index = repeat_index_by(p, "draw", F.col("o_totalprice"), F.col("prev_o_totalprice"), "y", "py", list(range(1995, 2002)), F.col("w"))
+    return pairs.sparkSession.createDataFrame([(draw, int(y), round(v, 6)) for draw, of in sorted(index.items()) for y, v in of], "draw int, y long, value double")
 
 
 @query("M06_fixed_effects", """
@@ -157,10 +160,10 @@ def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("M27_weight_interval")
 def weight_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The range of each logistic weight over refits on hash-weighted rows."""
+    """The 5 to 95 % interval of each logistic weight over N_SEEDS refits on hash-weighted rows."""
     f = features(spark, sf_dir).cache()
-    rows = [(seed, i, float(w)) for seed in range(3) for i, w in enumerate(_fit(f.withColumn("w", poisson_weight(uniform("m27", seed, F.col("id"))).cast("double")), "w")[0].coefficients)]
-    return spark.createDataFrame(rows, "seed int, term int, w double").groupBy("term").agg(F.round(F.min("w"), 3).alias("low"), F.round(F.max("w"), 3).alias("high"))
+    rows = [(seed, i, float(w)) for seed in range(N_SEEDS) for i, w in enumerate(_fit(f.withColumn("w", poisson_weight(uniform("m27", seed, F.col("id"))).cast("double")), "w")[0].coefficients)]
+    return percentiles(spark.createDataFrame(rows, "seed int, term int, w double"), ["term"], "w", {"low": 0.05, "high": 0.95}).select("term", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
 
 
 @query("K08_model_as_json", """
@@ -204,7 +207,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("M31_forest_baseline")
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = VectorAssembler(inputCols=["bal", "n", "spend"], outputCol="x").transform(features(spark, sf_dir))
-    return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=30, minInstancesPerNode=20, seed=42).fit(v).transform(v).select("id", F.col("prediction").cast("int").alias("said"))
+    return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=N_TREES, minInstancesPerNode=20, seed=42).fit(v).transform(v).select("id", F.col("prediction").cast("int").alias("said"))
 
 
 @query("M17_boosting")

@@ -180,7 +180,7 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), "n_name", "n_regionkey")
     for most in (1, 3):
         sinks.publish(n.filter(F.col("n_regionkey") < most).drop("n_regionkey"), path)
-    return spark.read.parquet(path)
+    return sinks.read_published(spark, path)
 
 
 @query("K10_sealed_documents", "SELECT doc_id, sha256(text) AS sha FROM documents")

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import delete
 
 
 def write_predictions(df: DataFrame, path: str, ident: str, granted: str, budget: int) -> None:
@@ -40,9 +39,9 @@ def nested(df: DataFrame, key: str, columns: list[str], name: str = "items") ->
 
 
 def write_findings(df: DataFrame, path: str) -> None:
-    """Semicolons between values; the mark that some spreadsheets want stands before the first column's name."""
+    """Semicolons between values; the mark that some spreadsheets want stands before the first column's name, in every part: as many files as df has partitions."""
     first, *rest = df.columns
-    df.withColumnRenamed(first, "﻿" + first).coalesce(1).write.option("header", True).option("sep", ";").mode("overwrite").csv(path)
+    df.withColumnRenamed(first, "\ufeff" + first).write.option("header", True).option("sep", ";").mode("overwrite").csv(path)
 
 
 def new_rows(batch: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -50,16 +49,30 @@ def new_rows(batch: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return batch.dropDuplicates([key]).join(known.select(key), key, "left_anti")
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Staged beside the target, then renamed over it: a reader sees the old folder or the new one."""
-    stage = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(stage)
+def publish(df: DataFrame, path: str) -> str:
+    """A new version beside the older ones, then the pointer file turned to it: a reader sees the old version or the new one, and a crash at any place
+    leaves the old one. Returns the version's folder."""
     spark = df.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    delete(spark, path)
-    if not fs.rename(at(stage), at(path)):
-        raise OSError(f"{stage} could not be renamed")
+    name = f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    new = at(f"{path}/.{name}")
+    stream = new.getFileSystem(conf).create(new, True)
+    try:
+        stream.write(bytearray(name.encode()))
+    finally:
+        stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, at(f"{path}/CURRENT"), options)
+    return f"{path}/{name}"
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The version that the pointer names."""
+    name = spark.read.text(f"{path}/CURRENT").first()[0]
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def sealed(payload: Column, key: bytes) -> Column:

@@ -50,14 +50,14 @@ def transitions(df: DataFrame, record: str, state: str, order: str, allowed: set
 
 
 def upsert_into(df: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:
-    """All that is there now, into a Parquet folder, each key once: a replayed batch finds its keys and adds nothing."""
+    """All that is there now, into a Parquet folder, each key once: a replayed batch finds its keys and adds nothing. Of what is there only the keys are read; a folder that
+    cannot be read stops the stream, and only one that is not there is taken as empty."""
 
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(path)
-        except Exception:  # nothing was written yet
-            known = batch.limit(0)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        known = spark.read.schema(batch.schema).parquet(path) if there else batch.limit(0)
         new_rows(batch, known, key).write.mode("append").parquet(path)
 
     return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

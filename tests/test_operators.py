@@ -227,3 +227,50 @@ def test_guards(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"radius": 1}')
     assert Settings.load(tmp_path / "s.json").radius == 1
     assert math.isclose(Settings().length_tolerance, 0.02)
+
+
+def test_publish_keeps_the_old_version_until_the_new_is_there(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    sinks.publish(spark.range(3), path)
+    broken = spark.range(5).select(F.raise_error(F.lit("stop")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.publish(broken, path)
+    assert sinks.read_published(spark, path).count() == 3
+    sinks.publish(spark.range(7), path)
+    assert sinks.read_published(spark, path).count() == 7
+
+
+def test_upsert_stops_at_a_broken_table(spark, tmp_path):
+    from tessellate.streaming import streams
+
+    e = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    e.write.parquet(f"file://{tmp_path}/in")
+    source = lambda: spark.readStream.schema(e.schema).parquet(f"file://{tmp_path}/in")
+    streams.upsert_into(source(), f"file://{tmp_path}/out", "k", f"file://{tmp_path}/one").awaitTermination()
+    streams.upsert_into(source(), f"file://{tmp_path}/out", "k", f"file://{tmp_path}/two").awaitTermination()
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
+    (tmp_path / "out" / "part-broken.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        streams.upsert_into(source(), f"file://{tmp_path}/out", "k", f"file://{tmp_path}/three").awaitTermination()
+
+
+def test_outbox_replay(spark):
+    from tessellate.operators.outbox import flushed
+
+    tries = [("a", t, False) for t in (0, 1, 2, 6, 14, 30, 62)] + [("a", 700, True), ("a", 701, False), ("b", 0, True), ("c", 0, False), ("c", 1, True), ("c", 2, True)]
+    df = spark.createDataFrame([(i, t, k, ok) for k, (i, t, ok) in enumerate(tries)], "item string, t long, k long, ok boolean")
+    got = {r["item"]: tuple(r)[1:] for r in flushed(df, "item", "t", "k", "ok").collect()}
+    assert got == {"a": ("SYNCHRONISÉ", 6, None, True, 1), "b": ("SYNCHRONISÉ", 0, None, False, 0), "c": ("SYNCHRONISÉ", 1, None, False, 1)}
+
+
+def test_repeat_draws_are_single_fits(spark):
+    from tessellate.operators.regress import repeat_index
+    from tessellate.operators.simulate import poisson_weight
+    from tessellate.operators.weighted import uniform
+    from tessellate.plans.models import repeat_draws
+
+    p = spark.range(400).selectExpr("id % 90 o_custkey", "100 + id * 7 % 50 o_totalprice", "90 + id * 3 % 50 prev_o_totalprice", "1996 + id % 6 y", "1995 + id % 6 py", "1.0 gap")
+    got = {(r["draw"], r["y"]): r["value"] for r in repeat_draws(p, 4).collect()}
+    for draw in range(4):
+        alone = repeat_index(p.withColumn("w", poisson_weight(uniform("m05", draw, F.col("o_custkey")))), F.col("o_totalprice"), F.col("prev_o_totalprice"), "y", "py", list(range(1995, 2002)), F.col("w"))
+        assert [got[draw, y] for y, _ in alone] == pytest.approx([v for _, v in alone], abs=1e-5)
