@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import cut
 from .tokens import encoder, steps
 
-#: The offsets of (task, length) are broadcast up to so many rows, else joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: The tasks' offsets (one number for each length, in one row a task) are broadcast up to so many bytes, else joined by a shuffle.
+BROADCAST_BYTES = 64_000_000
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -149,7 +149,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     places = Places(plan({r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counted.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    small = counted.count() <= BROADCAST_ROWS
+    by_length = firsts.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("of"))  # at most capacity entries
+    offsets = by_length.select("task", F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda n: F.coalesce(F.try_element_at("of", n.cast("long")), F.lit(0).cast("long"))).alias("of"))
+    small = counted.select("task").distinct().count() * (capacity + 1) * 8 <= BROADCAST_BYTES
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,5 +161,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             ids = binary([np.frombuffer(x.as_buffer(), width).astype("<u4").tobytes() for x in c["ids"]])
             yield pa.RecordBatch.from_arrays([c["id"], c["piece"], c["start"], c["length"], ids, pa.array(sequence), pa.array(offset)], ["id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
-    joined = cutted.join(F.broadcast(firsts) if small else firsts, ["task", "length"])
+    joined = cutted.join(F.broadcast(offsets) if small else offsets, "task").withColumn("before", F.get("of", F.col("length").cast("int"))).drop("of")
     return joined.mapInArrow(placed, f"id {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long").withColumnRenamed("id", id_col)

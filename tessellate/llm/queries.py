@@ -76,7 +76,7 @@ def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, name = decontaminate.matched(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     s = F.col(name)
-    return out.select("doc_id", s["n_words"].alias("n_words"), s["n_hit"].alias("n_hit"), F.size(s["items"]).cast("long").alias("n_items"), decontaminate.items_sha256(s).alias("items_sha256"), decontaminate.contaminated(s).alias("contaminated"))
+    return out.select("doc_id", s["n_words"].alias("n_words"), s["n_hit"].alias("n_hit"), F.size(s["items"]).cast("long").alias("n_items"), decontaminate.items_sha256(s).alias("items_sha256"), decontaminate.contaminated(s).alias("contaminated"), s["match_words"].cast("long").alias("match_words"), s["match_item"].alias("match_item"), s["match_start"].cast("long").alias("match_start"))
 
 
 QUERIES = {f.__name__: f for f in (op1_best_two_fit_packing, op2_url_filter, op3_partenum_jaccard_join, op4_feistel_pseudonyms, op5_line_window_dedup, op6_hash_tree_sharding, op7_quality_rules, op8_token_files, op9_quality_knn, op10_suffix_array_decontamination)}
@@ -149,16 +149,20 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text,
 dw AS (SELECT rid, doc_id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM d),
 b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
 bw AS (
-  SELECT DISTINCT item, least(len(w), 13) AS k, array_to_string(w[p:p + least(len(w), 13) - 1], ' ') AS g
+  SELECT DISTINCT item, p AS o, least(len(w), 13) AS k, array_to_string(w[p:p + least(len(w), 13) - 1], ' ') AS g
   FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 11, 2))) AS p FROM b WHERE len(w) > 0)),
 ks AS (SELECT DISTINCT k FROM bw),
 win AS (
   SELECT rid, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
   FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM dw, ks WHERE len(w) >= k)),
-found AS (SELECT rid, item, p, win.k FROM win JOIN bw ON win.k = bw.k AND win.g = bw.g),
+found AS (SELECT rid, item, p, o, win.k FROM win JOIN bw ON win.k = bw.k AND win.g = bw.g),
+runs AS (SELECT rid, item, p, k, o - p AS diagonal, p - row_number() OVER (PARTITION BY rid, item, o - p, k ORDER BY p) AS island FROM (SELECT DISTINCT rid, item, p, o, k FROM found)),
+matches AS (SELECT rid, item, min(p) - 1 AS start, count(*) + any_value(k) - 1 AS words FROM runs GROUP BY rid, item, diagonal, k, island),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY words DESC, item, start) AS n FROM matches) WHERE n = 1),
 hits AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM found) GROUP BY rid),
 its AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY rid),
-r AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256 FROM dw LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid))
+r AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+         coalesce(words, 0)::BIGINT AS match_words, item AS match_item, start::BIGINT AS match_start FROM dw LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid) LEFT JOIN best USING (rid))
 SELECT *, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM r"""
 
 ORACLE = {"op5_line_window_dedup": _OP5_SQL, "op10_suffix_array_decontamination": _OP10_SQL, "op2_url_filter": _op2_sql(), "op7_quality_rules": _op7_sql()}
