@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.weighted import uniform
 from ..registry import query, table
 from ..session import scratch
-from ..sources import readers, sinks
+from ..sources import readers, sinks, xlsx
 from ..streaming import streams
 from .aggregates import HASH
 
@@ -73,6 +73,15 @@ def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds
 
 
+@query("S08_known_list_xlsx", "SELECT n_nationkey::BIGINT AS nation, n_name AS name, n_regionkey::BIGINT AS region FROM nation")
+def known_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A known list as a spreadsheet: written from the nations, read back with its columns."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()
+    path = scratch(spark, "known")
+    sinks.write_bytes(spark, f"{path}/known.xlsx", xlsx.sheet_bytes([["nation", "name", None, "region"], *[[r["n_nationkey"], r["n_name"], None, r["n_regionkey"]] for r in n]]))
+    return xlsx.read_xlsx(spark, path, ["nation", "name", "region"]).select(F.col("nation").cast("long").alias("nation"), "name", F.col("region").cast("long").alias("region"))
+
+
 @query("S20_idempotent_ingestion", "SELECT event_id, event_type FROM events")
 def ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of files in which every event comes twice, into a keyed table; the stream is run again and adds nothing."""

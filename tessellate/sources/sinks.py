@@ -49,6 +49,16 @@ def new_rows(batch: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return batch.dropDuplicates([key]).join(known.select(key), key, "left_anti")
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file, through the session's file access."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+
+
 def publish(df: DataFrame, path: str) -> str:
     """A new version beside the older ones, then the pointer file turned to it: a reader sees the old version or the new one, and a crash at any place
     leaves the old one. Returns the version's folder."""
@@ -58,11 +68,7 @@ def publish(df: DataFrame, path: str) -> str:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path
     new = at(f"{path}/.{name}")
-    stream = new.getFileSystem(conf).create(new, True)
-    try:
-        stream.write(bytearray(name.encode()))
-    finally:
-        stream.close()
+    write_bytes(spark, f"{path}/.{name}", name.encode())
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, at(f"{path}/CURRENT"), options)

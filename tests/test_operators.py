@@ -274,3 +274,19 @@ def test_repeat_draws_are_single_fits(spark):
     for draw in range(4):
         alone = repeat_index(p.withColumn("w", poisson_weight(uniform("m05", draw, F.col("o_custkey")))), F.col("o_totalprice"), F.col("prev_o_totalprice"), "y", "py", list(range(1995, 2002)), F.col("w"))
         assert [got[draw, y] for y, _ in alone] == pytest.approx([v for _, v in alone], abs=1e-5)
+
+
+def test_xlsx_of_other_writers(spark, tmp_path):
+    """Shared strings, cells that are left out, and a column that is missing."""
+    import zipfile
+
+    from tessellate.sources import xlsx
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>sheet</t></si><si><r><t>no</t></r><r><t>te</t></r></si><si><t>S-501 &amp; co</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2" t="s"><v>2</v></c></row><row/><row><c r="C4"><v>7.5</v></c></row></sheetData></worksheet>')
+    got = xlsx.read_xlsx(spark, f"file://{tmp_path}/a.xlsx", ["note", "sheet"])
+    assert [tuple(r) for r in got.collect()] == [(None, "S-501 & co"), ("7.5", None)]
+    with pytest.raises(Exception, match="lacks"):
+        xlsx.read_xlsx(spark, f"file://{tmp_path}/a.xlsx", ["other"]).collect()
