@@ -14,7 +14,7 @@ def shift_share(both: DataFrame, year: str, n: str, mean: str, n_prev: str, mean
     m, p = F.coalesce(F.col(mean), F.lit(0.0)), F.coalesce(F.col(mean_prev), F.lit(0.0))
     stay = (N > 0) & (P > 0)
     t = both.groupBy(year).agg(F.sum(N).alias("__n"), F.sum(P).alias("__p"))
-    j = both.join(F.broadcast(t), year).withColumns({"__s": F.try_divide(N, F.col("__n")), "__sp": F.try_divide(P, F.col("__p"))})
+    j = both.join(t, year).withColumns({"__s": F.try_divide(N, F.col("__n")), "__sp": F.try_divide(P, F.col("__p"))})
     s, sp = F.col("__s"), F.col("__sp")
     return j.groupBy(year).agg(
         F.sum(F.when(stay, sp * (m - p)).otherwise(0.0)).alias("within"),

@@ -29,9 +29,9 @@ def transition_table(spark: SparkSession, transitions: dict[str, list[str]] = TR
 
 
 def checked(steps: DataFrame, transitions: DataFrame) -> DataFrame:
-    """steps (src, dst, ...) with `legal`: whether the table has the step. The table is a fixed handful of rows."""
+    """steps (src, dst, ...) with `legal`: whether the table has the step. Its size decides how it is joined."""
     t = transitions.select(F.col("src").alias("__s"), F.col("dst").alias("__d")).distinct()
-    return steps.join(F.broadcast(t), (F.col("src") == F.col("__s")) & (F.col("dst") == F.col("__d")), "left").withColumn("legal", F.col("__s").isNotNull()).drop("__s", "__d")
+    return steps.join(t, (F.col("src") == F.col("__s")) & (F.col("dst") == F.col("__d")), "left").withColumn("legal", F.col("__s").isNotNull()).drop("__s", "__d")
 
 
 def replayed(log: DataFrame, record: str, order: str, state: str) -> DataFrame:

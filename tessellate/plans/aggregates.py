@@ -424,7 +424,7 @@ def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def premium(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
     level = c.groupBy((F.col("y") + 1).alias("y")).agg((F.sum("total") / F.sum("n")).alias("lvl"))
-    return c.filter("n >= 30").join(F.broadcast(level), "y").select("y", "brand", "beds", F.round(F.col("mean") / F.col("lvl") - 1, 6).alias("premium"))
+    return c.filter("n >= 30").join(level, "y").select("y", "brand", "beds", F.round(F.col("mean") / F.col("lvl") - 1, 6).alias("premium"))
 
 
 @query("A49_disagreement", SERIES_SQL + "SELECT y, round(max(v) - min(v), 2) AS disagreement FROM s GROUP BY 1")

@@ -239,14 +239,17 @@ def position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("J21_nearest_label", PLANE_SQL + """
-SELECT a, b FROM (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY abs(a.x - b.x) + 2 * CASE WHEN b.y > a.y THEN b.y - a.y ELSE (a.y - b.y) * 3 END, b.vec_id) AS n FROM e a JOIN e b ON a.label = b.label AND a.vec_id % 10 <> 0 AND b.vec_id % 10 = 0) WHERE n = 1""")
+SELECT a, b FROM (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY abs(a.x - b.x) + 2 * CASE WHEN b.y > a.y THEN b.y - a.y ELSE (a.y - b.y) * 3 END, b.vec_id) AS n
+  FROM e a LEFT JOIN e b ON a.label = b.label AND b.vec_id % 10 = 0 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.2 WHERE a.vec_id % 10 <> 0) WHERE n = 1""")
 def nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each mark gets the label of least cost on its page; a label below costs three times one above."""
+    """Each mark gets the label of least cost on its page within a radius, or none; a label below costs three times one above. Pairs come from cells of that width."""
     e = plane(spark, sf_dir)
     b = e.filter("vec_id % 10 = 0").select("label", F.col("vec_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
     dy = F.when(F.col("by") > F.col("y"), F.col("by") - F.col("y")).otherwise((F.col("y") - F.col("by")) * 3)
-    j = e.filter("vec_id % 10 <> 0").join(b, "label")
-    return j.groupBy(F.col("vec_id").alias("a")).agg(F.min(F.struct((F.abs(F.col("x") - F.col("bx")) + 2 * dy).alias("c"), F.col("b").alias("b"))).alias("m")).select("a", "m.b")
+    marks = e.filter("vec_id % 10 <> 0")
+    near = nearby(marks, b, ["label"], "x", "y", "bx", "by", 0.2)
+    best = near.groupBy("vec_id").agg(F.min(F.struct((F.abs(F.col("x") - F.col("bx")) + 2 * dy).alias("c"), F.col("b").alias("b"))).alias("m"))
+    return marks.select("vec_id").join(best, "vec_id", "left").select(F.col("vec_id").alias("a"), "m.b")
 
 
 FIELDS_SQL = """

@@ -82,7 +82,7 @@ def outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("P09_group_label", "SELECT c_custkey, CASE WHEN n_regionkey IN (0, 2) THEN 'remote' ELSE 'centre' END AS grp FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def group_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
-    return table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.when(F.col("n_regionkey").isin(0, 2), "remote").otherwise("centre").alias("grp"))
+    return table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.when(F.col("n_regionkey").isin(0, 2), "remote").otherwise("centre").alias("grp"))
 
 
 @query("P10_bands_with_unknown", "SELECT p_partkey, CASE WHEN x IS NULL THEN 'unknown' WHEN x < 10 THEN '<10' WHEN x < 20 THEN '10-19' WHEN x < 35 THEN '20-34' ELSE '35+' END AS band FROM (SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_size END AS x FROM part)")
@@ -257,10 +257,10 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str, customers: DataFrame, *third: str) -> DataFrame:
-    x = customers.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    x = customers.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     cell = x.groupBy("n_regionkey", "c_nationkey", "c_mktsegment", *third).agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("m"))
     parent = x.groupBy("n_regionkey").agg(F.count("*").alias("pn"), F.avg("c_acctbal").alias("pm"))
-    j = cell.join(F.broadcast(parent), "n_regionkey")
+    j = cell.join(parent, "n_regionkey")
     n, pn = F.col("n"), F.col("pn")
     return j.select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_mktsegment").alias("segment"), *third, "n", F.when(n >= 5, "cell").when(pn >= 5, "parent").otherwise("none").alias("level"), F.round(F.when(n >= 5, F.col("m")).when(pn >= 5, F.col("pm")), 4).alias("mean"))
 

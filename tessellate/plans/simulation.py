@@ -114,7 +114,7 @@ def two_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def margins(spark: SparkSession, sf_dir: str, draws: int = N_SIMULATIONS) -> DataFrame:
-    d = cohort(spark, sf_dir).join(F.broadcast(pools(spark, sf_dir)), "pr").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    d = cohort(spark, sf_dir).join(pools(spark, sf_dir), "pr").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = lambda tag: uniform(tag, F.col("draw"), F.col("unit"))
     return d.select(F.col("draw").cast("long").alias("draw"), "unit", F.when(u("ext") < 0.7, pick(F.col("xs"), u("int"))).otherwise(F.lit(0.0)).alias("drag"))
 
