@@ -35,15 +35,17 @@ ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.
 
 @dataclass
 class Block:
-    """The suffixes of some items: the item's number, where in the item it starts, its window as big-endian bytes, words of the window."""
+    """The suffixes of some items: the item's number, where in the item it starts and where among all words, words of its window, the hash of its first words; and all
+    words as big-endian bytes, of which a window's key is cut when it is searched. About 50 bytes for a word."""
 
     ids: list[str]
     item: np.ndarray
     at: np.ndarray
-    keys: list[bytes]
+    place: np.ndarray
     need: np.ndarray
     lead: int
     grams: np.ndarray
+    big: bytes
     depth: int
 
     @staticmethod
@@ -54,19 +56,19 @@ class Block:
         hashes, _, _, begin = words(LOWER[data], offsets, ALPHANUMERIC)
         size = np.diff(begin)
         lead = int(min(4, window, size[size > 0].min(initial=4)))
-        rows, lead_grams = [], grams(hashes, lead)
-        big = hashes.astype(">u8").tobytes()
-        for (ident, _), a, n in zip(items, begin[:-1].tolist(), size.tolist(), strict=True):
-            need = min(window, n)
-            rows += [(number[ident], o, a + o, need) for o in range(n - need + 1) if n]
-        item, at, place, need = np.array(rows, np.int64).reshape(-1, 4).T
-        return Block(ids, item, at, [big[8 * p : 8 * (p + k)] for p, k in zip(place.tolist(), need.tolist(), strict=True)], need, lead, lead_grams[place], max(DEPTH, window))
+        need = np.minimum(window, size)
+        starts = np.where(size > 0, size - need + 1, 0)
+        of = np.repeat(np.arange(len(items)), starts)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
+        place = begin[of] + at
+        item = np.array([number[i] for i, _ in items], np.int64)[of] if len(items) else of
+        return Block(ids, item, at, place, need[of], lead, grams(hashes, lead)[place], hashes.astype(">u8").tobytes(), max(DEPTH, window))
 
     def search(self, hashes: np.ndarray, begin: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Occurrences in a shard: place, item, the window's start in the item, its words. Marks the words that they cover in hit."""
         none = np.zeros((4, 0), np.int64)
         all_grams = grams(hashes, self.lead)
-        if not len(self.keys) or not len(all_grams):
+        if not len(self.grams) or not len(all_grams):
             return tuple(none)
         bits = np.zeros(1 << 18, bool)
         bits[self.grams & np.uint64(len(bits) - 1)] = True
@@ -81,8 +83,9 @@ class Block:
         keys, places = [k for k, _ in suffixes], np.array([p for _, p in suffixes])
         found = []
         for i in np.flatnonzero(np.isin(self.grams, all_grams[maybe])).tolist():
-            low = bisect_left(keys, self.keys[i])
-            high = bisect_right(keys, self.keys[i] + b"\xff" * 8 * self.depth, low)
+            key = self.big[8 * self.place[i] : 8 * (self.place[i] + self.need[i])]
+            low = bisect_left(keys, key)
+            high = bisect_right(keys, key + b"\xff" * 8 * self.depth, low)
             if high > low:
                 at = places[low:high]
                 found.append(np.stack([at, np.full(len(at), self.item[i]), np.full(len(at), self.at[i]), np.full(len(at), self.need[i])]))
