@@ -245,7 +245,7 @@ def json_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.bit_count(F.col("event_id").bitwiseXOR(F.col("user_id"))).cast("long").alias("bits"))
 
 
-@query("F33_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding, b.embedding), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0")
+@query("F33_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0")
 def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stated query set against all rows of its block."""
     return cosine_of(*query_vectors(spark, sf_dir))
