@@ -8,7 +8,7 @@ their id), so what is broadcast is at most sample * dimensions numbers. Cases:
 
 * null and empty texts: no words; they are scored by their length term as any other text. Very long texts: whole.
 * ties in similarity: what the partial sort returns, by position in the sample, which is sorted by the id as text. Repeated rows: scored alike; of
-  rows that share a labelled id the one with the least hash of its text is learnt from, so that at most `sample` rows reach the driver.
+  rows that share a labelled id the one with the least terms is learnt from, so that at most `sample` rows reach the driver.
 * no usable labels: every score is 0.5. Labels with a null id or a null label are not used. Empty table: no rows.
 * extra columns and clashing names: carried; the added column has a name the table does not use. Labels are read by their own names only.
 """
@@ -101,7 +101,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     """Learns from the `sample` labelled rows with the least hash of their id."""
     chosen = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64(F.col("l_id").cast("string")), "l_id", "label").limit(sample)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("l_id"))
-    rows = rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))  # of rows that share an id one
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", STEP_BYTES):
@@ -111,7 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             take = lambda v, t: pa.array([v[a:b].astype(t).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label"), take(col, "<u2"), take(x[row, col], "<f2")], ["id", "label", "terms", "values"])
 
-    got = sorted(rows.mapInArrow(found, "id string, label int, terms binary, values binary").collect(), key=lambda r: (r["id"], r["label"]))
+    learnt = rows.mapInArrow(found, "id string, label int, terms binary, values binary")
+    one = learnt.groupBy("id", "label").agg(F.min(F.struct("terms", "values")).alias("of")).select("id", "label", "of.*")  # of rows that share an id one
+    got = sorted(one.collect(), key=lambda r: (r["id"], r["label"]))
     x = np.zeros((len(got), TERMS), np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["terms"], "<u2")] = np.frombuffer(r["values"], "<f2")
