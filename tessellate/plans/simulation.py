@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.draws import LANES, Lanes, as_uniform, below, blocks
 from ..operators.running import ONE_SORT, largest_group, percentiles, with_percentiles
-from ..operators.simulate import cluster_bootstrap_median, pick, poisson_steps, poisson_weight, regulated
+from ..operators.simulate import cluster_bootstrap_median, poisson_steps, poisson_weight, regulated
 from ..operators.weighted import uniform, weighted_percentiles
 from ..registry import query, table
 from .aggregates import HASH
@@ -114,9 +119,24 @@ def two_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def margins(spark: SparkSession, sf_dir: str, draws: int = N_SIMULATIONS) -> DataFrame:
-    d = cohort(spark, sf_dir).join(pools(spark, sf_dir), "pr").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = lambda tag: uniform(tag, F.col("draw"), F.col("unit"))
-    return d.select(F.col("draw").cast("long").alias("draw"), "unit", F.when(u("ext") < 0.7, pick(F.col("xs"), u("int"))).otherwise(F.lit(0.0)).alias("drag"))
+    """Each task draws for its units, which are dealt out evenly."""
+    c = cohort(spark, sf_dir).join(pools(spark, sf_dir), "pr").select("unit", "xs")
+    unit = c.schema["unit"].dataType.simpleString()
+    return c.repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(lambda batches: depths(batches, draws), f"draw long, unit {unit}, drag double")
+
+
+def depths(batches: Iterator[pa.RecordBatch], draws: int) -> Iterator[pa.RecordBatch]:
+    """For batches of unit and pool (xs): draw, unit and the depth, which is hashed only where there is one."""
+    for batch in (b.slice(k, LANES) for b in batches for k in range(0, b.num_rows, LANES)):
+        units, xs = batch["unit"], batch["xs"]
+        lanes, starts, sizes = Lanes(units), xs.offsets.to_numpy()[:-1], xs.value_lengths().to_numpy()
+        values = xs.values.to_numpy(zero_copy_only=False)
+        for first, count in blocks(0, draws, lanes.n):
+            some, drag = lanes.bits("ext", first, count) < below(0.7), np.zeros((count, lanes.n))
+            which = np.nonzero(some)[1]
+            place = np.minimum((as_uniform(lanes.bits("int", first, count, some)) * sizes[which]).astype(np.int64), sizes[which] - 1)
+            drag[some] = values[starts[which] + place]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(first, first + count), lanes.n)), units.take(pa.array(np.tile(np.arange(lanes.n), count))), pa.array(drag.ravel())], ["draw", "unit", "drag"])
 
 
 SIM_SQL = COHORT_SQL.rstrip() + f""",
