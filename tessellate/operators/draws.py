@@ -7,13 +7,19 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: Rows that each task may hold for its stretch of the draws: they are broadcast, some 30 bytes each.
+IN_PLACE = 2_000_000
+#: Rows of an array in which they are broadcast.
+IN_A_ROW = 10_000
 #: Lanes that are hashed together: so many that calls do not count, and few enough for the cache.
-LANES = 32_768
+LANES = 16_384
 #: Bytes of a text that one block of MD5 holds.
 ONE_BLOCK = 55
 SHIFTS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
@@ -74,17 +80,25 @@ class Lanes:
 
     def __init__(self, units: pa.Array):
         texts = units.cast(pa.string())
-        #: What follows the draw: nothing for a missing unit, as concat_ws has it.
-        self.tails = [b"" if x is None else b"~" + x.encode() for x in texts.to_pylist()]
-        self.n, self.sizes = len(self.tails), np.array([len(x) for x in self.tails], np.uint32)
+        there, self.n = texts.is_valid().to_numpy(zero_copy_only=False), len(texts)
+        starts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + self.n + 1]
+        data, lengths = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.where(there, np.diff(starts), 0)
+        #: What follows the draw: nothing for a missing unit, as concat_ws has it; then the bit that ends a text.
+        self.sizes = np.where(there, lengths + 1, 0).astype(np.uint32)
         self.longest, self._laid = int(self.sizes.max(initial=0)), {}
+        self.tails = np.zeros((self.n, self.longest + 1), np.uint8)
+        self.tails[there, :1] = ord("~")
+        for k in range(self.longest - 1):
+            some = lengths > k
+            self.tails[some, k + 1] = data[starts[:-1][some] + k]
+        self.tails[np.arange(self.n), self.sizes] = 0x80
 
     def laid(self, at: int) -> np.ndarray:
-        """The words of the units' tails from byte `at` of a word on, with the bit that ends a text."""
+        """The words of the units' tails from byte `at` of a word on."""
         if at not in self._laid:
-            width = -(-(at + self.longest + 1) // 4) * 4
-            text = b"".join((b"\0" * at + x + b"\x80").ljust(width, b"\0") for x in self.tails)
-            self._laid[at] = np.ascontiguousarray(np.frombuffer(text, "<u4").reshape(self.n, width // 4).T)
+            text = np.zeros((self.n, -(-(at + self.longest + 1) // 4) * 4), np.uint8)
+            text[:, at : at + self.longest + 1] = self.tails
+            self._laid[at] = np.ascontiguousarray(text.view("<u4").T)
         return self._laid[at]
 
     def bits(self, tag: str, first: int, count: int, only: np.ndarray | None = None) -> np.ndarray:
@@ -92,7 +106,7 @@ class Lanes:
         heads = [f"{tag}~{draw}".encode() for draw in range(first, first + count)]
         size = len(heads[0])
         if size + self.longest > ONE_BLOCK:
-            of = lambda h: [int.from_bytes(hashlib.md5(h + x).digest()[:4], "big") for x in self.tails]
+            of = lambda h: [int.from_bytes(hashlib.md5(h + x[:k].tobytes()).digest()[:4], "big") for x, k in zip(self.tails, self.sizes, strict=True)]
             long = np.array([of(h) for h in heads], np.uint32).reshape(count, self.n)
             return long if only is None else long[only]
         whole, laid = size // 4, self.laid(size % 4)
@@ -124,3 +138,20 @@ class Units:
 
     def bits(self, tag: str, first: int, count: int) -> np.ndarray:
         return np.concatenate([p.bits(tag, first, count) for p in self.parts], axis=1)
+
+
+def for_stretches(rows: DataFrame, draws: int, of: Callable[[pa.StructArray, int, int], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What `of` makes of all rows (at least one, at most IN_PLACE) for each task's stretch of the draws: the rows are broadcast as arrays, nothing is shuffled for a draw."""
+    spark = rows.sparkSession
+    tasks = min(draws, spark.sparkContext.defaultParallelism * 4)
+    packs = rows.groupBy(F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, IN_PLACE // IN_A_ROW)))).agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).select("rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, task = [], None
+        for batch in batches:
+            task = batch["id"][0].as_py()
+            held.append(batch["rows"].flatten())
+        if held:
+            yield from of(pa.concat_arrays(held), task * draws // tasks, (task + 1) * draws // tasks)
+
+    return spark.range(0, tasks, 1, tasks).crossJoin(F.broadcast(packs)).mapInArrow(run, schema)

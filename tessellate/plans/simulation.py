@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.draws import LANES, Lanes, as_uniform, below, blocks
-from ..operators.running import ONE_SORT, largest_group, percentiles, with_percentiles
+from ..operators.draws import IN_PLACE, LANES, Lanes, Units, as_uniform, below, blocks, for_stretches
+from ..operators.running import largest_group, percentiles, with_percentiles
 from ..operators.simulate import cluster_bootstrap_median, poisson_steps, poisson_weight, regulated
 from ..operators.weighted import uniform, weighted_percentiles
 from ..registry import query, table
+from ..session import cut
 from .aggregates import HASH
 from .joins import SERIES_SQL, series
 from .projections import PAIRS_SQL, notice_share_before, pairs
@@ -158,23 +159,33 @@ def simulated(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
 
 
 def draws(spark: SparkSession, sf_dir: str, n: int = N_SIMULATIONS) -> DataFrame:
-    """Per scenario and draw: the median, the share of renewals and the weighted mean of the cohort's growth. A cohort that one row can hold is drawn in place, an array
-    for each draw; a larger one as rows."""
-    c = cohort(spark, sf_dir)
-    if largest_group(c, []) > ONE_SORT:
+    """Per scenario and draw: the median, the share of renewals and the weighted mean of the cohort's growth. A cohort that a task can hold is drawn in place, each task
+    with a stretch of the draws; a larger one as rows."""
+    c = cut(cohort(spark, sf_dir).select("unit", "v"))
+    if largest_group(c, []) > IN_PLACE:
         g, v, d = F.col("growth"), F.col("v"), simulated(spark, sf_dir, n)
         stats = d.groupBy("sc", "draw").agg(F.avg(F.col("renew").cast("int")).alias("renewals"), (F.sum(v * g) / F.sum(v)).alias("weighted"), F.first("weight").alias("weight"))
         return with_percentiles(stats, d, ["sc", "draw"], "growth", {"med": 0.5})
-    units = c.agg(F.array_sort(F.collect_list(F.struct("unit", "v"))).alias("units"))
-    u = lambda tag, x: uniform(tag, F.col("draw"), x["unit"])
-    drawn = lambda x: F.struct(x["v"].alias("v"), (u("renew", x) < 0.65).alias("renew"), (0.04 * (u("growth", x) - 0.5)).alias("e"))
-    d = spark.range(0, n, 1, spark.sparkContext.defaultParallelism * 4).select(F.col("id").alias("draw")).crossJoin(F.broadcast(units)).select("draw", F.transform("units", drawn).alias("x"))
-    d = d.withColumn("s", F.explode(F.array(*[F.struct(F.lit(name).alias("sc"), F.lit(b).alias("base"), F.lit(w).alias("weight")) for name, b, w in SCENARIOS])))
-    d = d.withColumn("g", F.transform("x", lambda x: 100 * regulated(F.col("s.base") + x["e"], F.lit(0.06), x["renew"])))
-    size, total = F.size("x"), lambda of: F.aggregate(of, F.lit(0.0), lambda acc, y: acc + y)
-    d = d.select("draw", "s.sc", "s.weight", F.sort_array("g").alias("sorted"), (size - 1).alias("last"), total(F.zip_with("x", "g", lambda x, g: x["v"] * g)).alias("vg"), total(F.transform("x", lambda x: x["v"])).alias("v"), F.size(F.filter("x", lambda x: x["renew"])).alias("renewed"))
-    at = lambda k: F.get("sorted", k.cast("int"))
-    return d.select("sc", "draw", ((at(F.floor(F.col("last") / 2)) + at(F.ceil(F.col("last") / 2))) / 2).alias("med"), (F.col("renewed") / (F.col("last") + 1)).alias("renewals"), (F.col("vg") / F.col("v")).alias("weighted"), "weight")
+    return for_stretches(c, n, outcomes, "sc string, draw long, med double, renewals double, weighted double, weight double")
+
+
+def outcomes(units: pa.StructArray, first: int, last: int) -> Iterator[pa.RecordBatch]:
+    """The scenarios' outcomes for the draws from first to before last."""
+    v, lanes, rows = units.field("v").to_numpy(zero_copy_only=False).astype(float), Units(units.field("unit")), []
+    known = units.field("v").is_valid().to_numpy(zero_copy_only=False)
+    v, total = np.where(known, v, 0.0), np.where(known, v, 0.0).sum()
+    low, high = (lanes.n - 1) // 2, lanes.n // 2
+    for at, count in blocks(first, last, lanes.n):
+        renew, e = lanes.bits("renew", at, count) < below(0.65), 0.04 * (as_uniform(lanes.bits("growth", at, count)) - 0.5)
+        renewals = renew.mean(axis=1)
+        for sc, base, weight in SCENARIOS:
+            g = base + e
+            g = 100 * np.where(renew, np.minimum(g, 0.06), g)
+            weighted = g @ v / total if known.any() else [None] * count
+            g.partition((low, high), axis=1)
+            rows += zip([sc] * count, range(at, at + count), ((g[:, low] + g[:, high]) / 2).tolist(), renewals.tolist(), [x if x is None else float(x) for x in weighted], [weight] * count, strict=True)
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["sc", "draw", "med", "renewals", "weighted", "weight"])
 
 
 @query("M11_cohort_simulation", more_draws(SIM_SQL, 10, N_SIMULATIONS) + "SELECT sc, draw::BIGINT AS draw, round(med, 6) AS med, round(renewals, 6) AS renewals, round(weighted, 6) AS weighted FROM dr")

@@ -46,3 +46,30 @@ def test_depths_of_any_batch():
     want = [(d, u, xs[min(int(plain("int", d, u) / 2**32 * len(xs)), len(xs) - 1)] if plain("ext", d, u) / 2**32 < 0.7 else 0.0) for k in (0, 1) for d in range(12) for u, xs in rows[k:]]
     key = lambda r: (r[0], r[1] or 0, r[2])
     assert sorted([(r["draw"], r["unit"], r["drag"]) for r in got], key=key) == sorted(want, key=key)
+
+
+def test_outcomes_of_a_cohort():
+    """The outcomes that the tasks find for their draws, with a unit and a value missing, against plain sums; all draws, in blocks of unequal sizes."""
+    units, v = [5, None, 7, 123456], [10.0, 2.5, None, 4.0]
+    rows = pa.StructArray.from_arrays([pa.array(units), pa.array(v)], ["unit", "v"])
+    got = {(r["sc"], r["draw"]): r for b in simulation.outcomes(rows, 8, 103) for r in b.to_pylist()}
+    assert len(got) == 3 * 95
+    for (sc, draw), r in got.items():
+        base = {name: b for name, b, _ in simulation.SCENARIOS}[sc]
+        renew = [plain("renew", draw, u) / 2**32 < 0.65 for u in units]
+        g = [100 * (min(x, 0.06) if y else x) for x, y in zip([base + 0.04 * (plain("growth", draw, u) / 2**32 - 0.5) for u in units], renew, strict=True)]
+        assert r["med"] == pytest.approx(np.median(g)) and r["renewals"] == np.mean(renew)
+        assert r["weighted"] == pytest.approx(sum(x * y for x, y in zip(v, g, strict=True) if x is not None) / 16.5)
+    assert list(simulation.outcomes(rows, 3, 3)) == []
+
+
+def test_stretches_hold_all_rows_and_draws(spark):
+    """Rows reach every task whole, as arrays of many rows, and every draw has one task."""
+
+    def seen(rows, first, last):
+        yield pa.RecordBatch.from_arrays([pa.array(range(first, last), pa.int64()), pa.array([sum(x["id"] for x in rows.to_pylist())] * (last - first), pa.int64())], ["draw", "total"])
+
+    for n in (1, 2, 37):
+        got = draws.for_stretches(spark.range(30_000).selectExpr("id", "null n"), n, seen, "draw long, total long").collect()
+        assert sorted(r["draw"] for r in got) == list(range(n)) and {r["total"] for r in got} == {sum(range(30_000))}
+    assert draws.for_stretches(spark.range(0), 5, seen, "draw long, total long").count() == 0
