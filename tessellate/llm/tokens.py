@@ -2,8 +2,9 @@
 
 A text is cut where white space follows another character, and where ASCII punctuation other than an apostrophe follows a Latin letter; neither
 of the two public tokenizers joins characters over such a place, so a text's ids are its pieces' ids one after the other. Each different piece of a
-batch is encoded once, and the ids of frequent pieces are kept in a table of bounded size. Texts with unusual white space or with the
-string of a special token are encoded in one piece.
+batch is encoded once, and the ids of frequent pieces are kept in a table of bounded size. A piece of Latin letters alone is its own normal form
+(but for case) and one word, so it goes to the library's model at once. Texts with unusual white space or with the string of a special token are
+encoded in one piece.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import contextlib
 import ctypes
 import functools
 import itertools
+import operator
 import os
 from collections.abc import Iterator
 
@@ -32,6 +34,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: In one piece: white space beyond ASCII's usual six, and what may be a special token.
 WHOLE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|"
+#: Letters that no normal form changes, each one or two bytes.
+LETTERS = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+"
+#: The character that stands for each byte in byte-level models.
+BYTE_CHAR = np.arange(256, dtype="<u4")
+BYTE_CHAR[[*range(33), *range(127, 161), 173]] = np.arange(256, 256 + 33 + 34 + 1)
 #: Texts of one step have so many bytes together, or are one text.
 STEP_BYTES = 4_000_000
 
@@ -78,6 +85,17 @@ class Encoder:
         self.lower = "Lowercase" in str(self.tokenizer.normalizer)
         one = {c: self.tokenizer.encode(f" {c}", add_special_tokens=False).ids for c in "\u00a7\u00b6\u2020\u00a9\u00ae\u2122\u2022"}
         self.mark, self.mark_id = next(((c, ids[0]) for c, ids in one.items() if len(ids) == 1), (None, None))
+        leads = {white: x for white in ("", " ", "\n") if (x := self.lead(white)) in {"", *map(chr, BYTE_CHAR[list(white.encode())])}}
+        self.word = f"^(?:{'|'.join(leads)}){LETTERS}$"
+        self.direct, self.dropped = "" in leads, np.isin(np.arange(256), [ord(white) for white, x in leads.items() if white and not x])
+
+    def lead(self, white: str) -> str | None:
+        """What the model's word begins with if letters follow this white space; None if they are not one word then."""
+        text, pre = f"{white}x\u00e9", self.tokenizer.pre_tokenizer
+        if self.tokenizer.normalizer:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        words = [w for w, _ in pre.pre_tokenize_str(text)] if pre else []
+        return words[0][:-3] if len(words) == 1 and words[0].endswith("x\u00c3\u00a9") else None
 
     def one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = [e.ids for at in range(0, len(pieces), 10_000) for e in self.tokenizer.encode_batch_fast(pieces[at : at + 10_000], add_special_tokens=False)]
@@ -92,25 +110,39 @@ class Encoder:
         ends = np.flatnonzero(mark) - np.arange(len(pieces))
         return ids[~mark], np.diff(ends, prepend=0)
 
-    def pieces(self, pieces: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each piece: where its ids begin, and how many they are; all ids. often: the pieces worth keeping."""
+    def words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that match self.word: the model's ids of each."""
+        ids, lengths, model = [], [], self.tokenizer.model
+        for at in range(0, len(pieces), 10_000):
+            text = "\0".join(pieces[at : at + 10_000])
+            data = np.frombuffer((text.lower() if self.lower else text).encode(), np.uint8)
+            words = BYTE_CHAR[data[~self.dropped[data]]].tobytes().decode("utf-32-le").split(chr(BYTE_CHAR[0]))
+            out = list(map(model.tokenize, words))
+            lengths.append(np.fromiter(map(len, out), np.int64, len(out)))
+            ids.append(np.fromiter(map(operator.attrgetter("id"), itertools.chain.from_iterable(out)), self.type, int(lengths[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def pieces(self, pieces: list[str], often: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each piece: where its ids begin, and how many they are; all ids. often: the pieces worth keeping. letters: those for words()."""
         found = list(map(self.table.get, pieces))
-        new = [i for i, x in enumerate(found) if x is None]
-        plain = [i for i in new if pieces[i][0] in " \n" and self.mark and self.mark not in pieces[i] and len(pieces[i]) < 200]
+        new = np.fromiter((x is None for x in found), bool, len(found))
+        word = np.flatnonzero(new & letters).tolist()
+        other = np.flatnonzero(new & ~letters).tolist()
+        plain = [i for i in other if pieces[i][0] in " \n" and self.mark and self.mark not in pieces[i] and len(pieces[i]) < 200]
         plain_set = set(plain)
-        rest = [i for i in new if i not in plain_set]
+        rest = [i for i in other if i not in plain_set]
         old = [i for i, x in enumerate(found) if x is not None]
         known = b"".join(filter(None, found))
         parts = [(np.frombuffer(known, self.type), np.fromiter((len(found[i]) for i in old), np.int64, len(old)) // self.type.itemsize)]
-        parts += [f([pieces[i] for i in some]) if some else (np.zeros(0, self.type), np.zeros(0, np.int64)) for f, some in ((self.in_rows, plain), (self.one_by_one, rest))]
+        parts += [f([pieces[i] for i in some]) if some else (np.zeros(0, self.type), np.zeros(0, np.int64)) for f, some in ((self.words, word), (self.in_rows, plain), (self.one_by_one, rest))]
         ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.array(old + plain + rest, np.int64)
+        order = np.array(old + word + plain + rest, np.int64)
         length, begin = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
         length[order], begin[order] = sizes, np.cumsum(sizes) - sizes
         if len(self.table) > self.kept:
             self.table.clear()
-        for i in plain:
-            if often[i]:
+        for i in (*word, *plain):
+            if often[i] and len(pieces[i]) < 200:
                 self.table[pieces[i]] = ids[begin[i] : begin[i] + length[i]].tobytes()
         return begin, length, ids
 
@@ -132,7 +164,8 @@ class Encoder:
         at = np.flatnonzero(first)
         chunks = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)).dictionary_encode()
         of = chunks.indices.to_numpy()
-        begin, length, ids = self.pieces(chunks.dictionary.to_pylist(), np.bincount(of) > 1)
+        letters = pc.match_substring_regex(chunks.dictionary, self.word).to_numpy(zero_copy_only=False) & self.direct
+        begin, length, ids = self.pieces(chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), np.bincount(of) > 1, letters)
         n = length[of]
         end = np.cumsum(n)
         out = ids[np.arange(end[-1] if len(end) else 0) - np.repeat(end - n - begin[of], n)]
